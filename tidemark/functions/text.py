@@ -6,12 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BREAK = "\u0001"
+_SPACE = r"[ \t\n\x0B\r\f]"
+# Everything but letters, white space and the sentence break. Spelt out as ranges: the
+# negated form of the class takes several times as long.
+_OTHER = r"[\x00\x02-\x08\x0E-\x1F!-@\[-`{-\x{10FFFF}]+"
+
+
+def _marked(text: Column) -> Column:
+    return F.regexp_replace(text, rf"([.!?]){_SPACE}+", "$1" + _BREAK)
 
 
 def split_sentences(text: Column) -> Column:
     """Sentences end at ``.``, ``!`` or ``?`` followed by white space."""
-    marked = F.regexp_replace(text, r"([.!?])[ \t\n\r\f]+", "$1" + _BREAK)
-    return F.split(marked, _BREAK)
+    return F.split(_marked(text), _BREAK)
 
 
 def locale_sentences(text: Column) -> Column:
@@ -19,19 +26,25 @@ def locale_sentences(text: Column) -> Column:
     return F.sentences(text, F.lit("en"), F.lit("US"))
 
 
-def clean_sentence(sentence: Column) -> Column:
-    """Upper-case letters and white space only, with ``NOT `` turned into ``!``.
+def _letters(text: Column) -> Column:
+    """Upper-case letters and white space only, with ``NOT `` turned into ``!``; keeps sentence breaks."""
+    upper = F.regexp_replace(F.upper(text), _OTHER, "")
+    return F.regexp_replace(F.replace(upper, F.lit("NOT "), F.lit("!")), _SPACE + "{2,}", " ")
 
-    Null where nothing is left; a sentence of white space becomes empty.
-    """
-    letters = F.regexp_replace(F.upper(sentence), r"[^a-zA-Z \t\n\r\f]", "")
-    letters = F.replace(letters, F.lit("NOT "), F.lit("!"))
-    single = F.regexp_replace(letters, r"[ \t\n\r\f]{2,}", " ")
-    return F.when(single != "", F.regexp_replace(single, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""))
+
+def _trimmed(sentence: Column) -> Column:
+    return F.btrim(sentence, F.lit(" \t\n\x0B\r\f"))
+
+
+def clean_sentence(sentence: Column) -> Column:
+    """Normal form of one sentence: null where nothing is left, empty if it was white space."""
+    return _trimmed(F.nullif(_letters(sentence), F.lit("")))
 
 
 def clean_sentences(text: Column) -> Column:
-    return F.filter(F.transform(split_sentences(text), clean_sentence), lambda s: s.isNotNull())
+    """Clean sentences of a document. The patterns run once over the whole text, not per sentence."""
+    pieces = F.split(_letters(_marked(text)), _BREAK)
+    return F.transform(F.filter(pieces, lambda s: s != ""), lambda s: _trimmed(s))
 
 
 def words(sentence: Column) -> Column:

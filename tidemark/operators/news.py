@@ -48,14 +48,15 @@ def stage(today) -> Column:
 
 
 def with_sentences(articles: DataFrame, content: str = "content") -> DataFrame:
-    return articles.withColumn("sentences", t.clean_sentences(F.col(content)))
+    """Articles with their clean sentences in place of the text."""
+    return articles.withColumn("sentences", t.clean_sentences(F.col(content))).drop(content)
 
 
-def sentence_counts(articles: DataFrame) -> DataFrame:
+def sentence_counts(sentenced: DataFrame) -> DataFrame:
     """Documents and occurrences of each clean sentence: a single exchange, by sentence."""
-    sorted_items = with_sentences(articles).select(F.sort_array("sentences").alias("sorted"))
     return (
-        sorted_items.select(F.inline(t.first_of_each(F.col("sorted"))))
+        sentenced.select(F.sort_array("sentences").alias("sorted"))
+        .select(F.inline(t.first_of_each(F.col("sorted"))))
         .groupBy(F.col("item").alias("sentence"))
         .agg(F.sum(F.col("is_first").cast("long")).alias("documents"), F.count(F.lit(1)).alias("occurrences"))
         .withColumn("hash", t.text_hash(F.col("sentence")))
@@ -76,27 +77,23 @@ def merge_sentence_counts(stored: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def strip_boilerplate(articles: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Adds ``sentences`` without the blacklisted ones, in order.
+def strip_boilerplate(sentenced: DataFrame, counts: DataFrame) -> DataFrame:
+    """Removes the blacklisted sentences and keeps the others in order.
 
-    Only (id, position, hash) meets the blacklist; the text is joined back
-    once, by id.
+    Only (id, position, hash) meets the blacklist; the sentences are picked
+    by position afterwards, from the row they never left.
     """
-    black = sentences.filter("blacklisted").select("hash")
-    staged = with_sentences(articles)
-    places = staged.select("id", F.posexplode("sentences").alias("position", "sentence")).select(
+    black = counts.filter("blacklisted").select("hash")
+    places = sentenced.select("id", F.posexplode("sentences").alias("position", "sentence")).select(
         "id", "position", t.text_hash(F.col("sentence")).alias("hash")
     )
     # Positions of one document: no more than its own sentences.
-    dropped = places.join(black, "hash", "left_semi").groupBy("id").agg(F.collect_list("position").alias("dropped"))
+    kept = places.join(black, "hash", "left_anti").groupBy("id").agg(F.collect_list("position").alias("kept"))
+    picked = F.transform(F.sort_array("kept"), lambda p: F.get("sentences", p))
     return (
-        staged.join(dropped, "id", "left")
-        .withColumn("dropped", F.map_from_arrays(
-            F.coalesce("dropped", F.array().cast("array<int>")),
-            F.transform(F.coalesce("dropped", F.array().cast("array<int>")), lambda _: F.lit(True)),
-        ))
-        .withColumn("sentences", F.filter("sentences", lambda s, i: ~F.map_contains_key(F.col("dropped"), i)))
-        .drop("dropped")
+        sentenced.join(kept, "id", "left")
+        .withColumn("sentences", F.coalesce(picked, F.array().cast("array<string>")))
+        .drop("kept")
     )
 
 

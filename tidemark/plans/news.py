@@ -9,9 +9,10 @@ from tidemark.operators import news
 from tidemark.plans import sql
 from tidemark.plans.registry import query
 from tidemark.plans.views import articles, daily_bars, table
+from tidemark.session import written
 from tidemark.sources import news as src
 
-WS = r"[ \t\n\r\f]"
+WS = r"[ \t\n\x0B\r\f]"
 ARTICLES = """
 articles AS (
   SELECT doc_id AS id, 'Brand#' || (doc_id % 25 + 1) AS symbol, split_part(text, chr(10), 1) AS headline, text AS content,
@@ -21,7 +22,7 @@ articles AS (
 
 
 def clean_sql(sentence: str) -> str:
-    letters = f"regexp_replace(upper(replace({sentence}, 'ß', 'SS')), '[^a-zA-Z \\t\\n\\r\\f]', '', 'g')"
+    letters = f"regexp_replace(upper(replace({sentence}, 'ß', 'SS')), '[^a-zA-Z \\t\\n\\x0B\\r\\f]', '', 'g')"
     single = f"regexp_replace(replace({letters}, 'NOT ', '!'), '{WS}{{2,}}', ' ', 'g')"
     return f"CASE WHEN {single} <> '' THEN regexp_replace({single}, '^{WS}+|{WS}+$', '', 'g') END"
 
@@ -77,15 +78,19 @@ def text_sql(body: str, *ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
 
 
+def sentenced_articles(spark, sf):
+    """Articles with clean sentences, written once because several steps read them."""
+    return written(spark, news.with_sentences(articles(spark, sf)))
+
+
 def stripped_articles(spark, sf):
-    arts = articles(spark, sf)
-    return news.strip_boilerplate(arts, news.sentence_counts(arts))
+    sentenced = sentenced_articles(spark, sf)
+    return news.strip_boilerplate(sentenced, news.sentence_counts(sentenced))
 
 
 def gram_table(spark, sf):
-    arts = articles(spark, sf)
-    stripped = news.strip_boilerplate(arts, news.sentence_counts(arts))
-    return stripped, news.ngram_stats(stripped, news.price_moves(arts, daily_bars(spark, sf)))
+    stripped = written(spark, stripped_articles(spark, sf))
+    return stripped, news.ngram_stats(stripped, news.price_moves(stripped, daily_bars(spark, sf)))
 
 
 def scored_articles(spark, sf):
@@ -129,12 +134,12 @@ def text_hash(spark, sf):
 
 @query("sentence_counts", text_sql("SELECT * FROM counts", *TO_SENTENCES))
 def sentence_counts(spark, sf):
-    return news.sentence_counts(articles(spark, sf))
+    return news.sentence_counts(news.with_sentences(articles(spark, sf)))
 
 
 @query("merge_sentence_counts", text_sql("SELECT * FROM counts", *TO_SENTENCES))
 def merge_sentence_counts(spark, sf):
-    arts = articles(spark, sf)
+    arts = news.with_sentences(articles(spark, sf))
     early = F.col("published_date") < "1998-01-01"
     return news.merge_sentence_counts(
         news.sentence_counts(arts.filter(early)), news.sentence_counts(arts.filter(~early))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 HORIZONS = (1, 30, 200)
 
 
@@ -105,7 +107,7 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news articles of 25 symbols, over 2,400 days."""
     published = F.expr("date_add(date'1995-01-02', cast(doc_id * 7 % 2400 as int))")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("symbol"),
         F.substring_index("text", "\n", 1).alias("headline"),
