@@ -109,10 +109,13 @@ def price_moves(articles: DataFrame, bars: DataFrame) -> DataFrame:
     points = bars.select("symbol", F.col("trade_date").alias("day"), "close", F.lit(0).alias("asked")).unionByName(
         dates.select("symbol", "day", F.lit(None).cast("double").alias("close"), F.lit(1).alias("asked"))
     )
-    # An asking row sorts before the bar of its own day.
+    # An asking row sorts before the bar of its own day. Both frames grow from their start,
+    # which costs one step per row.
     line = Window.partitionBy("symbol").orderBy("day", F.col("asked").desc())
-    on = F.first("close", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last("close", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy("symbol").orderBy(F.col("day").desc(), "asked")
+    so_far = (Window.unboundedPreceding, -1)
+    on = F.last("close", ignorenulls=True).over(back.rowsBetween(*so_far))
+    before = F.last("close", ignorenulls=True).over(line.rowsBetween(*so_far))
     return (
         points.withColumns({"on_price": on, "before_price": before})
         .filter("asked = 1")

@@ -58,9 +58,9 @@ def calendar_mismatch(split: DataFrame, reference_symbol: str) -> DataFrame:
 
 def common_calendar(bars: DataFrame) -> DataFrame:
     """Dates on which every symbol has a bar, relying on one bar per symbol and date."""
+    symbols = bars.select("symbol").distinct().agg(F.count(F.lit(1))).scalar()
     per_date = bars.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
-    symbols = bars.select("symbol").distinct().agg(F.count(F.lit(1)).alias("n"))
-    return per_date.join(F.broadcast(symbols), "n", "left_semi").select("trade_date")
+    return per_date.filter(F.col("n") == symbols).select("trade_date")
 
 
 def on_common_calendar(bars: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def trade_sequence() -> Column:
 
 def trades(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     """One row per line item, with ``symbol`` the part's brand or the supplier's region."""
-    line = table(spark, sf_dir, "lineitem")
+    columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus")
+    line = spread(table(spark, sf_dir, "lineitem").select(*columns, "l_shipdate"))
     if by == "brand":
         named = line.join(
             table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol")),
@@ -85,7 +86,7 @@ def daily_bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_ticks(table(spark, sf_dir, "events"))
+    return as_ticks(spread(table(spark, sf_dir, "events")))
 
 
 def as_ticks(events: DataFrame) -> DataFrame:
