@@ -148,6 +148,12 @@ def held_out_accuracy(pipeline: Pipeline, rows: DataFrame) -> float:
     return accuracy(model.transform(split.filter("part = 'test'")))
 
 
+def held_out_accuracies(pipelines: dict[str, Callable[[], Pipeline]], rows: DataFrame) -> dict[str, float]:
+    """Several classifiers on the same rows, a few fits at a time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return dict(zip(pipelines, pool.map(lambda make: held_out_accuracy(make(), rows), pipelines.values())))
+
+
 def experiment_grid(
     spark: SparkSession,
     variants: dict[str, DataFrame],

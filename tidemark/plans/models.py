@@ -16,7 +16,7 @@ from tidemark.plans.news import TO_SCORES, scored_articles
 from tidemark.plans.portfolio import symbols, uniform_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views import HORIZONS, daily_bars
-from tidemark.session import shared_dir, written
+from tidemark.session import shared_dir, spread, written
 from tidemark.sources import exports
 
 ORD = ser.ORD
@@ -147,8 +147,13 @@ def load_replay_records(spark, sf):
 # --- classifiers -------------------------------------------------------------------
 
 
+# The queries train smaller forests than the defaults of the operators (100 trees per symbol, 500 over all
+# symbols): on one machine the full sizes take minutes and check nothing more.
+TREES = 20
+
+
 def training_table(spark, sf, partition_by=()):
-    return written(spark, ft.training_set(daily_bars(spark, sf, "region"), HORIZONS), partition_by)
+    return spread(written(spark, ft.training_set(daily_bars(spark, sf, "region"), HORIZONS), partition_by))
 
 
 def scores(spark, found):
@@ -158,14 +163,14 @@ def scores(spark, found):
 @query("rf_per_symbol")
 def rf_per_symbol(spark, sf):
     training = training_table(spark, sf, ("symbol",))
-    fitted = md.forest_per_symbol(training, FULL, symbols(spark, sf))
+    fitted = md.forest_per_symbol(training, FULL, symbols(spark, sf), numTrees=TREES)
     return scores(spark, {symbol: score for symbol, (score, _) in fitted.items()})
 
 
 @query("rf_multi")
 def rf_multi(spark, sf):
     names = symbols(spark, sf)
-    score = md.held_out_accuracy(md.multi_pipeline(FULL, len(names)), training_table(spark, sf))
+    score = md.held_out_accuracy(md.multi_pipeline(FULL, len(names), numTrees=TREES), training_table(spark, sf))
     return scores(spark, {"all symbols": score})
 
 
@@ -175,7 +180,7 @@ def predict_direction(spark, sf):
     bars = daily_bars(spark, sf, "region")
     table = written(spark, ft.features(bars))
     labelled = ind.direction_labels(table, HORIZONS).dropna(subset=FULL)
-    model = md.multi_pipeline(FULL, len(names), numTrees=50).fit(labelled)
+    model = md.multi_pipeline(FULL, len(names), numTrees=TREES).fit(labelled)
     return md.predict_direction(model, rows.latest_features(table, list(ind.INDICATORS)), HORIZONS)
 
 
@@ -186,25 +191,21 @@ def clf_logistic(spark, sf):
 
 @query("clf_random_forest")
 def clf_random_forest(spark, sf):
-    return scores(spark, {"random_forest": md.held_out_accuracy(md.deep_forest(FULL), training_table(spark, sf))})
+    return scores(spark, {"random_forest": md.held_out_accuracy(md.deep_forest(FULL, TREES // 2), training_table(spark, sf))})
 
 
 @query("clf_mlp")
 def clf_mlp(spark, sf):
-    training = training_table(spark, sf).cache()
+    training = training_table(spark, sf)
     grid = {k: v for k, v in md.classifiers(FULL).items() if k.startswith("perceptron")}
-    found = {name: md.held_out_accuracy(make(), training) for name, make in grid.items()}
-    training.unpersist()
-    return scores(spark, found)
+    return scores(spark, md.held_out_accuracies(grid, training))
 
 
 @query("clf_svm")
 def clf_svm(spark, sf):
     training = training_table(spark, sf)
-    return scores(spark, {
-        "svm_linear": md.held_out_accuracy(md.margin_machine(FULL), training),
-        "svm_normalised": md.held_out_accuracy(md.margin_machine(FULL, normalised=True), training),
-    })
+    grid = {k: v for k, v in md.classifiers(FULL).items() if k.startswith("svm")}
+    return scores(spark, md.held_out_accuracies(grid, training))
 
 
 @query("experiment_grid")

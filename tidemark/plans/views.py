@@ -106,9 +106,13 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as news articles of 25 symbols, over 2,400 days."""
+    return as_articles(spread(table(spark, sf_dir, "documents")))
+
+
+def as_articles(documents: DataFrame) -> DataFrame:
+    """Documents as news articles of 25 symbols, over 2,400 days. Batch or streaming."""
     published = F.expr("date_add(date'1995-01-02', cast(doc_id * 7 % 2400 as int))")
-    return spread(table(spark, sf_dir, "documents")).select(
+    return documents.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("Brand#"), (F.col("doc_id") % 25 + 1).cast("string")).alias("symbol"),
         F.substring_index("text", "\n", 1).alias("headline"),
