@@ -153,7 +153,7 @@ TREES = 20
 
 
 def training_table(spark, sf, partition_by=()):
-    return spread(written(spark, ft.training_set(daily_bars(spark, sf, "region"), HORIZONS), partition_by))
+    return spread(written(spark, ft.training_set(daily_bars(spark, sf, "region"), HORIZONS), partition_by), "trade_date")
 
 
 def scores(spark, found):

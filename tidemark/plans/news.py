@@ -90,7 +90,9 @@ def stripped_articles(spark, sf):
 
 def gram_table(spark, sf):
     stripped = written(spark, stripped_articles(spark, sf))
-    return stripped, news.ngram_stats(stripped, news.price_moves(stripped, daily_bars(spark, sf)))
+    # Stored, so that its size is known when the join is planned: one row per symbol and article date.
+    moves = written(spark, news.price_moves(stripped, daily_bars(spark, sf)))
+    return stripped, news.ngram_stats(stripped, moves)
 
 
 def scored_articles(spark, sf):

@@ -40,7 +40,7 @@ def trade_sequence() -> Column:
 def trades(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     """One row per line item, with ``symbol`` the part's brand or the supplier's region."""
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus")
-    line = spread(table(spark, sf_dir, "lineitem").select(*columns, "l_shipdate"))
+    line = spread(table(spark, sf_dir, "lineitem").select(*columns, "l_shipdate"), "l_orderkey")
     if by == "brand":
         named = line.join(
             table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol")),
@@ -86,7 +86,7 @@ def daily_bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_ticks(spread(table(spark, sf_dir, "events")))
+    return as_ticks(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def as_ticks(events: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_articles(spread(table(spark, sf_dir, "documents")))
+    return as_articles(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def as_articles(documents: DataFrame) -> DataFrame:
