@@ -51,9 +51,8 @@ def holdout_split(bars: DataFrame, test_rows: int) -> DataFrame:
 def calendar_mismatch(split: DataFrame, reference_symbol: str) -> DataFrame:
     """Symbols whose first test date is not the reference symbol's."""
     first = split.filter("split = 'test'").groupBy("symbol").agg(F.min("trade_date").alias("first_test"))
-    reference = first.filter(F.col("symbol") == reference_symbol).select(F.col("first_test").alias("reference_test"))
-    # The reference is one row; matching dates drop out through the anti join.
-    return first.join(F.broadcast(reference), F.col("first_test") == F.col("reference_test"), "left_anti")
+    reference = first.filter(F.col("symbol") == reference_symbol).select("first_test")
+    return first.join(reference, "first_test", "left_anti").select("symbol", "first_test")
 
 
 def common_calendar(bars: DataFrame) -> DataFrame:

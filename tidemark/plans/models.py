@@ -45,7 +45,7 @@ INDICATOR_SQL = ", ".join(map(ser.all_sql, ind.INDICATORS))
 def training_set(spark, sf):
     table = ft.training_set(daily_bars(spark, sf, "region"), HORIZONS)
     exact = {"symbol", "trade_date", "label", *PLAIN, *[f"sma{n}" for n in ind.SMA_PERIODS]}
-    return table.select(*[c if c in exact else F.round(c, 3).alias(c) for c in table.columns])
+    return table.select(*[c if c in exact else ser.settle(c, 3) for c in table.columns])
 
 
 @query("training_set_sentiment", sql.brand("""

@@ -107,6 +107,12 @@ def split_sentences(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(t.split_sentences(F.col("text"))).alias("sentence"))
 
 
+@query("locale_sentences")
+def locale_sentences(spark, sf):
+    split = table(spark, sf, "documents").select("doc_id", t.locale_sentences(F.col("text")).alias("s"))
+    return split.select("doc_id", F.size("s").alias("sentences"), F.size(F.flatten("s")).alias("words"))
+
+
 @query("clean_sentence", text_sql("SELECT id, position::INTEGER AS position, sentence FROM sentences", ARTICLES, SENTENCES))
 def clean_sentence(spark, sf):
     places = articles(spark, sf).select("id", F.posexplode(t.split_sentences(F.col("content"))).alias("p", "raw"))

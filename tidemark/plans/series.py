@@ -25,6 +25,19 @@ def rounded(df, places: int, *names: str):
     return df.select(*KEY, *[F.round(n, places).alias(n) for n in names])
 
 
+def settle(name: str, places: int):
+    """Rounded, with exact ties moved up first.
+
+    Engines differ in the last bit of a recurrence; a value that ends in a 5
+    right after the last place would round either way.
+    """
+    return F.round(F.col(name) + 1e-8, places).alias(name)
+
+
+def settled(df, places: int, *names: str):
+    return df.select(*KEY, *[settle(n, places) for n in names])
+
+
 @query("percent_change", sql.brand(f"""
 SELECT symbol, trade_date, coalesce((close - lag(close) OVER {ORD}) / lag(close) OVER {ORD}, 0) AS percent_change
 FROM bars"""))
@@ -116,8 +129,8 @@ MACD_STATES = {
     "sig": ("NULL", f"CASE WHEN b.rn < 34 THEN NULL WHEN b.rn = 34 THEN (s.total + ({FAST} - {SLOW})) / 9 "
                     f"ELSE s.sig + 0.2 * (({FAST} - {SLOW}) - s.sig) END"),
 }
-MACD_OUT = """round(CASE WHEN rn >= 34 THEN fast - slow END, 4) + 0.0 AS macd, round(sig, 4) + 0.0 AS macd_sig,
-       round(fast - slow - sig, 4) + 0.0 AS macd_hist"""
+MACD_OUT = """round(CASE WHEN rn >= 34 THEN fast - slow + 1e-8 END, 4) + 0.0 AS macd, round(sig + 1e-8, 4) + 0.0 AS macd_sig,
+       round(fast - slow - sig + 1e-8, 4) + 0.0 AS macd_hist"""
 RSI_BASE = f"""
 rsi_base AS (
   SELECT *, avg(gain) OVER {over(14)} AS mg, avg(loss) OVER {over(14)} AS ml
@@ -127,7 +140,7 @@ RSI_STATES = {
     "g": sql.average("g", "b.gain", "b.mg", 15, 1.0 / 14),
     "l": sql.average("l", "b.loss", "b.ml", 15, 1.0 / 14),
 }
-RSI_OUT = "CASE WHEN g + l = 0 THEN 0.0 ELSE round(100 * (g / (g + l)), 4) + 0.0 END AS rsi"
+RSI_OUT = "CASE WHEN g + l = 0 THEN 0.0 ELSE round(100 * (g / (g + l)) + 1e-8, 4) + 0.0 END AS rsi"
 ADX_BASE = f"""
 adx_base AS (
   SELECT *, sum(pdm) OVER {over(9)} AS sp, sum(mdm) OVER {over(9)} AS sm, sum(tr) OVER {over(9)} AS st
@@ -159,33 +172,33 @@ ADX_STATES = {
 
 
 @query("exp_smooth", sql.brand(
-    "SELECT symbol, trade_date, round(y, 4) + 0.0 AS smoothed_close FROM scan", EMA_BASE,
+    "SELECT symbol, trade_date, round(y + 1e-8, 4) + 0.0 AS smoothed_close FROM scan", EMA_BASE,
     sql.scan({"y": ("b.close", "0.1 * b.close + 0.9 * s.y")}), recursive=True))
 def exp_smooth(spark, sf):
-    return rounded(ind.smooth(daily_bars(spark, sf)), 4, "smoothed_close")
+    return settled(ind.smooth(daily_bars(spark, sf)), 4, "smoothed_close")
 
 
 @query("ema", sql.brand(
-    "SELECT symbol, trade_date, " + ", ".join(f"round(ema{n}, 4) + 0.0 AS ema{n}" for n in ind.EMA_PERIODS) + " FROM scan",
+    "SELECT symbol, trade_date, " + ", ".join(f"round(ema{n} + 1e-8, 4) + 0.0 AS ema{n}" for n in ind.EMA_PERIODS) + " FROM scan",
     EMA_BASE, sql.scan(EMA_STATES), recursive=True))
 def ema(spark, sf):
-    return rounded(ind.ema(daily_bars(spark, sf)), 4, *[f"ema{n}" for n in ind.EMA_PERIODS])
+    return settled(ind.ema(daily_bars(spark, sf)), 4, *[f"ema{n}" for n in ind.EMA_PERIODS])
 
 
 @query("macd", sql.brand(f"SELECT symbol, trade_date, {MACD_OUT} FROM scan", EMA_BASE, sql.scan(MACD_STATES), recursive=True))
 def macd(spark, sf):
-    return rounded(ind.macd(daily_bars(spark, sf)), 4, "macd", "macd_sig", "macd_hist")
+    return settled(ind.macd(daily_bars(spark, sf)), 4, "macd", "macd_sig", "macd_hist")
 
 
 @query("rsi", sql.brand(f"SELECT symbol, trade_date, {RSI_OUT} FROM scan", RSI_BASE, sql.scan(RSI_STATES, "rsi_base"), recursive=True))
 def rsi(spark, sf):
-    return rounded(ind.rsi(daily_bars(spark, sf)), 4, "rsi")
+    return settled(ind.rsi(daily_bars(spark, sf)), 4, "rsi")
 
 
-@query("adx", sql.brand("SELECT symbol, trade_date, round(adx, 4) + 0.0 AS adx10 FROM scan", ADX_BASE,
+@query("adx", sql.brand("SELECT symbol, trade_date, round(adx + 1e-8, 4) + 0.0 AS adx10 FROM scan", ADX_BASE,
                         sql.scan(ADX_STATES, "adx_base"), recursive=True))
 def adx(spark, sf):
-    return rounded(ind.adx(daily_bars(spark, sf)), 4, "adx10")
+    return settled(ind.adx(daily_bars(spark, sf)), 4, "adx10")
 
 
 ALL_BASE = """
@@ -215,7 +228,7 @@ _ALL_EXPR = {
 def all_sql(column: str) -> str:
     """Averages of exact prices are equal as they are; the rest is rounded."""
     value = _ALL_EXPR.get(column, column)
-    return f"{value} AS {column}" if column.startswith("sma") else f"round({value}, 3) + 0.0 AS {column}"
+    return f"{value} AS {column}" if column.startswith("sma") else f"round({value} + 1e-8, 3) + 0.0 AS {column}"
 
 
 ALL_SQL = sql.region(
@@ -228,7 +241,7 @@ ALL_SQL = sql.region(
 @query("all_indicators", ALL_SQL)
 def all_indicators(spark, sf):
     table = ind.all_indicators(daily_bars(spark, sf, "region"))
-    return table.select(*KEY, *[c if c.startswith("sma") else F.round(c, 3).alias(c) for c in ALL_COLUMNS])
+    return table.select(*KEY, *[c if c.startswith("sma") else settle(c, 3) for c in ALL_COLUMNS])
 
 
 @query("incremental_fill", sql.brand(f"""
@@ -253,11 +266,11 @@ ticks AS (SELECT event_type AS symbol, ts, event_id, value AS price, row_number(
 scan AS (
   SELECT symbol, ts, rn, price AS y FROM ticks WHERE rn = 1
   UNION ALL SELECT t.symbol, t.ts, t.rn, s.y + 0.01 * (t.price - s.y) FROM scan s JOIN ticks t ON t.symbol = s.symbol AND t.rn = s.rn + 1)
-SELECT symbol, ts, round(y, 4) + 0.0 AS ema FROM scan""")
+SELECT symbol, ts, round(y + 1e-8, 4) + 0.0 AS ema FROM scan""")
 def tick_ema(spark, sf):
     chunked = ticks(spark, sf).withColumn("day", series.chunk_of("ts", "day"))
     averaged = series.chunked_ema(chunked, "price", "ema", 0.01, "day")
-    return averaged.select("symbol", naive("ts"), F.round("ema", 4).alias("ema"))
+    return averaged.select("symbol", naive("ts"), settle("ema", 4))
 
 
 @query("tick_obv", "WITH " + TICKS + """

@@ -8,6 +8,7 @@ from tidemark.operators import indicators as ind
 from tidemark.plans import sql
 from tidemark.plans.news import TO_SCORES, TO_SENTENCES, TO_STATS, text_sql
 from tidemark.plans.registry import query
+from tidemark.plans.series import settle
 from tidemark.plans.views import as_articles, as_ticks, daily_bars, minute_bars, naive, table
 from tidemark.session import shared_dir, written
 from tidemark.streaming import streams as st
@@ -52,14 +53,14 @@ def stream_late_cutoff(spark, sf):
 numbered AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM minutes),
 scan AS (SELECT symbol, ts, rn, close AS y FROM numbered WHERE rn = 1
   UNION ALL SELECT n.symbol, n.ts, n.rn, s.y + 0.1 * (n.close - s.y) FROM scan s JOIN numbered n ON n.symbol = s.symbol AND n.rn = s.rn + 1)
-SELECT symbol, ts, round(y, 4) + 0.0 AS ema FROM scan""")
+SELECT symbol, ts, round(y + 1e-8, 4) + 0.0 AS ema FROM scan""")
 def stream_ema(spark, sf):
     path = shared_dir(spark)
     bars = minute_bars(spark, sf).select("symbol", "ts", "close")
     bars.write.parquet(f"{path}/bars")
     stream = spark.readStream.schema(bars.schema).parquet(f"{path}/bars")
     st.append_to(st.stream_ema(stream, 0.1), f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("symbol", naive("ts"), F.round("ema", 4).alias("ema"))
+    return spark.read.parquet(f"{path}/out").select("symbol", naive("ts"), settle("ema", 4))
 
 
 HELD = """
