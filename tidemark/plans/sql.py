@@ -1,4 +1,4 @@
-"""SQL text shared by the reference queries that DuckDB runs."""
+"""SQL text shared by the queries that DuckDB runs for comparison."""
 
 from __future__ import annotations
 
