@@ -8,13 +8,11 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from compare import session
     from tidemark.session import prepare
 
     spark = session("8")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield prepare(spark)
     spark.stop()
 
