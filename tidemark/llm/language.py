@@ -81,7 +81,10 @@ def fit(rows: DataFrame, text: str, declared: str, languages=LANGUAGES) -> np.nd
     seen[-1] = 1.0
     for r in counted:
         seen[languages.index(r["d"]), r["bin"]] += r["n"]
-    return np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
+    logs = np.log(seen / seen.sum(axis=1, keepdims=True))
+    # a language without samples is less likely than the flat model anywhere
+    logs[:-1][seen[:-1].sum(axis=1) == ADDED * seen.shape[1]] -= 1.0
+    return logs.astype(np.float32)
 
 
 def likelihood(model: np.ndarray):

@@ -144,6 +144,8 @@ d2 AS (SELECT suffix, domain, mean * strength + bad AS a, (1 - mean) * strength
 h0 AS (SELECT h.*, a / (a + b) AS mean FROM sites h JOIN d2 USING (suffix, domain)),
 h1 AS (SELECT suffix, domain, STRENGTH AS strength FROM h0 GROUP BY suffix, domain),
 h2 AS (SELECT suffix, domain, site, mean * strength + bad AS a, (1 - mean) * strength + n - bad AS b FROM h0 JOIN h1 USING (suffix, domain)),
+s3 AS (SELECT suffix, a / (a + b) * strength AS a, (1 - a / (a + b)) * strength AS b FROM s2 JOIN d1 USING (suffix)),
+d3 AS (SELECT domain, a / (a + b) * strength AS a, (1 - a / (a + b)) * strength AS b FROM d2 JOIN h1 USING (suffix, domain)),
 ruled AS (
   SELECT l.*, CASE
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
@@ -151,8 +153,8 @@ ruled AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
-    coalesce((SELECT BOUND FROM h2 WHERE h2.site = l.site), (SELECT BOUND FROM d2 WHERE d2.domain = l.domain),
-             (SELECT BOUND FROM s2 WHERE s2.suffix = l.suffix), FALSE) AS bad
+    coalesce((SELECT BOUND FROM h2 WHERE h2.site = l.site), (SELECT BOUND FROM d3 WHERE d3.domain = l.domain),
+             (SELECT BOUND FROM s3 WHERE s3.suffix = l.suffix), FALSE) AS bad
   FROM leveled l)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad THEN 'block' ELSE 'allow' END AS verdict

@@ -88,7 +88,8 @@ def _strength(rates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
-    """Posterior beta parameters (a, b) per level from rows (site, domain, suffix, bad 0/1).
+    """Beta parameters (a, b) from rows (site, domain, suffix, bad 0/1): of every labelled site its posterior, of
+    every domain the prior of its sites without labels, of every suffix the prior of its domains without labels.
 
     Counts are summed before any shuffle, so a hot host arrives as one row per task. The priors of a level
     are joined as tables of one row per name.
@@ -101,24 +102,23 @@ def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
         F.try_divide(F.coalesce(F.col("bad"), F.lit(0)) + 0.5, F.coalesce(F.col("n"), F.lit(0)) + 1.0).alias("mean")
     )
 
-    def posterior(counts: DataFrame, parent: DataFrame, by: list[str]) -> DataFrame:
+    def posterior(counts: DataFrame, parent: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Posteriors of the names with labels, and per parent the prior of a name without any."""
         rates = counts.join(parent, by) if by else counts.join(F.broadcast(parent))  # one row
-        with_prior = rates.join(_strength(rates, by), by) if by else rates.join(F.broadcast(_strength(rates, by)))
-        return with_prior.withColumn("a", F.col("mean") * F.col("strength") + F.col("bad")).withColumn(
-            "b", (1 - F.col("mean")) * F.col("strength") + F.col("n") - F.col("bad")
-        )
+        strength = _strength(rates, by)
+        with_prior = rates.join(strength, by) if by else rates.join(F.broadcast(strength))
+        prior_a, prior_b = F.col("mean") * F.col("strength"), (1 - F.col("mean")) * F.col("strength")
+        known = with_prior.withColumn("a", prior_a + F.col("bad")).withColumn("b", prior_b + F.col("n") - F.col("bad"))
+        fresh = parent.join(strength, by).select(*by, prior_a.alias("a"), prior_b.alias("b")) if by else None
+        return known, fresh
 
     def mean(post: DataFrame, by: list[str]) -> DataFrame:
         return post.select(*by, (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
 
-    by_suffix = posterior(suffixes, root, [])
-    by_domain = posterior(domains, mean(by_suffix, ["suffix"]), ["suffix"])
-    by_site = posterior(sites, mean(by_domain, ["suffix", "domain"]), ["suffix", "domain"])
-    return {
-        "site": by_site.select("suffix", "domain", "site", "a", "b"),
-        "domain": by_domain.select("suffix", "domain", "a", "b"),
-        "suffix": by_suffix.select("suffix", "a", "b"),
-    }
+    by_suffix, _ = posterior(suffixes, root, [])
+    by_domain, new_domain = posterior(domains, mean(by_suffix, ["suffix"]), ["suffix"])
+    by_site, new_site = posterior(sites, mean(by_domain, ["suffix", "domain"]), ["suffix", "domain"])
+    return {"site": by_site.select("suffix", "domain", "site", "a", "b"), "domain": new_site, "suffix": new_domain}
 
 
 def lower_bound(a: Column, b: Column, z: float = BOUND_Z) -> Column:
@@ -130,8 +130,8 @@ def lower_bound(a: Column, b: Column, z: float = BOUND_Z) -> Column:
 def bad_sites(outcomes: DataFrame, max_bad: float = MAX_BAD) -> DataFrame:
     """Sites, domains and suffixes whose lower bound exceeds ``max_bad``: (level, name).
 
-    A site with labels is judged by its own posterior; a site without any by its domain's, and a domain
-    without any by its suffix's.
+    A site with labels is judged by its own posterior; a site without any by the prior that its domain gives
+    it, and a domain without any by the prior of its suffix.
     """
     post = reputation(outcomes)
     flagged = lambda level: post[level].select(
