@@ -160,8 +160,8 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled""".replace("TWO", ", ".join(f"'{s}'" for s in reputation.TWO_LABEL_SUFFIXES)).replace(
     "STRENGTH",
-    "CASE WHEN sum(n * pow(bad / n - mean, 2)) <= sum(mean * (1 - mean)) THEN 1000.0 ELSE least(greatest("
-    "sum(mean * (1 - mean) * (n - 1)) / (sum(n * pow(bad / n - mean, 2)) - sum(mean * (1 - mean))) - 1, 1.0), 1000.0) END",
+    "CASE WHEN sum(n * pow(bad / n - mean, 2)) <= sum(mean * (1 - mean)) THEN least(count(*), 1000.0) ELSE least(greatest("
+    "sum(mean * (1 - mean) * (n - 1)) / (sum(n * pow(bad / n - mean, 2)) - sum(mean * (1 - mean))) - 1, 1.0), count(*), 1000.0) END",
 ).replace("BOUND", f"a / (a + b) - {reputation.BOUND_Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {reputation.MAX_BAD}")
 
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 # Production parameters.
 BOUND_Z = 1.6448536269514722  # one-sided 95 % bound
 MAX_BAD = 0.35
@@ -68,34 +70,31 @@ def _strength(rates: DataFrame, by: list[str]) -> DataFrame:
 
     With n pages and b bad ones in a child, rate p and parent mean m, the beta-binomial variance is
     m(1-m)(1 + (n-1)/(s+1))/n. Summing n(p-m)^2 over children gives 1/(s+1), from which the strength s follows.
+    A strength never exceeds the number of children it rests on.
     """
     m, n = F.col("mean"), F.col("n").cast("double")
-    return rates.groupBy(*by).agg(
+    sums = rates.groupBy(*by).agg(
         F.sum(n * F.pow(F.col("bad") / n - m, 2)).alias("spread"),
         F.sum(m * (1 - m)).alias("noise"),
         F.sum(m * (1 - m) * (n - 1)).alias("extra"),
-    ).select(
-        *by,
-        F.least(
-            F.greatest(
-                F.coalesce(F.try_divide(F.col("extra"), F.col("spread") - F.col("noise")) - 1, F.lit(MAX_STRENGTH)),
-                F.lit(MIN_STRENGTH),
-            ),
-            F.lit(MAX_STRENGTH),
-        ).alias("fitted"),
-        (F.col("spread") <= F.col("noise")).alias("flat"),
-    ).select(*by, F.when(F.col("flat"), MAX_STRENGTH).otherwise(F.col("fitted")).alias("strength"))
+        F.least(F.count(F.lit(1)).cast("double"), F.lit(MAX_STRENGTH)).alias("most"),
+    )
+    fitted = F.try_divide(F.col("extra"), F.col("spread") - F.col("noise")) - 1
+    bounded = F.least(F.greatest(fitted, F.lit(MIN_STRENGTH)), F.col("most"))
+    return sums.select(*by, F.when(F.col("spread") <= F.col("noise"), F.col("most")).otherwise(bounded).alias("strength"))
 
 
 def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
     """Beta parameters (a, b) from rows (site, domain, suffix, bad 0/1): of every labelled site its posterior, of
     every domain the prior of its sites without labels, of every suffix the prior of its domains without labels.
 
-    Counts are summed before any shuffle, so a hot host arrives as one row per task. The priors of a level
-    are joined as tables of one row per name.
+    Counts are summed before any shuffle, so a hot host arrives as one row per task. The counts of sites and of
+    domains are written, since every level reads them again.
     """
+    spark = outcomes.sparkSession
     sites = outcomes.groupBy("suffix", "domain", "site").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    domains = sites.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    sites = written(spark, sites)
+    domains = written(spark, sites.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     root = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select(
         # Jeffreys prior at the root
@@ -116,8 +115,8 @@ def reputation(outcomes: DataFrame) -> dict[str, DataFrame]:
         return post.select(*by, (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
 
     by_suffix, _ = posterior(suffixes, root, [])
-    by_domain, new_domain = posterior(domains, mean(by_suffix, ["suffix"]), ["suffix"])
-    by_site, new_site = posterior(sites, mean(by_domain, ["suffix", "domain"]), ["suffix", "domain"])
+    by_domain, new_domain = posterior(domains, written(spark, mean(by_suffix, ["suffix"])), ["suffix"])
+    by_site, new_site = posterior(sites, written(spark, mean(by_domain, ["suffix", "domain"])), ["suffix", "domain"])
     return {"site": by_site.select("suffix", "domain", "site", "a", "b"), "domain": new_site, "suffix": new_domain}
 
 
@@ -148,20 +147,21 @@ def judge(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id", url:
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     base = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    base = base.withColumns(levels(F.col("host"))).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
+    base = written(pages.sparkSession, base.withColumns(levels(F.col("host"))))
 
     labels = outcomes.groupBy("id").agg(F.max("bad").alias("bad")).filter("bad is not null")
     # one outcome per labelled page, however often its row is repeated
     labelled = base.groupBy("page_id", "suffix", "domain", "site").agg(F.lit(1).alias("one"))
     evidence = labelled.join(labels, F.col("page_id") == F.col("id")).select("suffix", "domain", "site", "bad")
 
-    flags = bad_sites(evidence)
+    flags = written(pages.sparkSession, bad_sites(evidence))
     names = base.groupBy("suffix", "domain", "site").agg(F.count(F.lit(1)).alias("pages"))
     for level in ("site", "domain", "suffix"):
         of_level = flags.filter(F.col("level") == level).select(F.col("name").alias(level), F.col("bad").alias(f"{level}_bad"))
         names = names.join(of_level, level, "left")
     hosts = names.select("site", F.coalesce("site_bad", "domain_bad", "suffix_bad", F.lit(False)).alias("bad"))
-    return base.join(hosts, "site", "left").select(
+    judged = base.join(hosts, "site", "left").withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
+    return judged.select(
         "page_id",
         "host",
         "path",
