@@ -21,6 +21,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")
 
 
+def bounded_sample(df: DataFrame, n: int, key: str, rows: int) -> list:
+    """About ``rows`` of the ``n`` rows of ``df``, those with small hashes of ``key``, collected in their order.
+
+    Tasks drop the others themselves, so the driver gets twice that number at most, however many tasks there are.
+    """
+    spread = 1 << 30
+    share = min(spread, -(-rows * spread // max(n, 1)))
+    drawn = df.withColumn("__h", F.pmod(F.xxhash64(F.col(key)), F.lit(spread))).filter(F.col("__h") < share)
+    return sorted(drawn.limit(2 * rows).collect(), key=lambda r: (r["__h"], str(r[key])))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads every input bit over all output bits."""
     x = x.astype(np.uint64, copy=True)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_sample
+
 # Production parameters.
 K = 20
 SUBSTRING_BITS = 8
@@ -164,7 +166,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, n = shape["width"], shape["n"]
     rows = rows.filter(F.size("x") == width)
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE_ROWS).select("x").collect()
+    sample = bounded_sample(rows.select("vec_id", "x"), n, "vec_id", SAMPLE_ROWS)
     top = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))).first()[0]
     model = learn(np.array([r["x"] for r in sample]), top, k)
 

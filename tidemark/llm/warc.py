@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem
+from tidemark.llm.common import bounded_sample, filesystem
 from tidemark.session import shared_dir, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -50,13 +50,9 @@ def digest_of(payload: bytes) -> str:
 
 def train(pages: DataFrame, id_col: str, payload: str) -> bytes:
     """A dictionary from the first bytes of a bounded sample: the rows with the smallest hashes of their ids."""
-    sample = (
-        pages.filter(F.octet_length(F.col(payload)) > 0)
-        .select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(payload).cast("binary"), 1, DICTIONARY_SAMPLE_BYTES).alias("b"))
-        .orderBy("h")
-        .limit(DICTIONARY_ROWS)
-        .collect()
-    )
+    filled = pages.filter(F.octet_length(F.col(payload)) > 0)
+    starts = F.substring(F.col(payload).cast("binary"), 1, DICTIONARY_SAMPLE_BYTES)
+    sample = bounded_sample(filled.select(F.col(id_col).alias("id"), starts.alias("b")), filled.count(), "id", DICTIONARY_ROWS)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r["b"]) for r in sample]).as_bytes()
     except zstandard.ZstdError:
