@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import language, mixing, neardup, quality, sampling
-from tidemark.llm.common import table
-from tidemark.session import prepare, written
+from tidemark.llm.common import settle, table
+from tidemark.session import written
 
 # Draws, shuffles and segmentations of this pipeline follow from hashes and cannot be written in SQL.
 ORACLE_SQL = None
@@ -27,6 +27,7 @@ def _row_key(docs: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language the evidence settles."""
+    settle(spark)
     return language.identify_documents(docs).filter("kept").select("row.*")
 
 
@@ -81,7 +82,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written and read again."""
-    prepare(spark)
+    settle(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(spark, stage(spark, docs, sf_dir))

@@ -7,6 +7,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import prepare
+
 # White space that separates words; both regular expression dialects read it alike.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle(spark: SparkSession) -> SparkSession:
+    """Runtime settings of these operators on top of the package's."""
+    prepare(spark)
+    # operators write tables between jobs; the shuffles before them need not outlive their job
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    # whole texts travel in batches: fewer rows each keep the workers small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    return spark
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; no words for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")

@@ -44,8 +44,10 @@ BANDS, ROWS = 25, 5
 THRESHOLD = 85  # percent
 # An estimate is rejected if the threshold lies further off than this many standard deviations.
 DEVIATIONS = 4.0
-# Nodes of one block, and the share by which set sizes grow from one block range to the next.
-BLOCK = 256
+# Nodes of one block: a block pair is compared in one task, a node travels once per pair of its block.
+BLOCK = 2048
+# Size of the bitmap of nodes whose full sets are needed, as a power of two of bits.
+MARK_BITS = 26
 # Limit of equal registers by chance per bucket, for large sets of equal size, times two to the mantissa bits.
 CHANCE = 0.169919487159739093975315012348
 
@@ -159,7 +161,7 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         return pa.array(out, pa.int64())
 
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s"))
+    full = _marked(sets, needed).join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s"))
     full = written(pairs.sparkSession, full)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(
         full.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b"
@@ -169,6 +171,21 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return counted.filter(100 * F.col("inter") >= threshold * (F.col("size") - F.col("inter"))).select("a", "b")
 
 
+def _marked(sets: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``sets`` whose node may be needed, by a bitmap of hashed nodes.
+
+    Full sets are the widest rows here; most are needed by no pair and stay out of the shuffle. The bitmap has
+    2 ** MARK_BITS bits, 8 MB, however many nodes there are, and may be broadcast.
+    """
+    mark = F.pmod(F.xxhash64("node"), F.lit(1 << MARK_BITS))
+    bucket, place = F.shiftright(mark, 15), mark.bitwiseAND(F.lit((1 << 15) - 1))
+    bitmap = needed.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    byte = F.substring(F.col("bits"), (F.col("place") / 8 + 1).cast("int"), F.lit(1))
+    bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))"))
+    marked = sets.withColumns({"bucket": bucket, "place": place}).join(F.broadcast(bitmap), "bucket")
+    return marked.filter(bit != 0).select(*sets.columns)
+
+
 def _across(members: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs (a, b) of different components within groups, from (key, lo, hi, side, node, n, label, regs).
 

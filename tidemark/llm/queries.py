@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import counts, language, mixing, neardup, neighbours, quality, reputation, sampling, tokenfiles, warc
-from tidemark.llm.common import table
-from tidemark.session import prepare, written
+from tidemark.llm.common import settle, table
+from tidemark.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,9 +21,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
-            # intermediate shuffles of operators that write tables need not outlive the job
-            spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+            settle(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
