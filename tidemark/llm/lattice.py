@@ -20,7 +20,7 @@ ZIPF_OFFSET = 10.0
 # Weights are scaled by this factor per character, so that products stay in range.
 SCALE = 40.0
 # Positions of units whose lattices a worker keeps; about 100 bytes each.
-KEPT_POSITIONS = 1_000_000
+KEPT_POSITIONS = 300_000
 _MODELS: dict[str, Pieces] = {}
 
 
