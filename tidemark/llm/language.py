@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.wordcache import by_size
+from tidemark.session import written
 
 # Production parameters.
 LANGUAGES = ("en", "de", "fr", "es")
@@ -127,10 +128,9 @@ def identify(
 ) -> DataFrame:
     """(row, language, posterior, kept): ``row`` is the input row as one struct.
 
-    The likelihoods are computed once and written; priors and reliabilities are groupings of that table.
+    Likelihoods are computed twice, for the votes and for the result: that takes less than writing whole rows
+    in between. Priors and reliabilities are groupings of the votes.
     """
-    from tidemark.session import written
-
     nothing = F.lit(None).cast("string")
     base = rows.select(
         F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
@@ -144,7 +144,7 @@ def identify(
     names = [*languages, UNKNOWN]
     scored = base.withColumn("ll", likelihood(model)("text")).drop("text")
     vote = F.get(F.transform(F.array(F.col("ll")), lambda ll: F.array_position(ll, F.array_max(ll)).cast("int") - 1), F.lit(0))
-    scored = written(rows.sparkSession, scored.withColumn("vote", vote))
+    scored = scored.withColumn("vote", vote)
 
     counted = scored.filter("vote is not null").groupBy("host", "domain", "suffix", "declared", "vote").agg(F.count(F.lit(1)).alias("n"))
     counted = written(rows.sparkSession, counted)
@@ -167,7 +167,8 @@ def identify(
         right.select(*[F.col(k).alias(f"r_{k}") for k in keys], *[c for c in right.columns if c not in keys]),
         [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys], "left",
     ).drop(*[f"r_{k}" for k in keys])
-    table = same(same(hosts, domains, ["domain", "suffix"]), suffixes, ["suffix"])
+    # a written table has a known size, so few hosts are broadcast by the planner and texts stay where they are
+    table = written(rows.sparkSession, same(same(hosts, domains, ["domain", "suffix"]), suffixes, ["suffix"]))
     joined = same(scored, table, ["host", "domain", "suffix"])
 
     parts = [F.lit(p) for p in prior]

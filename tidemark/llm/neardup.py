@@ -161,7 +161,7 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         return pa.array(out, pa.int64())
 
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = _marked(sets, needed).join(needed, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("s"))
+    full = _marked(sets, needed).join(needed, "node").groupBy("node").agg(F.first("shingles").alias("s"))
     full = written(pairs.sparkSession, full)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(
         full.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b"
@@ -175,7 +175,8 @@ def _marked(sets: DataFrame, needed: DataFrame) -> DataFrame:
     """The rows of ``sets`` whose node may be needed, by a bitmap of hashed nodes.
 
     Full sets are the widest rows here; most are needed by no pair and stay out of the shuffle. The bitmap has
-    2 ** MARK_BITS bits, 8 MB, however many nodes there are, and may be broadcast.
+    2 ** MARK_BITS bits, 8 MB, however many nodes there are, and may be broadcast. (A semi join with the needed
+    nodes after it would be pushed below it, so that join is an inner one.)
     """
     mark = F.pmod(F.xxhash64("node"), F.lit(1 << MARK_BITS))
     bucket, place = F.shiftright(mark, 15), mark.bitwiseAND(F.lit((1 << 15) - 1))
