@@ -114,3 +114,9 @@ def test_calendar_and_newest(make_bars):
     assert rows.last_n(bars, 2).filter("symbol = 'A'").count() == 2
     change = {r.symbol: r.previous for r in rows.price_change(bars, "2000-01-03").collect()}
     assert change == {"A": 2.0, "B": 5.0}
+
+
+def test_zero_closes_do_not_end_the_job(make_bars, column):
+    bars = make_bars({"A": [1, 0, 2, 4]})
+    assert column(ind.percent_change(bars), "percent_change") == [0.0, -1.0, 0.0, 1.0]
+    assert ind.log_returns(bars).count() == 1

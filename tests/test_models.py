@@ -61,16 +61,16 @@ def test_multi_forest_predicts_every_horizon(training, make_bars):
 
 def test_classifiers_and_grid_resume(spark, training, tmp_path):
     small = {
-        "logistic": lambda: md.logistic(COLUMNS),
-        "svm": lambda: md.margin_machine(COLUMNS, normalised=True, iterations=5),
-        "perceptron": lambda: md.perceptron(COLUMNS, 0.3, 3, epochs=5),
-        "forest": lambda: md.deep_forest(COLUMNS, trees=2, depth=4),
+        "logistic": md.logistic,
+        "svm": lambda columns: md.margin_machine(columns, normalised=True, iterations=5),
+        "perceptron": lambda columns: md.perceptron(columns, 0.3, 3, epochs=5),
+        "forest": lambda columns: md.deep_forest(columns, trees=2, depth=4),
     }
     results = str(tmp_path / "results")
-    first = md.experiment_grid(spark, {"v": training}, {"logistic": small["logistic"]}, results)
+    first = md.experiment_grid(spark, {"v": (training, COLUMNS)}, {"logistic": small["logistic"]}, results)
     assert first.count() == 1
     done = first.select("variant", "classifier").cache()
-    table = md.experiment_grid(spark, {"v": training}, small, results, done)
+    table = md.experiment_grid(spark, {"v": (training, COLUMNS)}, small, results, done)
     assert sorted(r.classifier for r in table.collect()) == sorted(small)
     assert table.filter("accuracy between 0 and 1").count() == 4
 

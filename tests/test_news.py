@@ -68,3 +68,10 @@ def test_duplicates(spark):
     )
     got = {r.id: r.duplicate for r in news.unique_articles(df).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_missing_headlines_and_times_of_a_day(spark):
+    rows = [(1, "A", None, "u1", "d 10"), (2, "A", None, None, "d 10"), (3, "A", "h", "u1", "d 10"), (4, "A", "h", "u2", "d 11"), (5, "A", "h", "u2", "d 11")]
+    feed = spark.createDataFrame(rows, "id long, symbol string, headline string, url string, published string")
+    got = {r.id: r.duplicate for r in news.unique_articles(feed, "published").collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True}

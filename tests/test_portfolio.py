@@ -33,13 +33,11 @@ def test_rolling_ends_at_full_covariance(returns):
         assert r.cov == pytest.approx(full[r.symbol_i, r.symbol_j])
 
 
-def test_risk_does_not_depend_on_the_path(spark, returns):
-    cov = pf.covariance_matrix(pf.return_vectors(returns)).cache()
-    weights = pf.candidate_portfolios(spark.range(50).withColumnRenamed("id", "portfolio_id"), [f"S{s}" for s in range(7)]).cache()
-    by_matrix = {r.portfolio_id: r.risk for r in pf.portfolio_risk(weights, cov).collect()}
-    by_join = {r.portfolio_id: r.risk for r in pf.portfolio_risk(weights, cov, matrix_symbols=3).collect()}
-    assert by_matrix.keys() == by_join.keys() and len(by_join) == 50
-    assert all(by_matrix[k] == pytest.approx(by_join[k]) for k in by_join)
+@pytest.mark.parametrize("names", [10, 101, 2001])
+def test_risk_of_unknown_symbols(spark, names):
+    cov = spark.range(names).selectExpr("concat('S', id) AS symbol_i", "concat('S', id) AS symbol_j", "1.0D AS cov")
+    weights = spark.createDataFrame([(1, "S1", 0.5), (1, "unknown", 0.5)], "portfolio_id long, symbol string, weight double")
+    assert [r.risk for r in pf.portfolio_risk(weights, cov).collect()] == [0.25]
 
 
 def test_weights(spark):

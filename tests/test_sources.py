@@ -86,3 +86,17 @@ def test_registry_numbers(spark):
     df = spark.createDataFrame(data, "scope string, type string, model_number long, path string")
     got = {(r.scope, r.type): (r.next_number, r.latest_path) for r in latest_models(df).collect()}
     assert got == {("A", "SINGLE"): (4, "a3"), ("x", "MULTI"): (8, "m7"), ("y", "MULTI"): (8, "m2")}
+
+
+def test_unreadable_rows_do_not_end_the_job(spark):
+    daily = lines(spark, "2020-01-01,1,2,3,4,N/A", "2020-01-02,1,-,3,4,5", "2020-01-03,1,2,3,4,5")
+    assert [r.trade_date.day for r in bars.parse_daily(daily).collect()] == [3]
+    stored = spark.createDataFrame([], "symbol string")
+    assert bars.parse_backfill(lines(spark, "2020-01-01,1,2,3,4,4,-", "2020-01-02,1,2,3,4,4,5"), stored).count() == 1
+    index = lines(spark, "Date,Open,High,Low,Close", "null,1,2,3,4", "2020-01-02,1,2,3,4")
+    assert [r.close for r in bars.parse_index(index).collect()] == [4.0]
+    good = "A,2020-01-01T10:00:00-05:00,x,1,2,3,4,5"
+    history = lines(spark, good, good.replace("2020-01-01T10", "when"), good.replace(",5", ",N/A"), "A,Time,x,Open,High,Low,Close,Volume", "short")
+    kept, rejected = bars.parse_vendor_history(history)
+    assert kept.filter("ts is not null").count() == kept.count() == 1
+    assert sorted(r.line_no for r in rejected.collect()) == [1, 2, 4]

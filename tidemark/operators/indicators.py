@@ -48,13 +48,13 @@ def ratio(num: Column, den: Column) -> Column:
 
 def percent_change(bars: DataFrame, price: str = "close") -> DataFrame:
     before = F.lag(price).over(ordered())
-    return bars.withColumn("percent_change", F.coalesce((F.col(price) - before) / before, F.lit(0.0)))
+    return bars.withColumn("percent_change", F.coalesce(F.try_divide(F.col(price) - before, before), F.lit(0.0)))
 
 
 def log_returns(bars: DataFrame, hold: int = 1) -> DataFrame:
-    """Log return over ``hold`` rows, dated at the row it starts from."""
+    """Log return over ``hold`` rows, dated at the row it starts from; none where a close is 0."""
     ahead = F.lead("close", hold).over(ordered())
-    return bars.withColumn("log_return", F.log(ahead / F.col("close"))).filter("log_return is not null")
+    return bars.withColumn("log_return", F.log(F.try_divide(ahead, F.col("close")))).filter("log_return is not null")
 
 
 def direction_labels(bars: DataFrame, horizons, price: str = "close") -> DataFrame:

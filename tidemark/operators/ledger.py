@@ -65,7 +65,7 @@ def total_worth(trades: DataFrame, prices: DataFrame) -> DataFrame:
 
 def allocation_share(portfolio: DataFrame) -> DataFrame:
     total = portfolio.agg(F.sum("allocation")).scalar()
-    return portfolio.withColumn("share", F.col("allocation") / total)
+    return portfolio.withColumn("share", F.try_divide(F.col("allocation"), total))
 
 
 def allocation_ranking(portfolio: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def signal_backtest(signals: DataFrame) -> DataFrame:
             "horizon",
             "trade_date",
             F.col("exit.trade_date").alias("exit_date"),
-            (F.col("exit.close") / F.col("close") - 1).alias("gross_return"),
+            (F.try_divide(F.col("exit.close"), F.col("close")) - 1).alias("gross_return"),
         )
     )
 

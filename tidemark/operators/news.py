@@ -16,19 +16,22 @@ BOILERPLATE_OCCURRENCES = 5
 NEUTRAL = 0.5
 
 
-def unique_articles(articles: DataFrame) -> DataFrame:
+def unique_articles(articles: DataFrame, published: str = "published_date") -> DataFrame:
     """Drops exact repeats and flags later articles of a symbol sharing headline or url.
 
+    Repeats agree in symbol, headline, url and ``published``, the finest time there is. A missing headline or
+    url has no earlier article.
+
     The earliest article of each headline and url is an aggregate, so a
     headline that fills a third of the feed never becomes one task's group.
     """
-    kept = articles.groupBy("symbol", "headline", "published_date", "url").agg(F.min("id").alias("id"))
+    kept = articles.groupBy("symbol", "headline", published, "url").agg(F.min("id").alias("id"))
     by_headline = kept.groupBy("symbol", "headline").agg(F.min("id").alias("first_headline"))
     by_url = kept.groupBy("symbol", "url").agg(F.min("id").alias("first_url"))
     return (
-        kept.join(by_headline, ["symbol", "headline"])
-        .join(by_url, ["symbol", "url"])
-        .withColumn("duplicate", (F.col("first_headline") < F.col("id")) | (F.col("first_url") < F.col("id")))
+        kept.join(by_headline, ["symbol", "headline"], "left")
+        .join(by_url, ["symbol", "url"], "left")
+        .withColumn("duplicate", F.coalesce(F.least("first_headline", "first_url") < F.col("id"), F.lit(False)))
         .drop("first_headline", "first_url")
     )
 
@@ -101,7 +104,7 @@ def price_moves(articles: DataFrame, bars: DataFrame) -> DataFrame:
     """Percentage move per symbol and article date.
 
     First close on or after the date against the last close before it, as a
-    share of the former; null where either is missing. Articles shrink to
+    share of the former; null where either is missing or the former is 0. Articles shrink to
     their distinct dates before the ordered window, so it holds two rows per
     symbol and day at most.
     """
@@ -122,7 +125,7 @@ def price_moves(articles: DataFrame, bars: DataFrame) -> DataFrame:
         .select(
             "symbol",
             F.col("day").alias("published_date"),
-            ((F.col("on_price") - F.col("before_price")) / F.col("on_price") * 100).alias("move"),
+            (F.try_divide(F.col("on_price") - F.col("before_price"), F.col("on_price")) * 100).alias("move"),
         )
     )
 

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 COST_RATE = 0.1
 WEIGHT_TOLERANCE = 0.01
-# A covariance matrix of this many symbols takes 32 MB on an executor.
-MATRIX_SYMBOLS = 2000
 
 
 def return_stats(returns: DataFrame) -> DataFrame:
@@ -139,20 +137,11 @@ def portfolio_return(weights: DataFrame, means: DataFrame) -> DataFrame:
     return joined.groupBy("portfolio_id").agg(F.sum(F.col("weight") * F.col("mean")).alias("expected_return"))
 
 
-def portfolio_risk(weights: DataFrame, covariance: DataFrame, matrix_symbols: int = MATRIX_SYMBOLS) -> DataFrame:
-    """Variance of each portfolio.
+def portfolio_risk(weights: DataFrame, covariance: DataFrame) -> DataFrame:
+    """Variance of each portfolio; a weight on a symbol without covariances adds nothing.
 
-    A matrix of up to ``matrix_symbols`` symbols goes to every executor and
-    portfolios are scored in batches. A larger one stays a table: weights
-    meet it once per side, which never moves the matrix whole.
+    Weights meet the covariance table once per side, whatever its size, so it is never moved whole.
     """
-    names = [r[0] for r in covariance.select("symbol_i").distinct().limit(matrix_symbols + 1).collect()]
-    if len(names) <= matrix_symbols:
-        return _risk_by_matrix(weights, covariance, sorted(names))
-    return _risk_by_join(weights, covariance)
-
-
-def _risk_by_join(weights: DataFrame, covariance: DataFrame) -> DataFrame:
     half = (
         weights.join(covariance.withColumnRenamed("symbol_i", "symbol"), "symbol")
         .groupBy("portfolio_id", F.col("symbol_j").alias("symbol"))
@@ -165,34 +154,6 @@ def _risk_by_join(weights: DataFrame, covariance: DataFrame) -> DataFrame:
     )
 
 
-def _risk_by_matrix(weights: DataFrame, covariance: DataFrame, names: Sequence[str]) -> DataFrame:
-    position = {name: i for i, name in enumerate(names)}
-    matrix = np.zeros((len(names), len(names)))
-    for i, j, cov in covariance.select("symbol_i", "symbol_j", "cov").toPandas().itertuples(index=False):
-        matrix[position[i], position[j]] = cov
-    shared = weights.sparkSession.sparkContext.broadcast(matrix)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sigma = shared.value
-        for pdf in batches:
-            w = np.zeros((len(pdf), len(sigma)))
-            row = np.repeat(np.arange(len(pdf)), pdf["symbols"].map(len))
-            column = np.array([position[s] for part in pdf["symbols"] for s in part], dtype=int)
-            w[row, column] = np.concatenate(pdf["weights"].to_numpy())
-            yield pd.DataFrame({"portfolio_id": pdf["portfolio_id"], "risk": ((w @ sigma) * w).sum(axis=1)})
-
-    id_type = weights.schema["portfolio_id"].dataType.simpleString()
-    known = weights.filter(F.col("symbol").isin(list(names))) if len(names) <= 100 else weights
-    packed = known.groupBy("portfolio_id").agg(
-        F.sort_array(F.collect_list(F.struct("symbol", "weight"))).alias("held")
-    )
-    return packed.select(
-        "portfolio_id",
-        F.transform("held", lambda h: h.symbol).alias("symbols"),
-        F.transform("held", lambda h: h.weight).alias("weights"),
-    ).mapInPandas(score, f"portfolio_id {id_type}, risk double")
-
-
 def return_risk_ratio(returns: DataFrame, risks: DataFrame) -> DataFrame:
     both = returns.join(risks, "portfolio_id")
     none = (F.col("expected_return") == 0) | (F.col("risk") == 0)

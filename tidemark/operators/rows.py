@@ -80,7 +80,7 @@ def price_change(bars: DataFrame, today) -> DataFrame:
             "latest",
             "previous",
             (F.col("latest") - F.col("previous")).alias("change"),
-            ((F.col("latest") - F.col("previous")) / F.col("previous") * 100).alias("change_pct"),
+            (F.try_divide(F.col("latest") - F.col("previous"), F.col("previous")) * 100).alias("change_pct"),
             F.signum(F.col("latest") - F.col("previous")).cast("int").alias("direction"),
         )
     )

@@ -147,13 +147,8 @@ def load_replay_records(spark, sf):
 # --- classifiers -------------------------------------------------------------------
 
 
-# The queries train smaller forests than the defaults of the operators (100 trees per symbol, 500 over all
-# symbols): on one machine the full sizes take minutes and check nothing more.
-TREES = 20
-
-
 def training_table(spark, sf, partition_by=()):
-    return spread(written(spark, ft.training_set(daily_bars(spark, sf, "region"), HORIZONS), partition_by), "trade_date")
+    return written(spark, ft.training_set(daily_bars(spark, sf, "region"), HORIZONS), partition_by)
 
 
 def scores(spark, found):
@@ -163,14 +158,14 @@ def scores(spark, found):
 @query("rf_per_symbol")
 def rf_per_symbol(spark, sf):
     training = training_table(spark, sf, ("symbol",))
-    fitted = md.forest_per_symbol(training, FULL, symbols(spark, sf), numTrees=TREES)
+    fitted = md.forest_per_symbol(training, FULL, symbols(spark, sf))
     return scores(spark, {symbol: score for symbol, (score, _) in fitted.items()})
 
 
 @query("rf_multi")
 def rf_multi(spark, sf):
     names = symbols(spark, sf)
-    score = md.held_out_accuracy(md.multi_pipeline(FULL, len(names), numTrees=TREES), training_table(spark, sf))
+    score = md.held_out_accuracy(md.multi_pipeline(FULL, len(names)), training_table(spark, sf))
     return scores(spark, {"all symbols": score})
 
 
@@ -180,7 +175,7 @@ def predict_direction(spark, sf):
     bars = daily_bars(spark, sf, "region")
     table = written(spark, ft.features(bars))
     labelled = ind.direction_labels(table, HORIZONS).dropna(subset=FULL)
-    model = md.multi_pipeline(FULL, len(names), numTrees=TREES).fit(labelled)
+    model = md.multi_pipeline(FULL, len(names)).fit(labelled)
     return md.predict_direction(model, rows.latest_features(table, list(ind.INDICATORS)), HORIZONS)
 
 
@@ -191,7 +186,7 @@ def clf_logistic(spark, sf):
 
 @query("clf_random_forest")
 def clf_random_forest(spark, sf):
-    return scores(spark, {"random_forest": md.held_out_accuracy(md.deep_forest(FULL, TREES // 2), training_table(spark, sf))})
+    return scores(spark, {"random_forest": md.held_out_accuracy(md.deep_forest(FULL), training_table(spark, sf))})
 
 
 @query("clf_mlp")
@@ -211,8 +206,8 @@ def clf_svm(spark, sf):
 @query("experiment_grid")
 def experiment_grid(spark, sf):
     training = training_table(spark, sf)
-    variants = {"plain": training.select(*KEY, *PLAIN, "label"), "indicators": training}
-    pipelines = {"logistic": lambda: md.logistic(PLAIN), "svm_linear": lambda: md.margin_machine(PLAIN)}
+    variants = {"plain": (training, PLAIN), "indicators": (training, FULL)}
+    pipelines = {"logistic": md.logistic, "svm_linear": md.margin_machine}
     results = shared_dir(spark)
     first = md.experiment_grid(spark, {"plain": variants["plain"]}, pipelines, results)
     done = written(spark, first.select("variant", "classifier"))

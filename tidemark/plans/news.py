@@ -225,15 +225,20 @@ def sentiment_on_date(spark, sf):
 
 
 @query("duplicate_news", text_sql("""
-SELECT symbol, url, headline, published_date, id,
-       id > min(id) OVER (PARTITION BY symbol, headline) OR id > min(id) OVER (PARTITION BY symbol, url) AS duplicate
-FROM (SELECT symbol, headline, published_date, url, min(id) AS id FROM feed GROUP BY ALL)""", ARTICLES, """
-feed AS (SELECT id % 250 AS g, * EXCLUDE (symbol, published_date), 'Brand#' || (id % 5) AS symbol,
-  CAST(DATE '1995-01-02' + CAST(id % 3 AS INTEGER) AS DATE) AS published_date FROM articles)"""))
+SELECT symbol, url, headline, published, id,
+       (headline IS NOT NULL AND id > min(id) OVER (PARTITION BY symbol, headline))
+       OR (url IS NOT NULL AND id > min(id) OVER (PARTITION BY symbol, url)) AS duplicate
+FROM (SELECT symbol, headline, published, url, min(id) AS id FROM feed GROUP BY ALL)""", ARTICLES, """
+feed AS (SELECT id % 250 AS g, * EXCLUDE (symbol, published_date, headline, url), 'Brand#' || (id % 5) AS symbol,
+  CASE WHEN id % 7 <> 0 THEN headline END AS headline, CASE WHEN id % 6 <> 0 THEN url END AS url,
+  strftime(DATE '1995-01-02' + CAST(id % 3 AS INTEGER), '%Y-%m-%d ') || (10 + id % 2) AS published FROM articles)"""))
 def duplicate_news(spark, sf):
     feed = articles(spark, sf).withColumn("symbol", F.concat(F.lit("Brand#"), (F.col("id") % 5).cast("string")))
-    feed = feed.withColumn("published_date", F.expr("date_add(date'1995-01-02', cast(id % 3 as int))"))
-    return news.unique_articles(feed)
+    day = F.expr("cast(date_add(date'1995-01-02', cast(id % 3 as int)) as string)")
+    feed = feed.withColumn("published", F.concat(day, F.lit(" "), (10 + F.col("id") % 2).cast("string")))
+    feed = feed.withColumn("headline", F.expr("case when id % 7 <> 0 then headline end"))
+    feed = feed.withColumn("url", F.expr("case when id % 6 <> 0 then url end"))
+    return news.unique_articles(feed, "published")
 
 
 FLAGGED = """

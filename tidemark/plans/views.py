@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import spread
-
 HORIZONS = (1, 30, 200)
 
 
@@ -30,9 +28,9 @@ def trade_sequence() -> Column:
     would force a sort of every trade.
     """
     return F.expr(
-        "cast(l_orderkey as decimal(13,0)) * cast(1e24 as decimal(25,0))"
-        " + cast(l_linenumber as decimal(1,0)) * cast(1e23 as decimal(24,0))"
-        " + cast(l_partkey as decimal(12,0)) * cast(1e11 as decimal(12,0))"
+        "cast(l_orderkey as decimal(13,0)) * cast(1e25 as decimal(26,0))"
+        " + cast(l_linenumber as decimal(3,0)) * cast(1e22 as decimal(23,0))"
+        " + cast(l_partkey as decimal(11,0)) * cast(1e11 as decimal(12,0))"
         " + cast(l_suppkey as decimal(11,0))"
     )
 
@@ -40,7 +38,7 @@ def trade_sequence() -> Column:
 def trades(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
     """One row per line item, with ``symbol`` the part's brand or the supplier's region."""
     columns = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus")
-    line = spread(table(spark, sf_dir, "lineitem").select(*columns, "l_shipdate"), "l_orderkey")
+    line = table(spark, sf_dir, "lineitem").select(*columns, "l_shipdate")
     if by == "brand":
         named = line.join(
             table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("symbol")),
@@ -86,7 +84,7 @@ def daily_bars(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_ticks(spread(table(spark, sf_dir, "events"), "event_id"))
+    return as_ticks(table(spark, sf_dir, "events"))
 
 
 def as_ticks(events: DataFrame) -> DataFrame:
@@ -106,7 +104,7 @@ def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_articles(spread(table(spark, sf_dir, "documents"), "doc_id"))
+    return as_articles(table(spark, sf_dir, "documents"))
 
 
 def as_articles(documents: DataFrame) -> DataFrame:

@@ -45,14 +45,3 @@ def written(spark: SparkSession, df, partition_by: tuple[str, ...] = ()):
     path = shared_dir(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df, key: str):
-    """Give every core a share of a scan that has fewer splits than the cluster has cores.
-
-    Meant for per-row work that costs far more than moving the row; a scan
-    of a large table already has more splits and is left alone. Rows move by
-    the hash of ``key``, which should be close to unique.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

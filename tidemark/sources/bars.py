@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.text import fields_of, is_number
@@ -16,29 +16,36 @@ def _last_line_wins(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _numbers(first: int):
-    return [F.get("f", F.lit(first + i)).cast("double").alias(c) for i, c in enumerate(OHLCV)]
+    return [F.get("f", F.lit(first + i)).try_cast("double").alias(c) for i, c in enumerate(OHLCV)]
+
+
+def _readable() -> Column:
+    """All prices and the volume of a line are numbers."""
+    return F.concat(*[F.col(c).cast("string") for c in OHLCV]).isNotNull()
 
 
 def parse_daily(lines: DataFrame) -> DataFrame:
-    """``date[ time],open,high,low,close,volume``; headers and short lines are dropped."""
+    """``date[ time],open,high,low,close,volume``; headers, short lines and lines with a field that is no number are dropped."""
     rows = (
         lines.withColumn("f", fields_of())
         .filter((F.size("f") == 6) & is_number(F.get("f", F.lit(1))))
         .withColumn("trade_date", F.expr("try_cast(substring_index(f[0], ' ', 1) as date)"))
         .filter("trade_date is not null")
         .select("symbol", "line_no", "trade_date", *_numbers(1))
+        .filter(_readable())
     )
     return _last_line_wins(rows, "trade_date")
 
 
 def parse_intraday(lines: DataFrame) -> DataFrame:
-    """``timestamp,open,high,low,close,volume``; rows with an unreadable time are dropped."""
+    """``timestamp,open,high,low,close,volume``; rows with an unreadable time or number are dropped."""
     rows = (
         lines.withColumn("f", fields_of())
         .filter((F.size("f") == 6) & is_number(F.get("f", F.lit(1))))
         .withColumn("ts", F.expr("try_to_timestamp(f[0], 'yyyy-MM-dd HH:mm:ss')"))
         .filter("ts is not null")
         .select("symbol", "line_no", "ts", *_numbers(1))
+        .filter(_readable())
     )
     return _last_line_wins(rows, "ts")
 
@@ -54,9 +61,9 @@ def parse_backfill(lines: DataFrame, stored: DataFrame) -> DataFrame:
             "line_no",
             F.expr("try_cast(f[0] as date)").alias("trade_date"),
             *_numbers(1)[:4],
-            F.get("f", F.lit(6)).cast("double").alias("volume"),
+            F.get("f", F.lit(6)).try_cast("double").alias("volume"),
         )
-        .filter("trade_date is not null")
+        .filter(F.col("trade_date").isNotNull() & _readable())
     )
     return _last_line_wins(rows, "trade_date")
 
@@ -64,18 +71,18 @@ def parse_backfill(lines: DataFrame, stored: DataFrame) -> DataFrame:
 def parse_vendor_history(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Quoted vendor rows as (bars, rejected lines).
 
-    Rows with fewer than eight fields are rejected; rows without a numeric
-    fourth field are headers and are skipped. The time's offset is dropped.
+    Rows with fewer than eight fields, or with a time or number that cannot be
+    read, are rejected; rows without a numeric fourth field are headers and
+    are skipped. The time's offset is dropped.
     """
     split = lines.withColumn("f", F.split(F.regexp_replace("value", '"', ""), ","))
-    rejected = split.filter(F.size("f") < 8).select("symbol", "line_no", "value")
     local = F.regexp_extract(F.get("f", F.lit(1)), r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})", 0)
-    bars = (
-        split.filter((F.size("f") >= 8) & is_number(F.get("f", F.lit(3))))
-        .withColumn("ts", F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss")))
-        .select("symbol", "ts", *_numbers(3))
-    )
-    return bars, rejected
+    parsed = split.withColumn("ts", F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss"))).select("*", *_numbers(3))
+    short = F.size("f") < 8
+    row = ~short & is_number(F.get("f", F.lit(3)))
+    good = F.col("ts").isNotNull() & _readable()
+    rejected = parsed.filter(short | (row & ~good)).select("symbol", "line_no", "value")
+    return parsed.filter(row & good).select("symbol", "ts", *OHLCV), rejected
 
 
 def parse_vendor_quotes(lines: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def parse_vendor_quotes(lines: DataFrame) -> DataFrame:
         .select(
             F.get("f", F.lit(0)).alias("symbol"),
             F.try_to_timestamp("local", F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("ts"),
-            *[F.get("f", F.lit(field[c])).cast("double").alias(c) for c in OHLCV],
+            *[F.get("f", F.lit(field[c])).try_cast("double").alias(c) for c in OHLCV],
         )
     )
 
@@ -98,7 +105,8 @@ def parse_index(lines: DataFrame) -> DataFrame:
     return (
         lines.withColumn("f", fields_of())
         .filter(is_number(F.get("f", F.lit(4))))
-        .select(F.to_date(F.get("f", F.lit(0))).alias("trade_date"), F.get("f", F.lit(4)).cast("double").alias("close"))
+        .select(F.get("f", F.lit(0)).try_cast("date").alias("trade_date"), F.get("f", F.lit(4)).try_cast("double").alias("close"))
+        .filter("trade_date is not null and close is not null")
     )
 
 
