@@ -11,8 +11,9 @@ Nothing enumerates the pairs of a group:
 * documents with equal sets are one node, however many there are;
 * in every band group each node is first compared with the group's smallest and largest node only, which
   connects large groups of near copies with two candidates per node;
-* only groups that still hold several components are compared further, across components, in blocks of nodes
-  that lie close in set size (sets of sizes that differ by more than the threshold cannot be linked).
+* groups that still hold several components are joined to families by their commonest component, and the nodes
+  outside it are compared with all members in blocks: estimates by registers, full sets in the same task, likeliest
+  first, until their components have met. Rejected pairs stay in the task and are no rows.
 
 With 25 bands of 5 registers, two sets at the threshold of 0.85 share no band with probability 4e-7, and less
 above it. Nodes and shingles are 64-bit hashes.
@@ -44,8 +45,9 @@ BANDS, ROWS = 25, 5
 THRESHOLD = 85  # percent
 # An estimate is rejected if the threshold lies further off than this many standard deviations.
 DEVIATIONS = 4.0
-# Nodes of one block: a block pair is compared in one task, a node travels once per pair of its block.
+# Nodes and bytes of full sets of one block in the mean: a block pair is compared in one task.
 BLOCK = 2048
+BLOCK_BYTES = 16 << 20
 # Size of the bitmap of nodes whose full sets are needed, as a power of two of bits.
 MARK_BITS = 26
 # Limit of equal registers by chance per bucket, for large sets of equal size, times two to the mantissa bits.
@@ -161,16 +163,21 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         return pa.array(out, pa.int64())
 
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = _marked(sets, needed).join(needed, "node").groupBy("node").agg(F.first("shingles").alias("s"))
-    full = written(pairs.sparkSession, full)
-    both = pairs.join(full.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(
-        full.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b"
+    full = _sets(needed, sets)
+    both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
+        full.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
     )
     size = F.octet_length("s_a") / 8 + F.octet_length("s_b") / 8
     counted = both.select("a", "b", size.alias("size"), common("s_a", "s_b").alias("inter"))
     return counted.filter(100 * F.col("inter") >= threshold * (F.col("size") - F.col("inter"))).select("a", "b")
 
 
+def _sets(needed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, shingles) of the needed nodes, once each, as a written table."""
+    full = _marked(sets, needed).join(needed, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return written(needed.sparkSession, full)
+
+
 def _marked(sets: DataFrame, needed: DataFrame) -> DataFrame:
     """The rows of ``sets`` whose node may be needed, by a bitmap of hashed nodes.
 
@@ -187,89 +194,110 @@ def _marked(sets: DataFrame, needed: DataFrame) -> DataFrame:
     return marked.filter(bit != 0).select(*sets.columns)
 
 
-def _across(members: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components within groups, from (key, lo, hi, side, node, n, label, regs).
+def _within(group: dict, threshold: int) -> list[tuple[int, int]]:
+    """Links that join the components of one block pair: best estimates first, confirmed on full sets.
 
-    Rows arrive sorted by (key, lo, hi); a group is one pair of blocks, two blocks of BLOCK nodes at most in the mean.
+    Every pair of different components that may reach the threshold is confirmed or rejected, unless its
+    components have met before its turn.
     """
+    node, n, label, out, regs, sets = (group[k] for k in ("node", "n", "label", "out", "regs", "sets"))
+    label = label.copy()
+    found: list[tuple[int, int]] = []
+    for i in np.flatnonzero(out):
+        apart = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])))
+        if not len(apart):
+            continue
+        mine = np.broadcast_to(regs[i], (len(apart), BUCKETS))
+        size = np.full(len(apart), n[i])
+        ok = possible(mine, regs[apart], size, n[apart], threshold)
+        guess = estimate(mine[ok], regs[apart[ok]], size[ok], n[apart[ok]])[0]
+        others = apart[ok][np.argsort(-guess, kind="stable")]
+        own, step = np.frombuffer(sets[i], np.uint64), 1
+        while len(others):
+            taken, others = others[:step], others[step:]
+            step = min(4 * step, 256)
+            inter = _common(own, [sets[j] for j in taken])
+            for j in taken[100 * inter >= threshold * (n[i] + n[taken] - inter)]:
+                if label[j] != label[i]:
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+                    label[label == label[j]] = label[i]
+            others = others[label[others] != label[i]]
+    return found
+
+
+def _common(own: np.ndarray, others: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of one sorted set with others; no set is empty."""
+    flat = np.frombuffer(b"".join(others), np.uint64)
+    at = np.searchsorted(own, flat)
+    hit = own[np.minimum(at, len(own) - 1)] == flat
+    starts = np.cumsum([0] + [len(o) // 8 for o in others[:-1]])
+    return np.add.reduceat(hit.astype(np.int64), starts)
+
 
-    def pairs_of(group: dict) -> list[np.ndarray]:
-        node, n, label, side = group["node"], group["n"], group["label"], group["side"]
-        regs = group["regs"]
-        found = []
-        for i in range(len(node)):
-            others = np.arange(i + 1, len(node))
-            others = others[(label[others] != label[i]) & ((side[others] != side[i]) | (side[i] == 2))]
-            if len(others):
-                ok = possible(np.broadcast_to(regs[i], (len(others), BUCKETS)), regs[others], np.full(len(others), n[i]), n[others], threshold)
-                others = others[ok]
-                found.append(np.stack([np.minimum(node[i], node[others]), np.maximum(node[i], node[others])]))
-        return found
+def _across(members: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components, from (family, lo, hi, out, node, n, label, regs, shingles).
+
+    Rows arrive sorted by (family, lo, hi); such a group is one pair of blocks and is compared in one task.
+    """
+    numbers = ("family", "lo", "hi", "out", "node", "n", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "lo", "hi", "side", "node", "n", "label")
-        rest: dict[str, np.ndarray] | None = None
-
-        def split(data: dict, last: bool):
-            new = np.flatnonzero(
-                np.concatenate([[True], (np.diff(data["key"]) != 0) | (np.diff(data["lo"]) != 0) | (np.diff(data["hi"]) != 0)])
-            )
-            ends = [*new[1:].tolist(), len(data["key"])]
-            found: list[np.ndarray] = []
-            for a, b in list(zip(new.tolist(), ends, strict=True))[: None if last else -1]:
-                if b - a > 1:
-                    found += pairs_of({k: v[a:b] for k, v in data.items()})
-            kept = None if last else {k: v[new[-1] :] for k, v in data.items()}
-            return found, kept
-
-        def batch_of(found):
-            joined = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(joined[0], pa.int64()), pa.array(joined[1], pa.int64())], names=["a", "b"])
+        rest: dict | None = None
+
+        def links(data: dict, last: bool) -> tuple[pa.RecordBatch, dict | None]:
+            edge = np.zeros(len(data["node"]) - 1, bool)
+            for k in ("family", "lo", "hi"):
+                edge |= np.diff(data[k]) != 0
+            starts = [0, *(np.flatnonzero(edge) + 1).tolist(), len(data["node"])]
+            ends = starts if last else starts[:-1]
+            found = [pair for x, y in zip(ends, ends[1:], strict=False) for pair in _within({k: v[x:y] for k, v in data.items()}, threshold)]
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            batch = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return batch, None if last else {k: v[starts[-2] :] for k, v in data.items()}
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names} | {"regs": _matrix(batch.column("regs"))}
+            data = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in numbers}
+            data |= {"regs": _matrix(batch.column("regs")), "sets": batch.column("shingles").to_pylist()}
             if rest is not None:
-                data = {k: np.concatenate([rest[k], v]) for k, v in data.items()}
-            found, rest = split(data, False)
-            yield batch_of(found)
+                data = {k: rest[k] + v if k == "sets" else np.concatenate([rest[k], v]) for k, v in data.items()}
+            found, rest = links(data, False)
+            yield found
         if rest is not None:
-            yield batch_of(split(rest, True)[0])
+            yield links(rest, True)[0]
 
-    return members.select("key", "lo", "hi", "side", "node", "n", "label", "regs").mapInArrow(run, "a long, b long").distinct()
+    return members.select(*numbers, "regs", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
-def _classed(members: DataFrame) -> DataFrame:
-    """Adds the size class. Classes grow by the threshold's ratio, so linked sets lie in one or in neighbouring ones.
+def _families(placed: DataFrame) -> DataFrame:
+    """(family, node, label) of the groups that hold several components.
 
-    A group of one block needs no classes.
+    Groups are joined by their commonest component, the family. Two nodes of a group that lie in different
+    components are members of one family, and one of them lies outside its component: only those are compared
+    with all members. A large component that shows up in every band is one family with each member once.
     """
-    step = float(np.log(100 / THRESHOLD))
-    cls = F.when(F.col("m") <= BLOCK, 0).otherwise(F.floor(F.log(F.col("n")) / F.lit(step))).cast("int")
-    return members.withColumn("cls", cls)
+    counted = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    tops = counted.groupBy("key").agg(F.max(F.struct("c", "label")).getField("label").alias("family"), F.count(F.lit(1)).alias("parts"))
+    tops = written(placed.sparkSession, tops.filter("parts > 1").select("key", "family"))
+    return placed.join(tops, "key").select("family", "node", "label").distinct()
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Deals the nodes of each group into hashed blocks per size class, and each block to the blocks it may meet."""
-    largest = members.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
-    slices = F.ceil(F.max("c") / F.lit(BLOCK)).cast("int")
-    rows = members.join(largest.agg(slices.alias("slices")), "key")
-    own = F.col("cls") * F.col("slices") + F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    near = F.when(F.col("m") <= BLOCK, 0).otherwise(1)
-    first = (F.col("cls") - near) * F.col("slices")
-    last = (F.col("cls") + near + 1) * F.col("slices") - 1
-    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(first, last)))
-    return met.select(
-        "key",
-        F.least("own", "other").alias("lo"),
-        F.greatest("own", "other").alias("hi"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node",
-        "n",
-        "label",
-        "regs",
-    )
+    """Deals members into hashed blocks of bounded number and bytes: ``lo`` of nodes outside the component, ``hi`` of all."""
+    out = F.col("label") != F.col("family")
+    slices = lambda keep: F.greatest(
+        F.ceil(F.count_if(keep) / F.lit(BLOCK)), F.ceil(F.sum(F.when(keep, F.col("n"))) * 8 / F.lit(BLOCK_BYTES))
+    ).cast("int")
+    counted = members.groupBy("family").agg(slices(out).alias("los"), slices(F.lit(True)).alias("his"))
+    rows = members.join(counted, "family")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    names = ("family", "lo", "hi", "out", "node", "n", "label")
+    compared = rows.filter(out).withColumns({"lo": slot("los"), "hi": F.explode(every("his")), "out": F.lit(True)})
+    met = rows.withColumns({"hi": slot("his"), "lo": F.explode(every("los")), "out": F.lit(False)})
+    # a compared node also meets its own block once more as a member; that row has the same label and is passed over
+    return compared.select(*names).unionByName(met.select(*names))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -291,12 +319,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # groups that still hold more than one component; groups of two have been compared already
     known = F.coalesce("label", "node").alias("label")
-    placed = shared.filter("m > 2").select("key", "node").join(labels, "node", "left").select("key", "node", known)
-    mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m"))
-    mixed = written(spark, mixed.filter("x <> y").select("key", "m"))
-    members = placed.join(mixed, "key").join(nodes.select("node", "n", "regs"), "node")
-    blocks = _blocks(_classed(members)).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
-    more = written(spark, _links(written(spark, _across(blocks, threshold)), sets, threshold))
+    placed = written(spark, shared.filter("m > 2").select("key", "node").join(labels, "node", "left").select("key", "node", known))
+    members = written(spark, _families(placed).join(nodes.select("node", "n"), "node"))
+    full = _sets(members.select("node").distinct(), sets).join(nodes.select("node", "regs"), "node")
+    blocks = _blocks(members).join(full, "node").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    more = written(spark, _across(blocks, threshold))
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
     joined = joined.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b"))
