@@ -48,7 +48,7 @@ DEVIATIONS = 4.0
 # Nodes and bytes of full sets of one block in the mean: a block pair is compared in one task.
 BLOCK = 2048
 BLOCK_BYTES = 16 << 20
-# Size of the bitmap of nodes whose full sets are needed, as a power of two of bits.
+# Size of the bitmap of ids whose full sets are needed, as a power of two of bits.
 MARK_BITS = 26
 # Limit of equal registers by chance per bucket, for large sets of equal size, times two to the mantissa bits.
 CHANCE = 0.169919487159739093975315012348
@@ -90,8 +90,8 @@ def possible(a, b, n_a, n_b, threshold: int = THRESHOLD) -> np.ndarray:
     return sizes & (guess + slack >= threshold / 100)
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, node, regs, shingles) per row; node is null for an empty set."""
+def sketch(docs: DataFrame, id_col: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
+    """(id, n, node, regs) per row, with ``full`` also the sorted shingles; node is null for an empty set."""
     id_type = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,19 +102,16 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
                 sets = shingle_sets(part.column(1).to_pylist())
                 raw = [s.tobytes() for s in sets]
                 nodes = [int.from_bytes(hashlib.blake2b(r, digest_size=8).digest(), "little", signed=True) if r else None for r in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(nodes, pa.int64()),
-                        pa.array([registers(s).tobytes() for s in sets], pa.binary()),
-                        pa.array(raw, pa.binary()),
-                    ],
-                    names=["id", "n", "node", "regs", "shingles"],
-                )
+                columns = {
+                    "id": part.column(0),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                    "node": pa.array(nodes, pa.int64()),
+                    "regs": pa.array([registers(s).tobytes() for s in sets], pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns | ({"shingles": pa.array(raw, pa.binary())} if full else {}))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, n long, node long, regs binary, shingles binary")
+    return rows.mapInArrow(run, f"id {id_type}, n long, node long, regs binary" + (", shingles binary" if full else ""))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -151,7 +148,7 @@ def _candidates(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame
     return sized.filter(test("regs_a", "regs_b", "n_a", "n_b")).select("a", "b")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _links(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     @F.arrow_udf("long")
@@ -162,8 +159,6 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
         ]
         return pa.array(out, pa.int64())
 
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    full = _sets(needed, sets)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
         full.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
     )
@@ -172,26 +167,30 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return counted.filter(100 * F.col("inter") >= threshold * (F.col("size") - F.col("inter"))).select("a", "b")
 
 
-def _sets(needed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, shingles) of the needed nodes, once each, as a written table."""
-    full = _marked(sets, needed).join(needed, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+def _sets(rows: DataFrame, nodes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, shingles) of the needed nodes, once each, as a written table.
+
+    Full sets are wider than the texts and most are needed by no pair, so they are not kept from the first scan:
+    the texts of the needed nodes are sketched again, found by the smallest id of each node.
+    """
+    ids = needed.join(nodes, "node").select(F.col("rep").alias("id"))
+    again = sketch(_marked(rows, ids, "id"), "id", "text", full=True).select("node", "shingles")
+    full = again.join(needed, "node").groupBy("node").agg(F.first("shingles").alias("shingles"))
     return written(needed.sparkSession, full)
 
 
-def _marked(sets: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of ``sets`` whose node may be needed, by a bitmap of hashed nodes.
+def _marked(rows: DataFrame, needed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be needed, by a bitmap of hashed keys.
 
-    Full sets are the widest rows here; most are needed by no pair and stay out of the shuffle. The bitmap has
-    2 ** MARK_BITS bits, 8 MB, however many nodes there are, and may be broadcast. (A semi join with the needed
-    nodes after it would be pushed below it, so that join is an inner one.)
+    The bitmap has 2 ** MARK_BITS bits, 8 MB, however many keys there are, and may be broadcast: no row is shuffled.
     """
-    mark = F.pmod(F.xxhash64("node"), F.lit(1 << MARK_BITS))
+    mark = F.pmod(F.xxhash64(key), F.lit(1 << MARK_BITS))
     bucket, place = F.shiftright(mark, 15), mark.bitwiseAND(F.lit((1 << 15) - 1))
     bitmap = needed.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
     byte = F.substring(F.col("bits"), (F.col("place") / 8 + 1).cast("int"), F.lit(1))
     bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))"))
-    marked = sets.withColumns({"bucket": bucket, "place": place}).join(F.broadcast(bitmap), "bucket")
-    return marked.filter(bit != 0).select(*sets.columns)
+    marked = rows.withColumns({"bucket": bucket, "place": place}).join(F.broadcast(bitmap), "bucket")
+    return marked.filter(bit != 0).select(*rows.columns)
 
 
 def _within(group: dict, threshold: int) -> list[tuple[int, int]]:
@@ -308,20 +307,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = written(
         spark, named.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     )
-    sets = named.select("node", "shingles")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     keys = bands(nodes)
     groups = written(spark, keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("m")).filter("m > 1"))
     shared = written(spark, keys.join(groups, "key"))
     hubs = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).filter("node <> hub")
     pairs = hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = written(spark, _links(written(spark, _candidates(pairs, nodes, threshold)), sets, threshold))
+    pairs = written(spark, _candidates(pairs, nodes, threshold))
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    links = written(spark, _links(pairs, _sets(rows, nodes, ends), threshold))
     labels = components(links)
 
     # groups that still hold more than one component; groups of two have been compared already
     known = F.coalesce("label", "node").alias("label")
     placed = written(spark, shared.filter("m > 2").select("key", "node").join(labels, "node", "left").select("key", "node", known))
     members = written(spark, _families(placed).join(nodes.select("node", "n"), "node"))
-    full = _sets(members.select("node").distinct(), sets).join(nodes.select("node", "regs"), "node")
+    full = _sets(rows, nodes, members.select("node").distinct()).join(nodes.select("node", "regs"), "node")
     blocks = _blocks(members).join(full, "node").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
     more = written(spark, _across(blocks, threshold))
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
