@@ -190,3 +190,50 @@ def test_long_units_and_ids_match_the_library_vocabulary(vocabulary):
     _, _, ids, ends, *_ = sampling.sample_texts(lattice.pieces(path), [text], np.array([3], np.uint64), 2)
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         assert sp.decode(ids[a:b].tolist()) == text
+
+
+# units whose plain products of weights are below the smallest double
+RARE_TEXTS = [
+    "\n" * 60, "\t" * 50, "\n".join(str(i) for i in range(10, 45)), "\n".join("abcdefghijklmnopqrstuvwxyz" * 2), "\U0001f600\U0001f680" * 60,
+    "这个城市的历史博物馆今天上午开放了新的展览" * 8, "これは日本語で書かれた長い文章です" * 8, "การศึกษาภาษาไทยในประเทศไทย" * 6,
+]
+
+
+def ways(lat, position):
+    """Number of ways from a position to its unit's end."""
+    known = {-1: 1}
+
+    def count(at):
+        if at not in known:
+            known[at] = sum(count(int(lat.to[e])) for e in range(lat.edge[at], lat.edge[at] + lat.count[at]))
+        return known[at]
+
+    return count(position)
+
+
+def test_rare_characters_next_to_ordinary_texts(vocabulary):
+    model = lattice.pieces(vocabulary("piece_bpe_32k.model"))
+    texts = [t for rare in RARE_TEXTS for t in (rare, "An ordinary text of some words.", "")]
+    keys = lattice.mix64(np.arange(len(texts), dtype=np.uint64))
+    lat = lattice.Lattices(model, texts)
+    assert np.allclose(np.add.reduceat(lat.p, np.sort(lat.edge)), 1.0, atol=1e-12)
+    assert np.all(lat.p > 0) and np.all(np.isfinite(lat.c))
+    who, number, ids, ends, logs, tops, inclusion = sampling.sample_texts(model, texts, keys, 3)
+    assert np.all(np.isfinite(logs)) and np.all(np.isfinite(tops)) and np.all(inclusion <= 0) and not np.any(np.isnan(inclusion))
+    # pieces' own log probabilities: two samples of a text differ in log_prob as their pieces do
+    own = dict(zip(model.ids.tolist(), model.logs.tolist(), strict=True))
+    own |= {int(i): float(model.single_log[c]) for c, i in enumerate(model.single) if i >= 0}
+    rounds = sampling.search(lat, keys, 3)
+    for t, text in enumerate(texts):
+        mine = np.flatnonzero(who == t)
+        # all segmentations of a text that has fewer than 3
+        assert len(mine) == min(3, math.prod(ways(lat, b) for b in lat.begin[lat.first[t] : lat.first[t + 1]].tolist()))
+        weights = []
+        for _, edges, bounds, *_ in rounds[: len(mine)]:
+            pieces = lat.piece[edges[bounds[t] : bounds[t + 1]]]
+            weights.append(sum(model.byte_log if i < 0 else own[int(i)] for i in pieces))
+        assert np.allclose(logs[mine] - logs[mine[0]], np.array(weights) - weights[0], rtol=1e-6, atol=1e-4)
+        # a text's samples are those it has alone
+        alone = sampling.sample_texts(model, [text], keys[t : t + 1], 3)
+        assert alone[4].tolist() == logs[mine].tolist() and alone[6].tolist() == inclusion[mine].tolist()
+        assert alone[2].tolist() == [i for m in mine for i in ids[ends[m] : ends[m + 1]].tolist()]

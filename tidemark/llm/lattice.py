@@ -2,8 +2,8 @@
 
 A text is normalised as the model says (blanks become U+2581, one stands in front) and cut into units in front of
 every run of blanks; no piece crosses such a cut. Equal units share one lattice. Edges are found by walking all
-start positions down the trie of the pieces together, and each position gets the total weight of the ways from
-it to its unit's end, from which the probability of each edge follows.
+start positions down the trie of the pieces together, and each position gets the log of the total weight of the ways
+from it to its unit's end, from which the probability of each edge follows.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ SPACE = 0x2581
 UNIT_CHARS = 96
 # Pieces of a BPE model carry merge ranks, not probabilities; they follow Zipf's law with this offset.
 ZIPF_OFFSET = 10.0
-# Weights are scaled by this factor per character, so that products stay in range.
-SCALE = 40.0
 # Positions of units whose lattices a worker keeps; about 100 bytes each.
 KEPT_POSITIONS = 300_000
 _MODELS: dict[str, Pieces] = {}
@@ -231,27 +229,37 @@ def _build(m: Pieces, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) ->
     total = int(by_rank[-1])
     edge = np.empty(n, np.int64)
     edge[order] = by_rank[:-1]
-    piece, weight, to = np.empty(total, np.int32), np.empty(total), np.empty(total, np.int64)
+    piece, logs, to = np.empty(total, np.int32), np.empty(total), np.empty(total, np.int64)
     filled = edge.copy()
     for (at, ids, log), size in zip(reversed(found), reversed(lengths), strict=True):
         e = filled[at]
-        piece[e], weight[e] = ids, np.exp(log + size * np.log(SCALE))
+        piece[e], logs[e] = ids, log
         to[e] = np.where(left[at] == size, -1, at + size)
         filled[at] += 1
-    # total weight from each position to its unit's end; a target's rest is shorter
-    sums = np.zeros(n + 1)
-    sums[-1] = 1.0
+    # log of the total weight from each position to its unit's end; a target's rest is shorter
+    totals = np.zeros(n + 1)
+    p = np.empty(total)
     bounds = np.cumsum(np.bincount(left, minlength=1))
     for r in range(1, len(bounds)):
         low, high = bounds[r - 1], bounds[r]
         a, b = by_rank[low], by_rank[high]
         if high > low:
-            weight[a:b] *= sums[to[a:b]]
-            sums[order[low:high]] = np.add.reduceat(weight[a:b], by_rank[low:high] - a)
+            at, times = by_rank[low:high] - a, count[order[low:high]]
+            way = logs[a:b] + totals[to[a:b]]
+            # weights are taken relative to the position's heaviest edge, so that no sum is 0
+            top = np.maximum.reduceat(way, at)
+            weight = np.exp(way - np.repeat(top, times))
+            sums = np.add.reduceat(weight, at)
+            p[a:b] = weight / np.repeat(sums, times)
+            totals[order[low:high]] = top + np.log(sums)
     source = np.repeat(order, count[order])
-    p = weight / sums[source]
-    run = np.concatenate([[0.0], np.cumsum(p)])
-    c = run[1:] - np.repeat(run[by_rank[:-1]], count[order])
+    # running sums per position, one edge of every position at a time
+    c = p.copy()
+    more, rank = np.flatnonzero(count > 1), 1
+    while len(more):
+        c[edge[more] + rank] += c[edge[more] + rank - 1]
+        rank += 1
+        more = more[count[more] > rank]
     return {"codes": codes, "edge": edge, "count": count, "starts": starts[:-1], "to": to, "source": source, "piece": piece, "p": p, "c": c}
 
 

@@ -69,23 +69,34 @@ class _Path:
 
     def __init__(self, lattices: Lattices, edges, bounds, since):
         self.lattices, self.edges, self.bounds, self.since = lattices, edges, bounds, since
-        run = np.concatenate([[0.0], np.cumsum(np.log(lattices.p[edges]))])
-        self.run = run
-        self.total = run[bounds[1:]] - run[bounds[:-1]]
+        logs = np.log(lattices.p[edges])
+        # a running sum of its own per text, so that no text depends on those before it
+        self.run, self.total = np.zeros(len(edges)), np.zeros(len(bounds) - 1)
+        for text in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = bounds[text], bounds[text + 1]
+            run = np.cumsum(logs[a:b])
+            self.run[a + 1 : b], self.total[text] = run[:-1], run[-1]
         self.used: dict[int, list[int]] = {}
         self.opened: dict[int, np.ndarray] = {}
 
-    def before(self, text, at):
-        """Log probability of the path of ``text`` up to edge number ``at`` of all edges."""
-        return self.run[at] - self.run[self.bounds[text]]
+    def before(self, at):
+        """Log probability of a text's path up to edge number ``at`` of all edges."""
+        return self.run[at]
 
-    def _locations(self, text, at):
+    def _locations(self, at):
         """Log probabilities of leaving the path at edges ``at``; -inf where there is no other edge."""
         e = self.edges[at]
         node = self.lattices.source[e]
         rest = 1.0 - self.lattices.p[e]
-        sole = (self.lattices.count[node] == 1) | (rest <= 1e-14)
-        return np.where(sole, -np.inf, self.before(text, at) + np.log(np.where(sole, 1.0, rest)))
+        # next to 1 the difference has few digits: the other edges are summed
+        close = np.flatnonzero((rest < 1e-4) & (self.lattices.count[node] > 1))
+        if len(close):
+            size = self.lattices.count[node[close]]
+            every = np.repeat(self.lattices.edge[node[close]], size) + _ramp(size)
+            others = np.where(every == np.repeat(e[close], size), 0.0, self.lattices.p[every])
+            rest[close] = np.add.reduceat(others, np.cumsum(size) - size)
+        sole = (self.lattices.count[node] == 1) | (rest <= 0)
+        return np.where(sole, -np.inf, self.before(at) + np.log(np.where(sole, 1.0, rest)))
 
     def leave(self, keys: np.ndarray, limit: np.ndarray, sample: int) -> None:
         """Draws the keys of leaving, below ``limit`` per text. Column OWN_KEYS is the group of the later ones."""
@@ -95,12 +106,12 @@ class _Path:
         text = np.repeat(np.arange(n), own)
         at = np.repeat(self.bounds[:-1] + self.since, own) + _ramp(own)
         self.keys = np.full((n, OWN_KEYS + 1), -np.inf)
-        drawn = _below(self._locations(text, at), limit[text], _noise(_streams(keys, LEAVE, sample)[text], at - self.bounds[text]))
+        drawn = _below(self._locations(at), limit[text], _noise(_streams(keys, LEAVE, sample)[text], at - self.bounds[text]))
         self.keys[text, _ramp(own)] = drawn
         more = np.flatnonzero(size - self.since > OWN_KEYS)
         if len(more):
             mark = self.bounds[more] + self.since[more] + OWN_KEYS
-            before = self.before(more, mark)
+            before = self.before(mark)
             with np.errstate(divide="ignore"):
                 location = before + np.log(-np.expm1(np.minimum(self.total[more] - before, 0.0)))
             self.keys[more, OWN_KEYS] = _below(location, limit[more], _noise(_streams(keys, REST, sample)[more], 0))
@@ -122,7 +133,7 @@ class _Path:
         """
         key = self.keys[text, OWN_KEYS]
         at = np.arange(self.bounds[text] + self.since[text] + OWN_KEYS, self.bounds[text + 1])
-        location = self._locations(np.full(len(at), text), at)
+        location = self._locations(at)
         weight = np.exp(location - location.max())
         streams = np.repeat(_streams(keys[text : text + 1], OPEN, sample), len(at) + 1)
         u = _noise(streams, np.arange(len(at) + 1))
@@ -210,7 +221,7 @@ def search(lattices: Lattices, keys: np.ndarray, k: int) -> list[tuple]:
             turn[t], at[t], resume[t] = chosen, where, owners[which[t]][where]
             # what else leaves here lies below the key just taken
             rest = sum(w for e, w in zip(options, weights, strict=True) if e != chosen)
-            location = path.before(t, where) + np.log(rest) if rest > 0 else -np.inf
+            location = path.before(where) + np.log(rest) if rest > 0 else -np.inf
             path.set_key(t, col, _below(np.array([location]), top[t : t + 1], again[t : t + 1])[0])
         # units behind the turn are drawn anew; the unit of the turn goes on where its edge ends
         turned = np.flatnonzero(present)
