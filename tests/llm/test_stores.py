@@ -126,6 +126,36 @@ def test_odd_vectors(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def repeated_vectors(times):
+    """Rows that repeat ids: ``times`` gives the copies of each id, each a little off the first."""
+    rng = np.random.default_rng(3)
+    ids = np.repeat(np.arange(len(times)), times)
+    x = rng.normal(size=(len(times), 16))[ids] + 0.05 * rng.normal(size=(len(ids), 16))
+    return ids, x
+
+
+@pytest.mark.parametrize("times", [[2] * 900, [90 if i % 10 == 5 else 1 for i in range(600)]], ids=["twice", "hot"])
+def test_repeated_ids_count_once(spark, times):
+    ids, x = repeated_vectors(times)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    asked = len(times) // 30
+    got = {}
+    for r in neighbours.search(rows, F.col("vec_id") % asked == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    # the best score of every id per row that asks
+    asking = np.flatnonzero(ids % asked == 0)
+    starts = np.flatnonzero(np.diff(ids, prepend=-1))
+    best = np.maximum.reduceat(x[asking] @ x.T, starts, axis=1)
+    assert set(got) == set(ids[asking].tolist()) and all(len(found) == 20 for found in got.values())
+    hits = 0
+    for q, found in got.items():
+        mine = best[ids[asking] == q]
+        assert all(any(v == pytest.approx(m[i]) for m in mine) for i, v in found.items())
+        order = [i for i in np.argsort(-mine.max(axis=0)).tolist() if i != q]
+        hits += len(set(found) & set(order[:20]))
+    assert hits > 0.95 * 20 * len(got)
+
+
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
 def test_stages_take_odd_rows(spark, odd_docs, stage):
     out = stage[1](spark, odd_docs, SF)

@@ -15,7 +15,7 @@ parameters, whose size depends on the dimension alone.
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than
 most vectors take no part. Ties go to smaller ids; a query skips every row with its own id; rows that repeat an
 id are reported once, with their best score. With fewer candidates than k all are returned: a query block
-that finds fewer than k within the radius doubles its radius until it has k or all. An empty table gives no rows.
+that finds fewer than k ids within the radius doubles its radius until it has k or all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -125,6 +125,10 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def search_block(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, model: dict, k: int):
     """(query id, id, score) lists of the best k rows of the block per query."""
+    # rows of an id stand together
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    distinct, group = np.unique(ids, return_inverse=True)
     index, codes = Index(encode(x, model, False)), encode(q, model, True)
     out: tuple[list, list, list] = ([], [], [])
     for row, code in enumerate(codes):
@@ -133,22 +137,28 @@ def search_block(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarra
         while True:
             rows = index.within(code, radius)
             rows = rows[ids[rows] != asked[row]]
-            if len(rows) >= k or radius >= model["bits"]:
+            first = np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[:1]] - 1))
+            if len(first) >= k or radius >= model["bits"]:
                 break
             if others is None:
-                others = int((ids != asked[row]).sum())
-            if len(rows) == others:
+                others = len(distinct) - int(asked[row] in distinct)
+            if len(first) == others:
                 break
             radius = min(model["bits"], 2 * radius + 1)
-        scores = x[rows] @ q[row]
-        if len(rows) > 4 * k:
-            bar = np.partition(scores, len(rows) - k)[len(rows) - k]
-            rows, scores = rows[scores >= bar], scores[scores >= bar]
-        best = np.lexsort([ids[rows], -scores])
-        _, first = np.unique(ids[rows][best], return_index=True)
-        best = best[np.sort(first)][:k]
+        # the best score of every id found, over all of its rows
+        if len(distinct) < len(ids):
+            some = np.zeros(len(distinct), bool)
+            some[group[rows]] = True
+            rows = np.flatnonzero(some[group])
+            first = np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[:1]] - 1))
+        found, scores = ids[rows][first], x[rows] @ q[row]
+        scores = np.maximum.reduceat(scores, first) if len(first) else scores
+        if len(found) > 4 * k:
+            bar = np.partition(scores, len(found) - k)[len(found) - k]
+            found, scores = found[scores >= bar], scores[scores >= bar]
+        best = np.lexsort([found, -scores])[:k]
         out[0].extend([asked[row]] * len(best))
-        out[1].extend(ids[rows][best])
+        out[1].extend(found[best])
         out[2].extend(scores[best])
     return out
 
@@ -168,7 +178,8 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
     rows = rows.filter(F.size("x") == width)
     sample = bounded_sample(rows.select("vec_id", "x"), n, "vec_id", SAMPLE_ROWS)
     top = rows.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))).first()[0]
-    model = learn(np.array([r["x"] for r in sample]), top, k)
+    # an id counts once among the neighbours that the radius is fitted on
+    model = learn(np.array(list({r["vec_id"]: r["x"] for r in sample}.values())), top, k)
 
     n_blocks = math.ceil(n / BLOCK_VECTORS)
     n_asked = rows.filter("asked").count()
