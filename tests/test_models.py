@@ -40,6 +40,28 @@ def test_variants(make_bars):
     assert counts == {(1.0, False): 39, (0.1, False): 39, (0.5, False): 39}
 
 
+def test_all_variants_are_written(spark):
+    from tidemark.plans import models as plans
+
+    grid = plans.written_variants(spark, "/root/testdata/sf0.001")
+    found = {(r.variant, r.alpha, r.indicators, r.with_sentiment) for r in grid.select("variant", "alpha", "indicators", "with_sentiment").distinct().collect()}
+    assert len(found) == 40 and len({v for v, *_ in found}) == 40
+    with_mood = grid.filter("with_sentiment")
+    assert with_mood.filter("sentiment is null").count() == 0 and grid.filter("not with_sentiment and sentiment is not null").count() == 0
+    assert with_mood.select("sentiment").distinct().count() > 10
+
+
+def test_predictions_use_sentiment(spark, monkeypatch):
+    from tidemark.plans import models as plans
+
+    seen = []
+    small = md.multi_pipeline
+    monkeypatch.setattr(md, "multi_pipeline", lambda columns, n: seen.append(columns) or small(columns, n, numTrees=2, maxDepth=3))
+    got = plans.predict_direction(spark, "/root/testdata/sf0.001").collect()
+    assert "sentiment" in seen[0]
+    assert len(got) == len({(r.symbol, r.horizon) for r in got}) > 0
+
+
 def test_forest_per_symbol_and_registry(spark, training, tmp_path):
     fitted = md.forest_per_symbol(training, COLUMNS, ["A", "B"], numTrees=5, maxDepth=6)
     assert set(fitted) == {"A", "B"} and all(score > 0.6 for score, _ in fitted.values())

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.operators import features as ft
 from tidemark.operators import indicators as ind
 from tidemark.operators import models as md
-from tidemark.operators import rows
+from tidemark.operators import news, rows
 from tidemark.plans import sql
 from tidemark.plans import series as ser
 from tidemark.plans.ledger import SIGNALS, signals
-from tidemark.plans.news import TO_SCORES, scored_articles
+from tidemark.plans.news import TO_SCORES, gram_table, scored_articles
 from tidemark.plans.portfolio import symbols, uniform_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views import HORIZONS, daily_bars
@@ -23,6 +23,7 @@ ORD = ser.ORD
 KEY = ["symbol", "trade_date"]
 PLAIN = ft.feature_columns(indicators=False)
 FULL = ft.feature_columns()
+MOODED = ft.feature_columns(sentiment=True)
 
 CHANGE = f"coalesce((close - lag(close) OVER {ORD}) / lag(close) OVER {ORD}, 0) AS percent_change"
 LABELS = "labels AS (" + " UNION ALL ".join(
@@ -65,6 +66,26 @@ VARIANT_PRICES = "series AS (SELECT symbol, rn, 1.0::DOUBLE AS alpha, close AS p
     f" UNION ALL SELECT symbol, rn, {a!r}::DOUBLE, y{i} FROM scan" for i, a in enumerate(ft.ALPHAS)) + ")"
 
 
+def region_scores(spark, sf):
+    """Articles scored on the prices of the regions, to which they are dealt by id."""
+    return news.article_sentiment(*gram_table(spark, sf, symbols(spark, sf)))
+
+
+def region_mood(scored):
+    """Mean mood per region and day."""
+    return scored.groupBy("symbol", F.col("published_date").alias("trade_date")).agg(F.avg("mood").alias("sentiment"))
+
+
+def written_variants(spark, sf):
+    """Training rows of all 40 variants, in one folder per variant."""
+    mood = written(spark, region_mood(region_scores(spark, sf)))
+    return written(spark, ft.variant_grid(daily_bars(spark, sf, "region"), HORIZONS, sentiment=mood), ("variant",))
+
+
+def variant_counts(grid, *key):
+    return grid.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("rises"))
+
+
 @query("variant_grid", sql.region(f"""
 SELECT alpha, horizon, indicators, count(*) AS rows, CAST(sum(label) AS BIGINT) AS rises FROM (
   SELECT alpha, rn, horizon, CASE WHEN ahead - p >= 0 THEN 1 ELSE 0 END AS label FROM (""" + " UNION ALL ".join(
@@ -72,11 +93,18 @@ SELECT alpha, horizon, indicators, count(*) AS rows, CAST(sum(label) AS BIGINT)
     + """) WHERE ahead IS NOT NULL), (VALUES (true), (false)) AS i(indicators)
 WHERE NOT indicators OR rn >= 200 GROUP BY ALL""", VARIANT_BASE, sql.scan(VARIANT_STATES), VARIANT_PRICES, recursive=True))
 def variant_grid(spark, sf):
-    path = shared_dir(spark)
-    ft.variant_grid(daily_bars(spark, sf, "region"), HORIZONS).write.partitionBy("variant").parquet(path)
-    return spark.read.parquet(path).groupBy("alpha", "horizon", "indicators").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("label").alias("rises")
-    )
+    # the SQL counts one of the two sentiment sets, which have the same rows
+    return variant_counts(written_variants(spark, sf).filter("not with_sentiment"), "alpha", "horizon", "indicators")
+
+
+@query("variant_grid_sentiment", sql.region(f"""
+SELECT alpha, horizon, indicators, with_sentiment, count(*) AS rows, CAST(sum(label) AS BIGINT) AS rises FROM (
+  SELECT alpha, rn, horizon, CASE WHEN ahead - p >= 0 THEN 1 ELSE 0 END AS label FROM (""" + " UNION ALL ".join(
+    f"SELECT alpha, rn, p, {h}::INTEGER AS horizon, lead(p, {h}) OVER (PARTITION BY symbol, alpha ORDER BY rn) AS ahead FROM series" for h in HORIZONS)
+    + """) WHERE ahead IS NOT NULL), (VALUES (true), (false)) AS i(indicators), (VALUES (true), (false)) AS m(with_sentiment)
+WHERE NOT indicators OR rn >= 200 GROUP BY ALL""", VARIANT_BASE, sql.scan(VARIANT_STATES), VARIANT_PRICES, recursive=True))
+def variant_grid_sentiment(spark, sf):
+    return variant_counts(written_variants(spark, sf), "alpha", "horizon", "indicators", "with_sentiment")
 
 
 @query("split_70_30", sql.brand(f"""
@@ -173,10 +201,14 @@ def rf_multi(spark, sf):
 def predict_direction(spark, sf):
     names = symbols(spark, sf)
     bars = daily_bars(spark, sf, "region")
-    table = written(spark, ft.features(bars))
-    labelled = ind.direction_labels(table, HORIZONS).dropna(subset=FULL)
-    model = md.multi_pipeline(FULL, len(names)).fit(labelled)
-    return md.predict_direction(model, rows.latest_features(table, list(ind.INDICATORS)), HORIZONS)
+    scored = written(spark, region_scores(spark, sf))
+    table = written(spark, ft.features(bars, sentiment=region_mood(scored)))
+    labelled = ind.direction_labels(table, HORIZONS).dropna(subset=MOODED)
+    model = md.multi_pipeline(MOODED, len(names)).fit(labelled)
+    # the rows to predict have the sentiment of the latest trade date
+    today = news.latest_day_sentiment(bars, scored).select("symbol", "sentiment")
+    latest = rows.latest_features(table, list(ind.INDICATORS)).drop("sentiment").join(today, "symbol")
+    return md.predict_direction(model, latest, HORIZONS)
 
 
 @query("clf_logistic")

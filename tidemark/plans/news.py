@@ -88,10 +88,15 @@ def stripped_articles(spark, sf):
     return news.strip_boilerplate(sentenced, news.sentence_counts(sentenced))
 
 
-def gram_table(spark, sf):
-    stripped = written(spark, stripped_articles(spark, sf))
+def gram_table(spark, sf, regions=()):
+    """Stripped articles and gram statistics, on the prices of the brands or of ``regions``, to which articles are dealt by id."""
+    stripped = stripped_articles(spark, sf)
+    if regions:
+        names = F.array(*map(F.lit, regions))
+        stripped = stripped.withColumn("symbol", F.get(names, F.pmod("id", F.lit(len(regions))).cast("int")))
+    stripped = written(spark, stripped)
     # Stored, so that its size is known when the join is planned: one row per symbol and article date.
-    moves = written(spark, news.price_moves(stripped, daily_bars(spark, sf)))
+    moves = written(spark, news.price_moves(stripped, daily_bars(spark, sf, "region" if regions else "brand")))
     return stripped, news.ngram_stats(stripped, moves)
 
 
