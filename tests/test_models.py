@@ -97,6 +97,32 @@ def test_classifiers_and_grid_resume(spark, training, tmp_path):
     assert table.filter("accuracy between 0 and 1").count() == 4
 
 
+def test_experiments_cover_all_variants_and_classifiers(spark, monkeypatch):
+    from tidemark.plans import models as plans
+
+    grid = plans.written_variants(spark, "/root/testdata/sf0.001").filter("symbol = 'ASIA'").cache()
+    monkeypatch.setattr(plans, "written_variants", lambda *_: grid)
+    fitted = {}
+
+    def accuracy(pipeline, rows):
+        found = rows.select("variant").distinct().collect()
+        assembled = next(s for s in pipeline.getStages() if s.hasParam("inputCols")).getInputCols()
+        assert len(found) == 1 and rows.select(assembled).dropna().count() == rows.count()
+        fitted.setdefault(found[0].variant, []).append(len(assembled))
+        return 0.5
+
+    monkeypatch.setattr(md, "held_out_accuracy", accuracy)
+    got = plans.experiment_grid(spark, "/root/testdata/sf0.001").collect()
+    assert len({(r.variant, r.classifier) for r in got}) == len(got) == 40 * 9
+    assert {v: {len(c)} for v, (_, c) in plans.variant_tables(grid).items()} == {v: set(n) for v, n in fitted.items()}
+
+
+def test_third_margin_machine(training):
+    names = [n for n in md.classifiers(COLUMNS) if n.startswith("svm")]
+    assert len(names) == 3
+    assert 0 <= md.held_out_accuracy(md.margin_machine(COLUMNS, iterations=5, calibrated=False), training) <= 1
+
+
 def test_text_exports_round_trip(spark, training, tmp_path):
     path = str(tmp_path / "t.svm")
     exports.export_libsvm(training, path, COLUMNS)

@@ -114,13 +114,15 @@ def perceptron(columns: Sequence[str], rate: float, hidden: int, epochs: int = 5
     )
 
 
-def margin_machine(columns: Sequence[str], normalised: bool = False, iterations: int = 100) -> Pipeline:
-    """Linear support vector machine with its margin calibrated by a logistic regression."""
+def margin_machine(columns: Sequence[str], normalised: bool = False, iterations: int = 100, calibrated: bool = True) -> Pipeline:
+    """Linear support vector machine with its margin calibrated by a logistic regression, or with the margin's side as prediction."""
     vector = "unit" if normalised else "features"
     stages = [Normalizer(p=2.0, inputCol="features", outputCol="unit")] if normalised else []
     machine = LinearSVC(
-        featuresCol=vector, maxIter=iterations, rawPredictionCol="margin", predictionCol="side", regParam=1e-4
+        featuresCol=vector, maxIter=iterations, rawPredictionCol="margin", predictionCol="side" if calibrated else "prediction", regParam=1e-4
     )
+    if not calibrated:
+        return _scaled(columns, *stages, machine)
     calibration = LogisticRegression(featuresCol="margin", rawPredictionCol="log_odds", probabilityCol="chance")
     return _scaled(columns, *stages, machine, calibration)
 
@@ -136,6 +138,8 @@ def classifiers(columns: Sequence[str]) -> dict[str, Callable[[], Pipeline]]:
         "random_forest": lambda: deep_forest(columns),
         "svm_linear": lambda: margin_machine(columns),
         "svm_normalised": lambda: margin_machine(columns, normalised=True),
+        # labelled RBF in the blueprint, with the linear kernel and a calibrator that is no classifier
+        "svm_labelled_rbf": lambda: margin_machine(columns, calibrated=False),
     }
     for rate in (0.1, 0.3):
         for hidden in (1, 3):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+from itertools import product
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -235,12 +238,25 @@ def clf_svm(spark, sf):
     return scores(spark, md.held_out_accuracies(grid, training))
 
 
+def variant_tables(grid):
+    """Rows and own feature columns of every variant of the written grid."""
+    variants = {}
+    for alpha, indicators, mood in product((1.0, *ft.ALPHAS), (False, True), (False, True)):
+        name = f"a_{alpha}" + "_ind" * indicators + "_sent" * mood
+        variants[name] = grid.filter(F.col("variant") == name), ft.feature_columns(alpha != 1.0, indicators, mood)
+    return variants
+
+
+def made(name, columns):
+    return md.classifiers(columns)[name]()
+
+
 @query("experiment_grid")
 def experiment_grid(spark, sf):
-    training = training_table(spark, sf)
-    variants = {"plain": (training, PLAIN), "indicators": (training, FULL)}
-    pipelines = {"logistic": md.logistic, "svm_linear": md.margin_machine}
+    variants = variant_tables(written_variants(spark, sf))
+    pipelines = {name: partial(made, name) for name in md.classifiers(PLAIN)}
     results = shared_dir(spark)
-    first = md.experiment_grid(spark, {"plain": variants["plain"]}, pipelines, results)
+    start = next(iter(variants))
+    first = md.experiment_grid(spark, {start: variants[start]}, pipelines, results)
     done = written(spark, first.select("variant", "classifier"))
     return md.experiment_grid(spark, variants, pipelines, results, done)
