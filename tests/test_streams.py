@@ -94,3 +94,20 @@ def test_alerts(spark, landed, tmp_path):
     st.append_to(out, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     want = [r.price * 2 for r in ticks(spark).filter("symbol = 'A' and (price * 2 <= 50 or price * 2 >= 150)").collect()]
     assert sorted(r.worth for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(want)
+
+
+def test_late_rows_of_the_table_are_dropped_and_state_is_evicted(spark, tmp_path):
+    from tidemark.plans import streams as plans
+
+    sf = "/root/testdata/sf0.001"
+    low = spark.read.parquet(f"{sf}/events.parquet").agg(F.min("ts")).first()[0]
+    out = plans.stream_late_dropped(spark, sf)
+    assert out.count() > 0 and out.filter(F.col("ts") < F.date_trunc("minute", F.lit(low))).count() == 0
+    bars = st.stream_bars(plans.as_ticks(plans.arriving_events(spark, sf)), "1 minute", plans.DELAY)
+    query = st.log_changes(bars, f"{tmp_path}/out", f"{tmp_path}/state", mode="update")
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["stateOperators"]]
+    total = st.read_log(spark, f"{tmp_path}/out", bars.schema).select("symbol", "ts").distinct().count()
+    assert sum(p["numInputRows"] > 0 for p in progress) >= 3
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] < total / 2
+    assert all(s["numRowsDroppedByWatermark"] == 0 for p in progress for s in p["stateOperators"])

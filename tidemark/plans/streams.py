@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
@@ -14,18 +16,35 @@ from tidemark.session import shared_dir, written
 from tidemark.streaming import streams as st
 
 OHLCV = ("open", "high", "low", "close", "volume")
-# Longer than the data: no tick of the files counts as late, whatever their order.
-DELAY = "400 days"
+# Events arrive in spans of so many days. The delay is longer than a span, so that order within one makes no row late,
+# and far shorter than the data, so that the watermark moves through it and state is evicted.
+SPAN_DAYS = 5
+DELAY_DAYS = 6
+DELAY = f"{DELAY_DAYS} days"
 
 
 def event_stream(spark, sf):
     return st.read_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
 
 
+def arriving_events(spark, sf, late=None):
+    """The events as a stream that takes about one span of time per micro-batch; rows of ``late`` arrive after all spans."""
+    events, path, files = table(spark, sf, "events"), shared_dir(spark), spark.sparkContext.defaultParallelism
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    spans = 0 if low is None else (high - low).days // SPAN_DAYS + 1
+    step = dt.timedelta(days=SPAN_DAYS)
+    # one job per span: files are read in the order in which they were written
+    for i in range(spans):
+        span = events.filter((F.col("ts") >= F.lit(low + i * step)) & (F.col("ts") < F.lit(low + (i + 1) * step)))
+        span.repartition(files).write.mode("append").parquet(path)
+    (events.limit(0) if late is None else late).write.mode("append").parquet(path)
+    return st.read_stream(spark, path, events.schema, max_files=files)
+
+
 @query("stream_bars", sql.minutes("SELECT symbol, ts, open, high, low, close, volume FROM minutes"))
 def stream_bars(spark, sf):
     path = shared_dir(spark)
-    bars = st.stream_bars(as_ticks(event_stream(spark, sf)), "1 minute", DELAY)
+    bars = st.stream_bars(as_ticks(arriving_events(spark, sf)), "1 minute", DELAY)
     st.log_changes(bars, f"{path}/bars", f"{path}/state", mode="update").awaitTermination()
     current = st.current_rows(st.read_log(spark, f"{path}/bars", bars.schema), ("symbol", "ts"))
     return current.select("symbol", naive("ts"), *OHLCV)
@@ -43,12 +62,31 @@ def stream_upsert(spark, sf):
 
 @query("stream_late_cutoff", "SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS ts FROM events")
 def stream_late_cutoff(spark, sf):
+    return cut_minutes(spark, arriving_events(spark, sf))
+
+
+def cut_minutes(spark, stream):
     path = shared_dir(spark)
-    minutes = as_ticks(event_stream(spark, sf)).withColumn("ts", F.date_trunc("minute", "ts")).select("symbol", "ts")
+    minutes = as_ticks(stream).withColumn("ts", F.date_trunc("minute", "ts")).select("symbol", "ts")
     st.append_to(st.late_cutoff(minutes, ("symbol", "ts"), DELAY), f"{path}/out", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("symbol", naive("ts"))
 
 
+@query("stream_late_dropped", f"""
+WITH newest AS (SELECT max(ts) AS top FROM events),
+late AS (SELECT event_type, ts - INTERVAL 60 DAY AS ts FROM events
+  UNION ALL SELECT event_type, ts - INTERVAL 7 MINUTE FROM events, newest WHERE ts > top - INTERVAL 1 DAY)
+SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS ts FROM (
+  SELECT event_type, ts FROM events
+  UNION ALL SELECT event_type, ts FROM late, newest WHERE date_trunc('minute', ts) > date_trunc('minute', top) - INTERVAL {DELAY_DAYS} DAY)""")
+def stream_late_dropped(spark, sf):
+    events = table(spark, sf, "events")
+    newest = F.lit(events.agg(F.max("ts")).first()[0])
+    old = events.withColumn("ts", F.col("ts") - F.expr("INTERVAL 60 DAYS"))
+    recent = events.filter(F.col("ts") > newest - F.expr("INTERVAL 1 DAY")).withColumn("ts", F.col("ts") - F.expr("INTERVAL 7 MINUTES"))
+    return cut_minutes(spark, arriving_events(spark, sf, old.unionByName(recent)))
+
+
 @query("stream_ema", "WITH RECURSIVE " + sql.MINUTES + """,
 numbered AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM minutes),
 scan AS (SELECT symbol, ts, rn, close AS y FROM numbered WHERE rn = 1
@@ -90,7 +128,7 @@ def stream_minute_refresh(spark, sf):
         dated = bars.withColumnRenamed("ts", "trade_date")
         return ind.sma(dated, [20]).select("symbol", F.col("trade_date").alias("ts"), "sma20")
 
-    st.minute_refresh(as_ticks(event_stream(spark, sf)), path, f"{path}/state", average, None, DELAY).awaitTermination()
+    st.minute_refresh(as_ticks(arriving_events(spark, sf)), path, f"{path}/state", average, None, DELAY).awaitTermination()
     log = spark.read.parquet(f"{path}/derived")
     return st.current_rows(log, ("symbol", "ts")).select("symbol", naive("ts"), F.round("sma20", 4).alias("sma20"))
 
