@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm import counts, lattice, sampling, tokenfiles, wordcache
 
-ODD_PARTS = list("abÉ .\n\t '!5́ς\x1c\r中\xa0​") + ["<|endoftext|>", "don't", "  "]
+ODD_PARTS = list("abÉ \0.\n\t '!5́ς\x1c\r中\xa0​") + ["<|endoftext|>", "don't", "  "]
 ODD_TEXT = st.lists(st.sampled_from(ODD_PARTS), max_size=30).map("".join)
 
 
@@ -19,12 +19,14 @@ ODD_TEXT = st.lists(st.sampled_from(ODD_PARTS), max_size=30).map("".join)
 def test_cut_texts_have_the_library_tokens(name, vocabulary):
     path = vocabulary(name)
     encode = wordcache.tokenizer(path).encode
-    counter = wordcache.cache("count", path, len, sum)
+    counter = wordcache.count_cache(path)
 
     @settings(max_examples=300, deadline=None)
     @given(st.lists(ODD_TEXT, max_size=5))
     def check(texts):
         assert counter.run(texts) == [len(encode(t, add_special_tokens=False)) for t in texts]
+        raw = wordcache.id_cache(path, "<u2").run(texts)
+        assert [np.frombuffer(r, "<u2").tolist() for r in raw] == [encode(t, add_special_tokens=False).ids for t in texts]
 
     check()
     long = "some words, and more. " * 9000

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.wordcache import cache
+from tidemark.llm.wordcache import count_cache
 
 LIMIT = 2048
 
@@ -23,7 +23,7 @@ def token_count(path: str):
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(cache("count", path, len, sum).run(texts.to_pylist()), pa.int64())
+        return pa.array(count_cache(path).run(texts.to_pylist()), pa.int64())
 
     return count
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import filesystem
-from tidemark.llm.wordcache import cache, tokenizer
+from tidemark.llm.wordcache import id_cache, tokenizer
 from tidemark.session import shared_dir, written
 
 MAGIC = b"TMIDS001"
@@ -68,28 +68,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return values
 
 
-def _ids_cache(path: str):
-    """Pieces of a byte-level vocabulary as raw little-endian uint32 ids."""
-    vocab = tokenizer(path).get_vocab()
-    leads = np.zeros(max(vocab.values(), default=0) + 1, bool)
-    # the byte-level spelling of a blank and of a line feed
-    leads[[i for token, i in vocab.items() if token[:1] in ("Ġ", "Ċ")]] = True
-
-    def split(encoding):
-        ids = np.array(encoding.ids, dtype="<u4")
-        starts = (np.flatnonzero(leads[ids]) * 4).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
-
-    return cache("ids", path, lambda e: np.array(e.ids, dtype="<u4").tobytes(), b"".join, split)
-
-
 def tokenised(df: DataFrame, path: str, bounds: list[int], end_id: int, id_col: str, text: str, wide: bool) -> DataFrame:
     """(doc_id, salt, part, ids): raw ids with the end id, and the range of the document."""
     dtype = "<u4" if wide else "<u2"
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids_cache(path)
+        ids = id_cache(path, dtype)
         limits = np.array(bounds, dtype=np.int64)
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in tables:
@@ -101,8 +85,6 @@ def tokenised(df: DataFrame, path: str, bounds: list[int], end_id: int, id_col:
             share = (salts >> 1).astype(np.float64) / 2.0**62 / 2 + 0.5
             part = low + np.minimum((share * (high - low + 1)).astype(np.int64), high - low)
             raw = ids.run(batch.column(2).to_pylist())
-            if not wide:
-                raw = [np.frombuffer(r, "<u4").astype("<u2").tobytes() for r in raw]
             yield pa.RecordBatch.from_arrays(
                 [keys, batch.column(1), pa.array(part, pa.int32()), pa.array([r + end for r in raw], pa.binary())],
                 names=["doc_id", "salt", "part", "ids"],

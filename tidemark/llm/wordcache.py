@@ -8,11 +8,14 @@ other white space, or with blanks in a row, are cut between plain ASCII words on
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
+
 # Pieces kept by a worker process before it starts over; about 200 MB.
 KEPT_PIECES = 800_000
 # Characters of pieces sent to the library at once, and the longest text sent as one.
@@ -22,7 +25,9 @@ JOINED_CHARS = 1 << 12
 TEXT_CHARS = 4 << 20
 SAFE_CHARS = 1 << 16
 
-_ODD = re.compile("[^\\S \n]|[᠎​﻿]|[ \n]{2}|^[ \n]|[ \n]$|<\\|")
+# White space other than blank and line feed, marks that a normalizer may take for it, and blanks in a row.
+_ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ODD += ["\u180e", "\u200b", "\ufeff", "  ", " \n", "\n ", "\n\n", "<|"]
 _SAFE = re.compile(r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
 _TOKENIZERS: dict[str, object] = {}
 _CACHES: dict[tuple, PieceCache] = {}
@@ -80,27 +85,45 @@ def by_size(texts: list[str | None], limit: int = TEXT_CHARS) -> Iterator[tuple[
         yield start, len(texts)
 
 
+def is_odd(text: str) -> bool:
+    """Whether a text has white space at its ends, in a row or of an unusual kind; plain searches find that fastest."""
+    return text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or any(mark in text for mark in _ODD)
+
+
+def cut(text: str) -> list[str]:
+    """Keys of the pieces of a text that is not odd: a piece has lost the blank in front of it, unless a line feed
+    stands there; the first piece is marked."""
+    if not text:
+        return []
+    first, *rest = text.replace("\n", " \n").split(" ")
+    return ["\r" + first if first else first, *rest]
+
+
 class PieceCache:
     """Results of ``value(encoding)`` by piece. ``join`` puts the results of a text's pieces together.
 
-    With ``split``, pieces that begin with white space are encoded joined to texts of moderate length, and
-    ``split(encoding)`` returns the results of the pieces; a call of the library costs more than a piece.
+    With ``split``, pieces are encoded joined to texts of moderate length, and ``split(encoding)`` returns the
+    results of the pieces; a call of the library costs more than a piece. Without ``glue`` only pieces that begin
+    with white space are joined, and as they are. ``glue`` stands between any pieces that do not contain its mark.
     """
 
-    def __init__(self, path: str, value: Callable, join: Callable, split: Callable | None = None):
-        self.path, self.value, self.join, self.split = path, value, join, split
+    def __init__(self, path: str, value: Callable, join: Callable, split: Callable | None = None, glue: str = ""):
+        self.path, self.value, self.join, self.split, self.glue = path, value, join, split, glue
         self.known: dict[str, object] = {}
 
+    def _joins(self, key: str) -> bool:
+        return self.glue.strip(" ") not in key if self.glue else key[:1] != "\r"
+
     def _encode(self, pieces: Iterable[str]) -> list:
         encode = tokenizer(self.path).encode_batch_fast
         return [self.value(e) for batch in batches(pieces) for e in encode(batch, add_special_tokens=False)]
 
     def _encode_new(self, keys: list[str]) -> None:
-        plain = [k for k in keys if self.split and k and k[:1] != "\r"]
-        single = keys if not plain else [k for k in keys if not k or k[:1] == "\r"]
+        plain = [k for k in keys if self.split and k and self._joins(k)]
+        single = keys if not plain else [k for k in keys if not k or not self._joins(k)]
         self.known.update(zip(single, self._encode(map(_restore, single)), strict=True))
         encode = tokenizer(self.path).encode_batch_fast
-        joined = ["".join(batch) for batch in batches(map(_restore, plain), JOINED_CHARS)]
+        joined = [self.glue.join(batch) for batch in batches(map(_restore, plain), JOINED_CHARS)]
         results = (
             result
             for i in range(0, len(joined), 64)
@@ -114,30 +137,26 @@ class PieceCache:
         return [result for start, end in by_size(texts) for result in self._run(texts[start:end])]
 
     def _run(self, texts: list[str | None]) -> list:
-        cut: list[list[str] | None] = []
+        keys: list[list[str] | None] = []
         odd: list[list[str]] = []
         for text in texts:
             text = text or ""
-            if _ODD.search(text):
-                cut.append(None)
+            if is_odd(text):
+                keys.append(None)
                 odd.append(safe_parts(text))
-            elif text:
-                # a piece has lost the blank in front of it, unless a line feed stands there
-                first, *rest = text.replace("\n", " \n").split(" ")
-                cut.append(["\r" + first if first else first, *rest])
             else:
-                cut.append([])
+                keys.append(cut(text))
         if len(self.known) > KEPT_PIECES:
             self.known = {}
         known = self.known
-        new = list(set(chain.from_iterable(p for p in cut if p)).difference(known))
+        new = list(set(chain.from_iterable(p for p in keys if p)).difference(known))
         self._encode_new(new)
         parts = iter(self._encode(chain.from_iterable(odd)))
         lengths = iter(map(len, odd))
         get = known.__getitem__
         return [
             self.join([next(parts) for _ in range(next(lengths))]) if pieces is None else self.join(map(get, pieces))
-            for pieces in cut
+            for pieces in keys
         ]
 
 
@@ -148,8 +167,55 @@ def _restore(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
 
-def cache(kind: str, path: str, value: Callable, join: Callable, split: Callable | None = None) -> PieceCache:
+def cache(kind: str, path: str, value: Callable, join: Callable, split: Callable | None = None, glue: str = "") -> PieceCache:
     """The worker's cache for one use of one file."""
     if (kind, path) not in _CACHES:
-        _CACHES[kind, path] = PieceCache(path, value, join, split)
+        _CACHES[kind, path] = PieceCache(path, value, join, split, glue)
     return _CACHES[kind, path]
+
+
+def word_mark(path: str) -> tuple[str, int] | None:
+    """For a vocabulary with word ends: text to put between words, and the one id that it becomes; else None."""
+    mark = "\0"
+    model = json.loads(tokenizer(path).to_str())["model"]
+    ids = tokenizer(path).encode(f"a {mark} a", add_special_tokens=False).ids if model.get("end_of_word_suffix") else []
+    alone = tokenizer(path).encode("a", add_special_tokens=False).ids if ids else []
+    return (f" {mark} ", ids[1]) if len(ids) == 3 and alone == ids[:1] == ids[2:] else None
+
+
+def id_cache(path: str, dtype: str) -> PieceCache:
+    """The worker's cache of pieces as raw ids of ``dtype``."""
+    kind = f"ids {dtype}"
+    if (kind, path) in _CACHES:
+        return _CACHES[kind, path]
+    size = np.dtype(dtype).itemsize
+    glue, mark = word_mark(path) or ("", -1)
+    vocab = tokenizer(path).get_vocab()
+    leads = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    # the byte-level spelling of a blank and of a line feed
+    leads[[i for token, i in vocab.items() if token[:1] in ("Ġ", "Ċ")]] = True
+
+    def split(encoding):
+        ids = np.array(encoding.ids, dtype=dtype)
+        raw = ids.tobytes()
+        if glue:
+            ends = (np.flatnonzero(ids == mark) * size).tolist()
+            return [raw[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(raw)], strict=True)]
+        starts = (np.flatnonzero(leads[ids]) * size).tolist()
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+
+    return cache(kind, path, lambda e: np.array(e.ids, dtype=dtype).tobytes(), b"".join, split, glue)
+
+
+def count_cache(path: str) -> PieceCache:
+    """The worker's cache of pieces as numbers of tokens."""
+    if ("count", path) in _CACHES:
+        return _CACHES["count", path]
+    glue, mark = word_mark(path) or ("", -1)
+
+    def split(encoding):
+        ids = np.array(encoding.ids)
+        ends = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]])
+        return (np.diff(ends) - 1).tolist()
+
+    return cache("count", path, len, sum, split if glue else None, glue)
