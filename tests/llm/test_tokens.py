@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm import counts, lattice, sampling, tokenfiles, wordcache
 
-ODD_PARTS = list("abÉ \0.\n\t '!5́ς\x1c\r中\xa0​") + ["<|endoftext|>", "don't", "  "]
+ODD_PARTS = list("abÉ \0.\n\t '!5́ς\x1c\r中\xa0​") + ["<|endoftext|>", "don't", "  ", " Wörd,", " WÖRD).", "\nÀß×ÿ?!", " Ünd's", " a'S.", "İ", " ﬁne,", " e\u0301t."]
 ODD_TEXT = st.lists(st.sampled_from(ODD_PARTS), max_size=30).map("".join)
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import drop_others, keeps
 from tidemark.llm.wordcache import SAFE_CHARS, batches, by_size, is_odd, safe_parts
 from tidemark.session import written
 
@@ -39,6 +40,7 @@ KEPT_PIECES = 500_000
 JOINED_CHARS = 1 << 16
 SPACE = "▁"
 _LOADED: dict[tuple[str, str], Aligner] = {}
+keeps("alignment", _LOADED.clear)
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +199,7 @@ def aligned(df: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id
     types = [pa.int64(), *[pa.int64()] * 3, pa.string(), pa.binary(), *[pa.string()] * with_groups]
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("alignment")
         work = aligner(bpe_path, piece_path)
         for batch in tables:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +25,8 @@ def settle(spark: SparkSession) -> SparkSession:
     prepare(spark)
     # operators write tables between jobs; the shuffles before them need not outlive their job
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    # whole texts travel in batches: fewer rows each keep the workers small
+    # whole texts travel in batches: fewer rows and bytes each keep the workers small
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     return spark
 
@@ -44,6 +47,22 @@ def bounded_sample(df: DataFrame, n: int, key: str, rows: int) -> list:
     return sorted(drawn.limit(2 * rows).collect(), key=lambda r: (r["__h"], str(r[key])))
 
 
+# What the operators of a worker keep between batches, by operator: functions that let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    """Names the function that drops what ``operator`` keeps in a worker."""
+    _KEPT[operator] = drop
+
+
+def drop_others(operator: str) -> None:
+    """Lets go of what other operators keep: a worker goes on to the tasks of the next stage."""
+    for name, drop in _KEPT.items():
+        if name != operator:
+            drop()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: spreads every input bit over all output bits."""
     x = x.astype(np.uint64, copy=True)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import drop_others
 from tidemark.llm.wordcache import by_size
 from tidemark.session import written
 
@@ -34,7 +35,8 @@ EFFECTIVE = 150.0
 STRENGTH = 20.0
 PRIOR_UNKNOWN = 0.01
 MIN_POSTERIOR = 0.5
-CHUNK_CHARS = 1 << 20
+# Characters whose trigrams are looked up at once; about 40 bytes each.
+CHUNK_CHARS = 1 << 18
 # Languages usual under country suffixes, and how much more likely such a suffix is for them.
 SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 SUFFIX_FACTOR = 4.0
@@ -65,6 +67,7 @@ def fit(rows: DataFrame, text: str, declared: str, languages=LANGUAGES) -> np.nd
     drawn = known.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches):
+        drop_others("language")
         total = {name: np.zeros(1 << BINS_LOG2, np.int64) for name in languages}
         for batch in batches:
             texts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -88,25 +91,37 @@ def fit(rows: DataFrame, text: str, declared: str, languages=LANGUAGES) -> np.nd
     return logs.astype(np.float32)
 
 
+def _sums(table: np.ndarray, bins: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over bins[start:end]; a text of many chunks is summed chunk by chunk."""
+    if not len(starts):
+        return np.zeros((0, table.shape[1]))
+    if len(starts) == 1:
+        parts = range(int(starts[0]), int(ends[0]), CHUNK_CHARS)
+        return sum((table[bins[a : min(a + CHUNK_CHARS, int(ends[0]))]].sum(axis=0, dtype=np.float64) for a in parts), np.zeros(table.shape[1]))[None]
+    # sums between successive edges; those over the separators are left out
+    edges = np.stack([starts, ends], axis=1).reshape(-1)
+    inside = edges[:-1] if edges[-1] == len(bins) else edges
+    return np.add.reduceat(table[bins], inside, axis=0, dtype=np.float64)[::2]
+
+
 def likelihood(model: np.ndarray):
     """An Arrow function from texts to their tempered log likelihoods, one per model; null without trigrams."""
     table = np.ascontiguousarray(model.T)
 
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
-        values, out = texts.to_pylist(), []
-        for start, end in by_size(values, CHUNK_CHARS):
-            bins, first = trigrams(values[start:end])
-            # text ends reach into their separators; sums over whole texts need no rows per trigram
-            sums = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[bins], axis=0, dtype=np.float64)])
-            for value, a, b in zip(values[start:end], first[:-1], first[1:], strict=True):
-                n = b - a - 2
-                if not (value or "").strip():
-                    out.append(None)
-                else:
-                    b = min(a + n, len(bins))
-                    mean = (sums[b] - sums[a]) / max(1, b - a)
-                    out.append(mean * min((b - a) / 3, EFFECTIVE))
+        drop_others("language")
+        out: list = []
+        for start, end in by_size(texts.to_pylist(), CHUNK_CHARS):
+            values = texts.slice(start, end - start).to_pylist()
+            bins, first = trigrams(values)
+            # the last trigrams of a text reach into its separator
+            ends = np.minimum(first[1:] - 2, len(bins))
+            said = [k for k, value in enumerate(values) if (value or "").strip()]
+            sums = iter(_sums(table, bins, first[:-1][said], ends[said]))
+            sizes = ends - first[:-1]
+            said = set(said)
+            out += [next(sums) * (min(n / 3, EFFECTIVE) / max(1, n)) if k in said else None for k, n in enumerate(sizes.tolist())]
         return pa.array(out, pa.list_(pa.float64()))
 
     return score
@@ -132,17 +147,17 @@ def identify(
     in between. Priors and reliabilities are groupings of the votes.
     """
     nothing = F.lit(None).cast("string")
-    base = rows.select(
+    model = fit(rows.select(text.alias("text"), declared.alias("declared")), "text", "declared", languages)
+    # rows wait behind the Arrow function once, with the text as a part of them
+    scored = rows.select(
         F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
-        text.alias("text"),
+        likelihood(model)(text).alias("ll"),
         F.when(declared.isin(list(languages)), declared).alias("declared"),
         (nothing if host is None else host).alias("host"),
         (nothing if domain is None else domain).alias("domain"),
         (nothing if suffix is None else suffix).alias("suffix"),
     )
-    model = fit(base, "text", "declared", languages)
     names = [*languages, UNKNOWN]
-    scored = base.withColumn("ll", likelihood(model)("text")).drop("text")
     vote = F.get(F.transform(F.array(F.col("ll")), lambda ll: F.array_position(ll, F.array_max(ll)).cast("int") - 1), F.lit(0))
     scored = scored.withColumn("vote", vote)
 

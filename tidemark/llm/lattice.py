@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tidemark.llm.common import mix64
+from tidemark.llm.common import keeps, mix64
 
 SPACE = 0x2581
 # Longer units are cut into blocks of so many characters, which no piece crosses.
@@ -20,6 +20,7 @@ ZIPF_OFFSET = 10.0
 # Positions of units whose lattices a worker keeps; about 100 bytes each.
 KEPT_POSITIONS = 300_000
 _MODELS: dict[str, Pieces] = {}
+keeps("lattices", _MODELS.clear)
 
 
 class Pieces:

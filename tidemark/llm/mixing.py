@@ -4,7 +4,9 @@ Sources get targets in words by weight; a target stops at a multiple of the sour
 to the others by weight. A source first gives its whole documents as many times as fit into the target
 (complete epochs). The rest is drawn: every document has the key ``-ln(u) / weight`` with ``u`` from a hash of
 its id, documents are sorted by key within the source, and a running sum of sizes selects them up to the
-budget. The document on the border is taken if that brings the sum closer to the budget.
+budget. Of the document on the border the mix takes the words that the budget still lacks, so a source's taken words
+are its target but for rounding; ``drawn`` is for mixes of whole documents and says whether the border's document
+brings their sum closer to the budget.
 
 Sorting one source is split: the keys' distribution is known, a mixture of exponentials over the weight
 levels, so its distribution function cuts a source of n documents into about sqrt(n) chunks of equal share.
@@ -107,6 +109,8 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, max_epochs: int = MA
     )
     end = F.col("offset") + F.col("inside")
     drawn = end - F.col("size") / 2 <= F.col("budget")
+    part = F.least(F.greatest(F.round("budget").cast("long") - (end - F.col("size")), F.lit(0)), F.col("size"))
+    part = F.when(F.col("epochs") < max_epochs, part).otherwise(0)
     return rows.select(
         "id",
         "source",
@@ -115,4 +119,5 @@ def mix(docs: DataFrame, seed: int = SEED, weights=WEIGHTS, max_epochs: int = MA
         "target",
         "epochs",
         (drawn & (F.col("epochs") < max_epochs)).cast("long").alias("drawn"),
-    ).withColumn("taken", F.col("size") * (F.col("epochs") + F.col("drawn")))
+        (F.col("size") * F.col("epochs") + part).cast("long").alias("taken"),
+    )

@@ -49,6 +49,8 @@ RULES = (
     Rule("dup_line_ratio", high=0.6),
     Rule("repeat_word_ratio", high=0.3),
 )
+# The filter of a pipeline rejects no text by its length alone: ratios judge long ones.
+FILTER_RULES = (Rule("n_words", low=20), *RULES[1:])
 
 
 def _repeat_words(hashes: Column, n: Column) -> Column:
@@ -183,7 +185,7 @@ def judge(df: DataFrame, keep: list[str], text: str = "text", rules=RULES) -> Da
     return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
-def passing(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def passing(df: DataFrame, text: str = "text", rules=FILTER_RULES) -> DataFrame:
     """The rows of ``df`` whose text is kept, with all their columns as they are."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
     judged = judge(df.select(row, F.col(text).alias("__text")), ["__row"], "__text", rules)

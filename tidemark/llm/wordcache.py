@@ -16,8 +16,10 @@ from itertools import chain
 
 import numpy as np
 
+from tidemark.llm.common import drop_others, keeps
+
 # Pieces kept by a worker process before it starts over; about 200 MB.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 1_000_000
 # Characters of pieces sent to the library at once, and the longest text sent as one.
 BATCH_CHARS = 1 << 20
 JOINED_CHARS = 1 << 12
@@ -28,9 +30,12 @@ SAFE_CHARS = 1 << 16
 # White space other than blank and line feed, marks that a normalizer may take for it, and blanks in a row.
 _ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _ODD += ["\u180e", "\u200b", "\ufeff", "  ", " \n", "\n ", "\n\n", "<|"]
+# A Latin word with ASCII marks behind it; both pre-tokenizers part the two, whatever the marks but for apostrophes.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SAFE = re.compile(r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
 _TOKENIZERS: dict[str, object] = {}
 _CACHES: dict[tuple, PieceCache] = {}
+keeps("pieces", _CACHES.clear)
 
 
 def tokenizer(path: str):
@@ -104,7 +109,9 @@ class PieceCache:
 
     With ``split``, pieces are encoded joined to texts of moderate length, and ``split(encoding)`` returns the
     results of the pieces; a call of the library costs more than a piece. Without ``glue`` only pieces that begin
-    with white space are joined, and as they are. ``glue`` stands between any pieces that do not contain its mark.
+    with white space are joined, and as they are. ``glue`` stands between any pieces that do not contain its mark;
+    it goes with vocabularies of words, in which case and the blank in front do not count. A word with marks behind
+    it is put together from the two.
     """
 
     def __init__(self, path: str, value: Callable, join: Callable, split: Callable | None = None, glue: str = ""):
@@ -114,6 +121,14 @@ class PieceCache:
     def _joins(self, key: str) -> bool:
         return self.glue.strip(" ") not in key if self.glue else key[:1] != "\r"
 
+    def _parts(self, key: str) -> tuple[str, ...]:
+        match = _WORD.fullmatch(key)
+        if match is None:
+            return (key,)
+        word, marks = match.groups()
+        word = word.lower()
+        return (word, "\r" + marks) if marks else (word,)
+
     def _encode(self, pieces: Iterable[str]) -> list:
         encode = tokenizer(self.path).encode_batch_fast
         return [self.value(e) for batch in batches(pieces) for e in encode(batch, add_special_tokens=False)]
@@ -134,6 +149,7 @@ class PieceCache:
 
     def run(self, texts: list[str | None]) -> list:
         """One joined result per text; a null text counts as empty."""
+        drop_others("pieces")
         return [result for start, end in by_size(texts) for result in self._run(texts[start:end])]
 
     def _run(self, texts: list[str | None]) -> list:
@@ -150,12 +166,19 @@ class PieceCache:
             self.known = {}
         known = self.known
         new = list(set(chain.from_iterable(p for p in keys if p)).difference(known))
-        self._encode_new(new)
-        parts = iter(self._encode(chain.from_iterable(odd)))
+        if self.glue:
+            parts = list(map(self._parts, new))
+            self._encode_new(list(set(chain.from_iterable(parts)).difference(known)))
+            for key, of in zip(new, parts, strict=True):
+                if key not in known:
+                    known[key] = self.join(map(known.__getitem__, of))
+        else:
+            self._encode_new(new)
+        whole = iter(self._encode(chain.from_iterable(odd)))
         lengths = iter(map(len, odd))
         get = known.__getitem__
         return [
-            self.join([next(parts) for _ in range(next(lengths))]) if pieces is None else self.join(map(get, pieces))
+            self.join([next(whole) for _ in range(next(lengths))]) if pieces is None else self.join(map(get, pieces))
             for pieces in keys
         ]
 
