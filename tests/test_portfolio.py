@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -75,6 +76,22 @@ def test_proposals_skip_what_cash_cannot_pay(spark):
     assert got == {("B", 1): 3, ("B", 30): 3}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_walk_equals_paying_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"S{i}", rng.choice([1, 30, 200]), float(rng.choice([50, 50, 50, rng.randrange(100)])), rng.choice([1.0, 7.5, 40.0, 500.0, rng.randrange(1, 900) / 4])) for i in range(700)]
+    wanted = spark.createDataFrame(rows, "symbol string, horizon int, allocation double, value double")
+    left, want = 3000.0 * 3**seed, set()
+    for symbol, horizon, _, value in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if value <= left:
+            left -= value
+            want.add((symbol, horizon))
+    got = ledger.take_while_affordable(wanted, 3000.0 * 3**seed, "allocation", ("symbol", "horizon"), ranges=4).collect()
+    assert len(got) == len(want) and {(r.symbol, r.horizon) for r in got} == want
+    assert ledger.take_while_affordable(wanted, 0.1, "allocation", ("symbol", "horizon")).count() == 0
+    assert ledger.take_while_affordable(wanted.limit(0), 10.0, "allocation", ("symbol", "horizon")).count() == 0
+
+
 def test_balance_and_worth(spark):
     trades = spark.createDataFrame([("A", "BUY", 10.0, 5.0), ("A", "SELL", 20.005, 2.0)], "symbol string, type string, price double, volume double")
     prices = spark.createDataFrame([("A", 7.0)], "symbol string, close double")

@@ -7,11 +7,17 @@ of trades; hot symbols shrink in the grouping before the shuffle.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 OPENING_DEPOSIT = 10000.0
+# Ranges that a walk over proposals is cut into.
+RANGES = 32
 
 
 def signed(amount: Column) -> Column:
@@ -124,38 +130,75 @@ def matured_investments(investments: DataFrame, predictions: DataFrame, today) -
     )
 
 
-def trade_proposals(portfolio: DataFrame, predictions: DataFrame, prices: DataFrame, cash: Column) -> DataFrame:
-    """Purchases per symbol and rising horizon, in order of allocation, while the cash lasts.
-
-    What is not spent yet of an allocation is split over the rising horizons.
-    A proposal that the remaining cash cannot pay is skipped. Proposals number
-    symbols times horizons, so one group takes them all.
-    """
+def wanted_purchases(portfolio: DataFrame, predictions: DataFrame, prices: DataFrame) -> DataFrame:
+    """(symbol, horizon, allocation, quantity, value): what is not spent yet of an allocation, split over the rising
+    horizons of its symbol."""
     rising = predictions.filter("prediction = 1")
     count = rising.groupBy("symbol").agg(F.count(F.lit(1)).alias("parts"))
     quantity = F.floor((F.col("allocation") - F.col("investment")) / F.col("close") / F.col("parts"))
-    wanted = (
+    return (
         portfolio.join(prices.select("symbol", "close"), "symbol")
         .join(count, "symbol")
         .withColumn("quantity", quantity)
         .filter("quantity > 0")
         .join(rising.select("symbol", "horizon"), "symbol")
         .select("symbol", "horizon", "allocation", "quantity", (F.col("quantity") * F.col("close")).alias("value"))
-        .withColumn("cash", cash)
-        .withColumn("account", F.lit(0))
     )
 
-    def affordable(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["allocation", "symbol", "horizon"], ascending=[False, True, True])
-        left, kept = float(pdf["cash"].iloc[0]), []
-        for value in pdf["value"]:
-            kept.append(value <= left)
-            left -= value if kept[-1] else 0.0
-        return pdf[kept][["symbol", "horizon", "quantity", "value"]]
 
-    return wanted.groupBy("account").applyInPandas(
-        affordable, "symbol string, horizon int, quantity long, value double"
-    )
+def _precedes(names: Sequence[str], row) -> Column:
+    """Whether a row comes before ``row`` in the order of ``names``: the first one descending, the others ascending."""
+    ahead = F.lit(False)
+    for k in reversed(range(len(names))):
+        column, value = F.col(names[k]), row[names[k]]
+        ahead = (column > value if k == 0 else column < value) | ((column == value) & ahead)
+    return ahead
+
+
+def take_while_affordable(wanted: DataFrame, cash: float, by: str, order: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """The rows that a walk by descending ``by``, then ``order``, can pay one by one from ``cash``; ``value`` is a row's price.
+
+    Cash only falls, so a row dearer than what is left is never bought. A round drops those rows, cuts the walk at
+    limits from a sample of fixed size into ranges, and sums values along it: inside each range, and one total for
+    each range before. All rows before the first whose sum exceeds the cash are bought. The next round starts at that
+    row, which no longer fits, with the cash that is left. Rounds are written tables.
+    """
+    spark, names, columns = wanted.sparkSession, [by, *order], wanted.columns
+    bought, left, rest = [], cash, written(spark, wanted)
+    while True:
+        rest = rest.filter(F.col("value") <= left)
+        drawn = rest.select(*names).orderBy(F.xxhash64(*names), *names).limit(100 * ranges).collect()
+        if not drawn:
+            break
+        drawn.sort(key=lambda r: (-r[by], *[r[c] for c in order]))
+        place = sum(((~_precedes(names, drawn[i])).cast("int") for i in range(100, len(drawn), 100)), F.lit(0))
+        dealt = rest.withColumn("range_", place)
+        totals = dealt.groupBy("range_").agg(F.sum("value").alias("sum_"))
+        earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select("range_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0.0)).alias("before_"))
+        inside = Window.partitionBy("range_").orderBy(F.col(by).desc(), *order).rowsBetween(Window.unboundedPreceding, 0)
+        spent = F.col("before_") + F.col("inside_")
+        summed = written(spark, dealt.withColumn("inside_", F.sum("value").over(inside)).join(totals, "range_").withColumn("spent_", spent))
+        stop = summed.filter(F.col("spent_") > left).orderBy(F.col(by).desc(), *order).select(*names).first()
+        taken = summed if stop is None else summed.filter(_precedes(names, stop))
+        bought.append(taken.select(*columns))
+        if stop is None:
+            break
+        left -= taken.agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
+        rest = summed.filter(~_precedes(names, stop)).select(*columns)
+    return reduce(DataFrame.unionAll, bought) if bought else wanted.limit(0)
+
+
+def trade_proposals(portfolio: DataFrame, predictions: DataFrame, prices: DataFrame, cash: Column | float) -> DataFrame:
+    """Purchases per symbol and rising horizon, in order of allocation, while the cash lasts.
+
+    A proposal that the remaining cash cannot pay is skipped. ``cash`` is one amount for all.
+    """
+    wanted = wanted_purchases(portfolio, predictions, prices)
+    spark = wanted.sparkSession
+    amount = float(spark.range(1).select(cash).first()[0]) if isinstance(cash, Column) else cash
+    kept = take_while_affordable(wanted, amount, "allocation", ("symbol", "horizon"))
+    return kept.select("symbol", F.col("horizon").cast("int").alias("horizon"), F.col("quantity").cast("long").alias("quantity"), "value")
 
 
 def signal_backtest(signals: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tidemark.plans.portfolio import uniform_sql
 from tidemark.plans.prices import INDEX_SQL, index_levels, quotes
 from tidemark.plans.registry import query
 from tidemark.plans.views import HORIZONS, daily_bars, naive, table, trades
+from tidemark.session import written
 from tidemark.sources.bars import latest_quotes
 
 ORD = "(PARTITION BY symbol ORDER BY trade_date)"
@@ -247,6 +248,24 @@ def trade_proposals(spark, sf):
     return led.trade_proposals(unspent, predictions(spark, sf), latest(spark, sf), F.lit(2000000.0))
 
 
+@query("trade_proposals_computed", sql.region("""
+SELECT symbol, horizon, quantity, value FROM steps WHERE taken""", LEDGER, PORTFOLIO, SIGNALS, PREDICTIONS, """
+funds AS (SELECT balance + (SELECT round(sum(held * close), 2) FROM positions JOIN latest USING (symbol)) AS cash FROM bank),
+wanted AS (SELECT symbol, horizon, quantity, quantity * close AS value, row_number() OVER (ORDER BY allocation DESC, symbol, horizon) AS rn
+  FROM (SELECT p.symbol, r.horizon, allocation, close, CAST(floor((allocation - investment) / close / count(*) OVER (PARTITION BY p.symbol)) AS BIGINT) AS quantity
+    FROM portfolio p JOIN latest USING (symbol) JOIN predictions r ON r.symbol = p.symbol AND r.prediction = 1) WHERE quantity > 0),
+steps AS (
+  SELECT symbol, horizon, quantity, value, rn, value <= cash AS taken, CASE WHEN value <= cash THEN cash - value ELSE cash END AS remaining
+  FROM wanted, funds WHERE rn = 1
+  UNION ALL SELECT w.symbol, w.horizon, w.quantity, w.value, w.rn, w.value <= s.remaining,
+    CASE WHEN w.value <= s.remaining THEN s.remaining - w.value ELSE s.remaining END FROM steps s JOIN wanted w ON w.rn = s.rn + 1)""", recursive=True))
+def trade_proposals_computed(spark, sf):
+    """Proposals for what is not invested yet, paid from the balance and the worth of all positions."""
+    prices = written(spark, latest(spark, sf))
+    worth = led.total_worth(ledger(spark, sf), prices).select("total_worth").scalar()
+    return led.trade_proposals(portfolio(spark, sf), predictions(spark, sf), prices, worth)
+
+
 @query("signal_backtest", sql.region(f"""
 SELECT s.symbol, s.horizon, s.trade_date, e.trade_date AS exit_date, e.close / s.close - 1 AS gross_return
 FROM (SELECT *, (SELECT min(rn) FROM numbered n WHERE n.symbol = m.symbol AND n.horizon = m.horizon AND n.signal = 0 AND n.rn > m.rn

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as ind
-from tidemark.operators import series
+from tidemark.operators import resume, series
 from tidemark.plans import sql
 from tidemark.plans.registry import query
 from tidemark.plans.views import HORIZONS, daily_bars, naive, ticks
+from tidemark.session import written
 
 KEY = ["symbol", "trade_date"]
 ORD = "(PARTITION BY symbol ORDER BY trade_date)"
@@ -255,6 +256,28 @@ def incremental_fill(spark, sf):
     return filled
 
 
+RESUME_DATE = "1998-06-30"
+
+
+@query("resumed_indicators", sql.brand(f"""
+SELECT symbol, scan.trade_date, sma20, round(ema20 + 1e-8, 4) + 0.0 AS ema20, {RSI_OUT}, obv
+FROM scan JOIN windows USING (symbol, rn) WHERE scan.trade_date > DATE '{RESUME_DATE}'""", EMA_BASE.replace("base AS", "ema_base AS"), RSI_BASE, """
+base AS (SELECT e.*, r.* EXCLUDE (symbol, trade_date, rn) FROM ema_base e JOIN rsi_base r USING (symbol, rn))""", f"""
+windows AS (SELECT symbol, rn, CASE WHEN rn >= 20 THEN avg(close) OVER {over(20)} END AS sma20,
+  sum(CASE WHEN p IS NULL OR close > p THEN volume WHEN close < p THEN -volume ELSE 0 END) OVER {RUNNING} AS obv
+  FROM (SELECT *, row_number() OVER {ORD} AS rn, lag(close) OVER {ORD} AS p FROM bars))""",
+    sql.scan({"ema20": EMA_STATES["ema20"], **RSI_STATES}), recursive=True))
+def resumed_indicators(spark, sf):
+    """The stored state of the older bars, then the newer ones in two steps from it."""
+    bars = daily_bars(spark, sf)
+    state, filled = resume.empty_state(spark), []
+    for start, end in (("0001-01-01", RESUME_DATE), (RESUME_DATE, "1998-10-15"), ("1998-10-15", "9999-12-31")):
+        new = bars.filter((F.col("trade_date") > F.lit(start).cast("date")) & (F.col("trade_date") <= F.lit(end).cast("date")))
+        filled.append(written(spark, resume.advance(state, new)))
+        state = written(spark, resume.next_state(filled[-1], state))
+    return filled[1].unionByName(filled[2]).select(*KEY, "sma20", settle("ema20", 4), settle("rsi", 4), "obv")
+
+
 # --- ticks, in chunks --------------------------------------------------------------
 
 TICKS = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.text import fields_of, is_number
+from tidemark.sources.text import bound, fields_of, is_number
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -15,8 +15,8 @@ def _last_line_wins(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("symbol", key).agg(*[F.max_by(c, "line_no").alias(c) for c in OHLCV])
 
 
-def _numbers(first: int):
-    return [F.get("f", F.lit(first + i)).try_cast("double").alias(c) for i, c in enumerate(OHLCV)]
+def _numbers(first: int, names=OHLCV) -> dict[str, Column]:
+    return {c: F.get("f", F.lit(first + i)).try_cast("double") for i, c in enumerate(names)}
 
 
 def _readable() -> Column:
@@ -26,45 +26,27 @@ def _readable() -> Column:
 
 def parse_daily(lines: DataFrame) -> DataFrame:
     """``date[ time],open,high,low,close,volume``; headers, short lines and lines with a field that is no number are dropped."""
-    rows = (
-        lines.withColumn("f", fields_of())
-        .filter((F.size("f") == 6) & is_number(F.get("f", F.lit(1))))
-        .withColumn("trade_date", F.expr("try_cast(substring_index(f[0], ' ', 1) as date)"))
-        .filter("trade_date is not null")
-        .select("symbol", "line_no", "trade_date", *_numbers(1))
-        .filter(_readable())
-    )
+    split = bound(lines, f=fields_of()).filter((F.size("f") == 6) & is_number(F.get("f", F.lit(1))))
+    rows = bound(split, trade_date=F.expr("try_cast(substring_index(f[0], ' ', 1) as date)"), **_numbers(1))
+    rows = rows.filter(F.col("trade_date").isNotNull() & _readable())
     return _last_line_wins(rows, "trade_date")
 
 
 def parse_intraday(lines: DataFrame) -> DataFrame:
     """``timestamp,open,high,low,close,volume``; rows with an unreadable time or number are dropped."""
-    rows = (
-        lines.withColumn("f", fields_of())
-        .filter((F.size("f") == 6) & is_number(F.get("f", F.lit(1))))
-        .withColumn("ts", F.expr("try_to_timestamp(f[0], 'yyyy-MM-dd HH:mm:ss')"))
-        .filter("ts is not null")
-        .select("symbol", "line_no", "ts", *_numbers(1))
-        .filter(_readable())
-    )
+    split = bound(lines, f=fields_of()).filter((F.size("f") == 6) & is_number(F.get("f", F.lit(1))))
+    rows = bound(split, ts=F.expr("try_to_timestamp(f[0], 'yyyy-MM-dd HH:mm:ss')"), **_numbers(1))
+    rows = rows.filter(F.col("ts").isNotNull() & _readable())
     return _last_line_wins(rows, "ts")
 
 
 def parse_backfill(lines: DataFrame, stored: DataFrame) -> DataFrame:
     """``date,open,high,low,close,adjusted,volume`` for symbols without any stored row."""
-    rows = (
-        lines.join(stored.select("symbol").distinct(), "symbol", "left_anti")
-        .withColumn("f", fields_of())
-        .filter((F.size("f") == 7) & is_number(F.get("f", F.lit(1))))
-        .select(
-            "symbol",
-            "line_no",
-            F.expr("try_cast(f[0] as date)").alias("trade_date"),
-            *_numbers(1)[:4],
-            F.get("f", F.lit(6)).try_cast("double").alias("volume"),
-        )
-        .filter(F.col("trade_date").isNotNull() & _readable())
-    )
+    new = lines.join(stored.select("symbol").distinct(), "symbol", "left_anti")
+    split = bound(new, f=fields_of()).filter((F.size("f") == 7) & is_number(F.get("f", F.lit(1))))
+    numbers = _numbers(1, OHLCV[:4]) | _numbers(6, OHLCV[4:])
+    rows = bound(split, trade_date=F.expr("try_cast(f[0] as date)"), **numbers)
+    rows = rows.filter(F.col("trade_date").isNotNull() & _readable())
     return _last_line_wins(rows, "trade_date")
 
 
@@ -75,9 +57,9 @@ def parse_vendor_history(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     read, are rejected; rows without a numeric fourth field are headers and
     are skipped. The time's offset is dropped.
     """
-    split = lines.withColumn("f", F.split(F.regexp_replace("value", '"', ""), ","))
+    split = bound(lines, f=F.split(F.translate("value", '"', ""), ","))
     local = F.regexp_extract(F.get("f", F.lit(1)), r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})", 0)
-    parsed = split.withColumn("ts", F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss"))).select("*", *_numbers(3))
+    parsed = bound(split, ts=F.try_to_timestamp(local, F.lit("yyyy-MM-dd'T'HH:mm:ss")), **_numbers(3))
     short = F.size("f") < 8
     row = ~short & is_number(F.get("f", F.lit(3)))
     good = F.col("ts").isNotNull() & _readable()

@@ -33,5 +33,13 @@ def fields_of(line: str = "value") -> Column:
     return F.split(F.regexp_replace(line, ",+$", ""), ",")
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are computed once per row.
+
+    Plain columns would be copied into every filter and projection behind them; what a generator makes is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def is_number(value: Column) -> Column:
     return F.coalesce(value.rlike(NUMBER), F.lit(False))
