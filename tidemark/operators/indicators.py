@@ -8,10 +8,11 @@ Rows inside an indicator's warm-up are null.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import Ema, ema_scan
+from tidemark.operators.series import Derived, Ema, ema_scan, mean_at
 
 SMA_PERIODS = (5, 10, 20, 200)
 EMA_PERIODS = (5, 10, 20, 200)
@@ -121,8 +122,8 @@ def williams_r(bars: DataFrame, n: int = 14, price: str = "close") -> DataFrame:
 
 
 # --- recurrences -------------------------------------------------------------------
-# Each pair below stages the inputs with windows and names the averages to run, so that
-# several indicators can share one scan.
+# Each pair below stages the inputs with windows and names the averages to run, in order, so
+# that several indicators can share one scan.
 
 
 def seed_mean(value: Column, n: int, at: int) -> Column:
@@ -140,26 +141,20 @@ def ema_inputs(bars: DataFrame, periods=EMA_PERIODS, price: str = "close"):
     return staged, [Ema(f"ema{n}", price, f"seed{n}_", 2.0 / (n + 1)) for n in periods]
 
 
-def macd_inputs(bars: DataFrame, fast: int = 12, slow: int = 26, price: str = "close"):
-    """Both averages start on the row where the slow one has its first value."""
+def macd_inputs(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, price: str = "close"):
+    """Both averages start on the row where the slow one has its first value; the signal follows their difference."""
     staged = bars.withColumns(
         {"fast_seed_": seed_mean(F.col(price), fast, slow), "slow_seed_": seed_mean(F.col(price), slow, slow)}
     )
     return staged, [
         Ema("macd_fast_", price, "fast_seed_", 2.0 / (fast + 1)),
         Ema("macd_slow_", price, "slow_seed_", 2.0 / (slow + 1)),
+        Derived("line_", ("macd_fast_", "macd_slow_"), np.subtract),
+        Derived("signal_seed_", ("line_",), mean_at(signal, slow + signal - 1)),
+        Ema("macd_sig", "line_", "signal_seed_", 2.0 / (signal + 1)),
     ]
 
 
-def macd_line(scanned: DataFrame, slow: int = 26, signal: int = 9) -> DataFrame:
-    staged = scanned.withColumn("line_", F.col("macd_fast_") - F.col("macd_slow_"))
-    return staged.withColumn("signal_seed_", seed_mean(F.col("line_"), signal, slow + signal - 1))
-
-
-def macd_signal(signal: int = 9) -> list[Ema]:
-    return [Ema("macd_sig", "line_", "signal_seed_", 2.0 / (signal + 1))]
-
-
 def macd_finish(scanned: DataFrame) -> DataFrame:
     line = F.when(F.col("macd_sig").isNotNull(), F.col("line_"))
     return scanned.withColumns({"macd": line, "macd_hist": line - F.col("macd_sig")}).drop(
@@ -211,24 +206,30 @@ def adx_inputs(bars: DataFrame, n: int = 10, price: str = "close"):
     )
     inputs = ("minus_", "plus_", "range_")
     staged = staged.withColumns({f"{c}seed_": F.when(row() == n, F.sum(c).over(last(n - 1)) / n) for c in inputs})
-    return staged, [Ema(f"{c}sum_", c, f"{c}seed_", 1.0 / n) for c in inputs]
+    return staged, [
+        *[Ema(f"{c}sum_", c, f"{c}seed_", 1.0 / n) for c in inputs],
+        Derived("dx_", ("plus_sum_", "minus_sum_", "range_sum_"), directional_index(n)),
+        Derived("dx_seed_", ("dx_",), mean_at(n, 2 * n)),
+        Ema(f"adx{n}", "dx_", "dx_seed_", 1.0 / n),
+    ]
 
 
-def adx_index(scanned: DataFrame, n: int = 10) -> DataFrame:
-    """Directional index from row ``n + 1`` on, seeded by its first ``n`` values.
+def directional_index(n: int):
+    """Directional index from row ``n + 1`` on.
 
-    Without any movement the index counts as 0 in the seed and is missing,
-    which leaves the average as it is, after it.
+    Without any movement the index counts as 0 in the seed, its first ``n`` values, and is missing, which leaves the
+    average as it is, after it.
     """
-    plus, minus, spread = F.col("plus_sum_"), F.col("minus_sum_"), F.col("range_sum_")
-    still = (spread == 0) | (plus + minus == 0)
-    index = F.when(~still, 100 * F.abs(minus - plus) / (minus + plus)).when(row() <= 2 * n, 0.0)
-    staged = scanned.withColumn("dx_", F.when(row() > n, index))
-    return staged.withColumn("dx_seed_", seed_mean(F.col("dx_"), n, 2 * n))
 
+    def index(plus: np.ndarray, minus: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        both = plus + minus
+        moves = (spread != 0) & (both != 0) & ~np.isnan(both)
+        out = np.where(np.arange(len(plus)) < 2 * n, 0.0, np.nan)
+        out[moves] = 100 * np.abs(minus - plus)[moves] / both[moves]
+        out[:n] = np.nan
+        return out
 
-def adx_average(n: int = 10) -> list[Ema]:
-    return [Ema(f"adx{n}", "dx_", "dx_seed_", 1.0 / n)]
+    return index
 
 
 def adx_finish(scanned: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ def ema(bars: DataFrame, periods=EMA_PERIODS, price: str = "close") -> DataFrame
 
 
 def macd(bars: DataFrame, price: str = "close") -> DataFrame:
-    return macd_finish(ema_scan(macd_line(ema_scan(*macd_inputs(bars, price=price))), macd_signal()))
+    return macd_finish(ema_scan(*macd_inputs(bars, price=price)))
 
 
 def rsi(bars: DataFrame, price: str = "close") -> DataFrame:
@@ -256,7 +257,7 @@ def rsi(bars: DataFrame, price: str = "close") -> DataFrame:
 
 
 def adx(bars: DataFrame, price: str = "close") -> DataFrame:
-    return adx_finish(ema_scan(adx_index(ema_scan(*adx_inputs(bars, price=price))), adx_average()))
+    return adx_finish(ema_scan(*adx_inputs(bars, price=price)))
 
 
 INDICATORS = (
@@ -267,7 +268,7 @@ INDICATORS = (
 
 
 def all_indicators(bars: DataFrame, price: str = "close") -> DataFrame:
-    """The 19 indicators: one exchange by symbol, two scans.
+    """The 19 indicators: one exchange by symbol, one scan.
 
     ``price`` picks raw or smoothed closes; high, low and volume stay raw.
     """
@@ -276,12 +277,11 @@ def all_indicators(bars: DataFrame, price: str = "close") -> DataFrame:
     for plain in (sma, cci, stochastic, williams_r):
         staged = plain(staged, price=price)
     staged = accumulation_distribution(obv(staged, price), price)
-    specs: list[Ema] = []
+    specs: list[Ema | Derived] = []
     for inputs in (ema_inputs, macd_inputs, rsi_inputs, adx_inputs):
         staged, more = inputs(staged, price=price)
         specs += more
-    scanned = adx_index(macd_line(ema_scan(staged, specs)))
-    scanned = ema_scan(scanned, macd_signal() + adx_average())
+    scanned = ema_scan(staged, specs)
     return adx_finish(rsi_finish(macd_finish(scanned))).select(*names, *INDICATORS)
 
 

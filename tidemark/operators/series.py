@@ -13,7 +13,7 @@ they run as grouped maps. Two layouts exist:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +33,28 @@ class Ema:
     alpha: float
 
 
+@dataclass(frozen=True)
+class Derived:
+    """``out`` is computed from other columns of an ordered series, averages before it included."""
+
+    out: str
+    of: tuple[str, ...]
+    fn: Callable[..., np.ndarray]
+
+
+def mean_at(n: int, at: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A seed: the mean of the last ``n`` values at row ``at`` (1-based), NaN elsewhere; missing values do not count."""
+
+    def seed(value: np.ndarray) -> np.ndarray:
+        out = np.full(len(value), np.nan)
+        window = value[max(0, at - n) : at]
+        if len(value) >= at and not np.isnan(window).all():
+            out[at - 1] = np.nanmean(window)
+        return out
+
+    return seed
+
+
 def ema_values(value: np.ndarray, seed: np.ndarray, alpha: float) -> np.ndarray:
     """Exponential average of one ordered series.
 
@@ -52,19 +74,28 @@ def with_doubles(schema: T.StructType, names: Sequence[str]) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
 
 
-def ema_scan(df: DataFrame, specs: Sequence[Ema], by: str = "symbol", order: str = "trade_date") -> DataFrame:
-    """Add every average of ``specs`` in a single pass per symbol.
+def ema_scan(df: DataFrame, specs: Sequence[Ema | Derived], by: str = "symbol", order: str = "trade_date") -> DataFrame:
+    """Add every column of ``specs``, in their order, in a single pass per symbol.
 
-    The group is one symbol's bars, so its size is the number of days. Input
-    already partitioned by ``by`` for window functions is not shuffled again.
+    An average may follow a column derived from averages before it, so chains need no second pass and no exchange
+    between. The group is one symbol's bars, so its size is the number of days. Input already partitioned by ``by``
+    for window functions is not shuffled again.
     """
     schema = with_doubles(df.schema, [s.out for s in specs])
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
+        made: dict[str, np.ndarray] = {}
+
+        def series(name: str) -> np.ndarray:
+            return made[name] if name in made else pdf[name].to_numpy(float)
+
         for s in specs:
-            pdf[s.out] = ema_values(pdf[s.value].to_numpy(float), pdf[s.seed].to_numpy(float), s.alpha)
-        return pdf
+            if isinstance(s, Ema):
+                made[s.out] = ema_values(series(s.value), series(s.seed), s.alpha)
+            else:
+                made[s.out] = s.fn(*map(series, s.of))
+        return pdf.assign(**made)
 
     return null_nan(df.groupBy(by).applyInPandas(scan, schema), [s.out for s in specs])
 
