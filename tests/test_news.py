@@ -1,10 +1,12 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
 from tidemark.operators import news
+from tidemark.session import written
 
 
 def frame(spark, *texts):
@@ -75,3 +77,14 @@ def test_missing_headlines_and_times_of_a_day(spark):
     feed = spark.createDataFrame(rows, "id long, symbol string, headline string, url string, published string")
     got = {r.id: r.duplicate for r in news.unique_articles(feed, "published").collect()}
     assert got == {1: False, 2: False, 3: True, 4: True}
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_grams_meet_their_statistics(spark, hot):
+    rows = [(i, g) for i in range(40) for g in ("common gram", f"rare {i % 7}", f"own {i}")]
+    known = [("common gram", 40, 0.5), *((f"rare {k}", 6, 0.25) for k in range(5))]
+    stats = spark.createDataFrame(known, "gram string, documents long, share double").select(*news.gram_key(F.col("gram")), "documents", "share")
+    met = news.join_grams(spark.createDataFrame(rows, "id long, gram string"), written(spark, stats), hot=hot, salts=4)
+    got = Counter((r.id, r.share) for r in met.collect())
+    assert got == Counter([(i, 0.5) for i in range(40)] + [(i, 0.25) for i in range(40) if i % 7 < 5])
+    assert len({r.salt for r in met.filter("share = 0.5").collect()}) == (4 if hot == 2 else 1)

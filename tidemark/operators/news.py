@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
+from tidemark.session import written
 
 BOILERPLATE_OCCURRENCES = 5
 NEUTRAL = 0.5
+# Documents from which a gram's rows are dealt over SALTS shares of a join.
+HOT_DOCUMENTS = 100_000
+SALTS = 16
 
 
 def unique_articles(articles: DataFrame, published: str = "published_date") -> DataFrame:
@@ -131,7 +135,9 @@ def price_moves(articles: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def with_grams(stripped: DataFrame, n: int = 2, keep_negation: bool = False) -> DataFrame:
-    """Adds ``grams``; the word lists are a column of their own so each sentence splits once."""
+    """Adds ``grams``; the word lists are a column of their own so each sentence splits once. Stored grams stay."""
+    if "grams" in stripped.columns:
+        return stripped
     return stripped.withColumn("words_", t.sentence_words(F.col("sentences"), keep_negation)).withColumn(
         "grams", t.ngrams(F.col("words_"), n)
     ).drop("words_")
@@ -162,24 +168,37 @@ def article_sentiment(stripped: DataFrame, stats: DataFrame, n: int = 2) -> Data
     ``score`` is -1 without any gram; ``mood`` is neutral then.
     """
     seen = F.col("increase") + F.col("decrease")
-    share = stats.select("gram", F.when(seen > 0, F.col("increase") / seen).alias("share"))
-    distinct = with_grams(stripped, n).select(
-        "id", "symbol", "published_date", F.explode_outer(F.array_distinct("grams")).alias("gram")
-    )
-    return (
-        distinct.join(share, "gram", "left")
-        .groupBy("id", "symbol", "published_date")
-        .agg(F.sum("share").alias("total"), F.count("gram").alias("grams"))
-        .select(
-            "id",
-            "symbol",
-            "published_date",
-            F.when(F.col("grams") == 0, -1.0)
-            .otherwise(F.coalesce("total", F.lit(0.0)) / F.col("grams"))
-            .alias("score"),
-        )
-        .withColumn("mood", F.when(F.col("score") == -1, NEUTRAL).otherwise(F.col("score")))
-    )
+    share = F.when(seen > 0, F.col("increase") / seen).alias("share")
+    stats = written(stats.sparkSession, stats.select(*gram_key(F.col("gram")), "documents", share))
+    distinct = with_grams(stripped, n).withColumn("distinct_", F.array_distinct("grams"))
+    met = join_grams(distinct.select("id", F.explode("distinct_").alias("gram")), stats)
+    totals = met.groupBy("id").agg(F.sum("share").alias("total"))
+    articles = distinct.select("id", "symbol", "published_date", F.size("distinct_").alias("count_"))
+    score = F.when(F.col("count_") > 0, F.coalesce("total", F.lit(0.0)) / F.col("count_")).otherwise(-1.0)
+    scored = articles.join(totals, "id", "left").select("id", "symbol", "published_date", score.alias("score"))
+    return scored.withColumn("mood", F.when(F.col("score") == -1, NEUTRAL).otherwise(F.col("score")))
+
+
+def gram_key(gram: Column) -> list[Column]:
+    """128 bits that stand for a gram in joins, where its text would travel otherwise."""
+    return [F.xxhash64(gram).alias("k1"), F.xxhash64(gram, F.lit(1)).alias("k2")]
+
+
+def join_grams(grams: DataFrame, stats: DataFrame, hot: int = HOT_DOCUMENTS, salts: int = SALTS) -> DataFrame:
+    """Rows (id, gram) with the other columns of ``stats``, a written table by ``gram_key``; no text goes through an exchange.
+
+    A gram of at least ``hot`` documents is dealt by id over ``salts`` shares, each of which meets a copy of its
+    statistics, so a hot gram takes as many tasks; others have one share. Hot grams are fewer than all distinct
+    grams of all documents over ``hot``.
+    """
+    keyed = grams.select("id", *gram_key(F.col("gram")))
+    shares = F.explode(F.sequence(F.lit(0), F.when(F.col("documents") >= hot, salts - 1).otherwise(0)))
+    copies = stats.select("*", shares.alias("salt"))
+    frequent = stats.filter(F.col("documents") >= hot).select("k1", "k2", F.lit(True).alias("hot_"))
+    frequent = written(stats.sparkSession, frequent)
+    salt = F.when(F.col("hot_"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).otherwise(0)
+    dealt = keyed.join(frequent, ["k1", "k2"], "left").select("id", "k1", "k2", salt.alias("salt"))
+    return dealt.join(copies, ["k1", "k2", "salt"])
 
 
 def daily_sentiment(bars: DataFrame, scored: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def gram_table(spark, sf, regions=()):
     if regions:
         names = F.array(*map(F.lit, regions))
         stripped = stripped.withColumn("symbol", F.get(names, F.pmod("id", F.lit(len(regions))).cast("int")))
-    stripped = written(spark, stripped)
+    # Grams are made once, for their statistics and for the scores.
+    stripped = written(spark, news.with_grams(stripped))
     # Stored, so that its size is known when the join is planned: one row per symbol and article date.
     moves = written(spark, news.price_moves(stripped, daily_bars(spark, sf, "region" if regions else "brand")))
     return stripped, news.ngram_stats(stripped, moves)
@@ -192,8 +193,10 @@ LEFT JOIN stats USING (gram) GROUP BY id""", *TO_STATS))
 def score_articles(spark, sf):
     stripped, stats = gram_table(spark, sf)
     distinct = news.with_grams(stripped).select("id", F.explode(F.array_distinct("grams")).alias("gram"))
-    joined = distinct.join(stats.select("gram", "documents"), "gram", "left")
-    return joined.groupBy("id").agg(F.count("gram").alias("grams"), F.count("documents").alias("known"))
+    stats = written(spark, stats.select(*news.gram_key(F.col("gram")), "documents"))
+    known = news.join_grams(distinct, stats).groupBy("id").agg(F.count(F.lit(1)).alias("known"))
+    total = stripped.select("id", F.size(F.array_distinct("grams")).cast("long").alias("grams")).filter("grams > 0")
+    return total.join(known, "id", "left").select("id", "grams", F.coalesce("known", F.lit(0)).alias("known"))
 
 
 @query("daily_sentiment", sql.brand("""
