@@ -194,6 +194,37 @@ def test_long_units_and_ids_match_the_library_vocabulary(vocabulary):
         assert sp.decode(ids[a:b].tolist()) == text
 
 
+def test_pieces_cross_every_place_of_a_long_unit(vocabulary):
+    """Probabilities in a unit of 10,000 characters against sums from its start, piece by piece."""
+    model = lattice.pieces(vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(8)
+    text = "".join(rng.choice(["tion", "http", "://", "under", "城市", "9", "stand", "é"], 3000))[:10_000]
+    lat = lattice.Lattices(model, [text, "a short text", text])
+    assert len(set(lat.begin.tolist())) == 4
+    own = dict(zip(model.ids.tolist(), model.logs.tolist(), strict=True))
+    own |= {int(i): float(model.single_log[c]) for c, i in enumerate(model.single) if i >= 0}
+    at, n = int(lat.begin[0]), len(text) + 1
+    weight = lambda e: model.byte_log if lat.piece[e] < 0 else own[int(lat.piece[e])]
+    # log of the total weight of the ways from each place to the end
+    rest = np.full(n + 1, -np.inf)
+    rest[n] = 0.0
+    crossing = 0
+    for i in range(n - 1, -1, -1):
+        edges = range(lat.edge[at + i], lat.edge[at + i] + lat.count[at + i])
+        ends = [n if lat.to[e] < 0 else int(lat.to[e]) - at for e in edges]
+        crossing += any(i // 96 != (end - 1) // 96 for end in ends)
+        ways = [weight(e) + rest[end] for e, end in zip(edges, ends, strict=True)]
+        rest[i] = np.logaddexp.reduce(ways)
+        assert np.allclose(lat.p[list(edges)], np.exp(np.array(ways) - rest[i]), rtol=1e-5, atol=1e-12)
+    assert crossing >= 100
+    who, _, ids, ends, logs, *_ = sampling.sample_texts(model, [text], np.array([5], np.uint64), 2)
+    for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        chosen = [model.byte_log if own.get(int(i)) is None else own[int(i)] for i in ids[a:b]]
+        assert lattice.decode(model, ids[a:b].tolist()) == text
+        assert len(chosen) and logs[k] < 0 and np.isfinite(logs[k])
+    assert len(who) == 2 and ids[ends[0] : ends[1]].tolist() != ids[ends[1] : ends[2]].tolist()
+
+
 # units whose plain products of weights are below the smallest double
 RARE_TEXTS = [
     "\n" * 60, "\t" * 50, "\n".join(str(i) for i in range(10, 45)), "\n".join("abcdefghijklmnopqrstuvwxyz" * 2), "\U0001f600\U0001f680" * 60,

@@ -13,8 +13,6 @@ import numpy as np
 from tidemark.llm.common import keeps, mix64
 
 SPACE = 0x2581
-# Longer units are cut into blocks of so many characters, which no piece crosses.
-UNIT_CHARS = 96
 # Pieces of a BPE model carry merge ranks, not probabilities; they follow Zipf's law with this offset.
 ZIPF_OFFSET = 10.0
 # Positions of units whose lattices a worker keeps; about 100 bytes each.
@@ -114,12 +112,6 @@ class Lattices:
         cut[-1] = False
         begin = np.flatnonzero(cut)
         length = np.diff(np.append(begin, len(codes)))
-        if len(length) and length.max() > UNIT_CHARS:
-            extra = (length - 1) // UNIT_CHARS
-            at = np.repeat(begin, extra) + UNIT_CHARS * (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1)
-            cut[at] = True
-            begin = np.flatnonzero(cut)
-            length = np.diff(np.append(begin, len(codes)))
         self.first = np.searchsorted(begin, np.append(ends - sizes, len(codes)))
         keys, some, unit, times = self._distinct(codes, begin, length)
         store = model.store
@@ -143,7 +135,7 @@ class Lattices:
     def _distinct(codes, begin, length):
         """Sorted keys of the distinct units, an example of each, the distinct unit of every unit, and how often each occurs."""
         with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(UNIT_CHARS + 1, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
+            power = np.cumprod(np.full(int(length.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
             within = np.arange(len(codes)) - np.repeat(begin, length)
             terms = mix64(codes.astype(np.uint64) + np.uint64(1)) * power[within]
             keys = np.add.reduceat(terms, begin) if len(begin) else np.zeros(0, np.uint64)
@@ -221,8 +213,8 @@ def _build(m: Pieces, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) ->
             lengths.append(size)
         more = np.flatnonzero((left[alive] > size) & (row[node] > 0))
         alive, node = alive[more], node[more]
-    # positions from the shortest rest to the longest, longer edges first
-    order = np.argsort(left.astype(np.int16), kind="stable")
+    # positions from the shortest rest to the longest, longer edges first; short numbers are sorted faster
+    order = np.argsort(left.astype(np.int16) if left.max(initial=0) < 1 << 15 else left, kind="stable")
     count = np.zeros(n, np.int64)
     for at, _, _ in found:
         count[at] += 1
@@ -237,7 +229,8 @@ def _build(m: Pieces, text: np.ndarray, begin: np.ndarray, sizes: np.ndarray) ->
         piece[e], logs[e] = ids, log
         to[e] = np.where(left[at] == size, -1, at + size)
         filled[at] += 1
-    # log of the total weight from each position to its unit's end; a target's rest is shorter
+    # log of the total weight from each position to its unit's end, in waves over all units: a target's rest is shorter,
+    # so each wave finds the totals that its edges lead to
     totals = np.zeros(n + 1)
     p = np.empty(total)
     bounds = np.cumsum(np.bincount(left, minlength=1))

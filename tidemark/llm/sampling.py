@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, uniform
+from tidemark.llm.common import drop_others, mix64, uniform
 from tidemark.llm.lattice import Lattices, Pieces, decode, pieces
 from tidemark.llm.wordcache import by_size
 
@@ -298,6 +298,7 @@ def sample(df: DataFrame, path: str, id_col: str = "doc_id", text: str = "text",
     id_type = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_others("lattices")
         model = pieces(path)
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
