@@ -32,6 +32,7 @@ _ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _ODD += ["\u180e", "\u200b", "\ufeff", "  ", " \n", "\n ", "\n\n", "<|"]
 # A Latin word with ASCII marks behind it; both pre-tokenizers part the two, whatever the marks but for apostrophes.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _SAFE = re.compile(r"(?<=[0-9A-Za-z])(?= [0-9A-Za-z])")
 _TOKENIZERS: dict[str, object] = {}
 _CACHES: dict[tuple, PieceCache] = {}
@@ -111,11 +112,12 @@ class PieceCache:
     results of the pieces; a call of the library costs more than a piece. Without ``glue`` only pieces that begin
     with white space are joined, and as they are. ``glue`` stands between any pieces that do not contain its mark;
     it goes with vocabularies of words, in which case and the blank in front do not count. A word with marks behind
-    it is put together from the two.
+    it is put together from the two. Latin words need no mark between them: ``split_words(encoding)`` parts them where
+    a token ends a word.
     """
 
-    def __init__(self, path: str, value: Callable, join: Callable, split: Callable | None = None, glue: str = ""):
-        self.path, self.value, self.join, self.split, self.glue = path, value, join, split, glue
+    def __init__(self, path: str, value: Callable, join: Callable, split: Callable | None = None, glue: str = "", split_words: Callable | None = None):
+        self.path, self.value, self.join, self.split, self.glue, self.split_words = path, value, join, split, glue, split_words
         self.known: dict[str, object] = {}
 
     def _joins(self, key: str) -> bool:
@@ -137,15 +139,22 @@ class PieceCache:
         plain = [k for k in keys if self.split and k and self._joins(k)]
         single = keys if not plain else [k for k in keys if not k or not self._joins(k)]
         self.known.update(zip(single, self._encode(map(_restore, single)), strict=True))
+        if self.split_words:
+            words = [k for k in plain if _LETTERS.fullmatch(k)]
+            self._encode_joined(words, " ", self.split_words)
+            plain = [k for k in plain if k not in self.known]
+        self._encode_joined(plain, self.glue, self.split)
+
+    def _encode_joined(self, keys: list[str], glue: str, split: Callable | None) -> None:
         encode = tokenizer(self.path).encode_batch_fast
-        joined = [self.glue.join(batch) for batch in batches(map(_restore, plain), JOINED_CHARS)]
+        joined = [glue.join(batch) for batch in batches(map(_restore, keys), JOINED_CHARS)]
         results = (
             result
             for i in range(0, len(joined), 64)
             for encoding in encode(joined[i : i + 64], add_special_tokens=False)
-            for result in self.split(encoding)
+            for result in split(encoding)
         )
-        self.known.update(zip(plain, results, strict=True))
+        self.known.update(zip(keys, results, strict=True))
 
     def run(self, texts: list[str | None]) -> list:
         """One joined result per text; a null text counts as empty."""
@@ -190,13 +199,22 @@ def _restore(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
 
-def cache(kind: str, path: str, value: Callable, join: Callable, split: Callable | None = None, glue: str = "") -> PieceCache:
+def cache(kind: str, path: str, *how) -> PieceCache:
     """The worker's cache for one use of one file."""
     if (kind, path) not in _CACHES:
-        _CACHES[kind, path] = PieceCache(path, value, join, split, glue)
+        _CACHES[kind, path] = PieceCache(path, *how)
     return _CACHES[kind, path]
 
 
+def _word_ends(path: str) -> np.ndarray:
+    """Which ids of a vocabulary of words end one."""
+    vocab = tokenizer(path).get_vocab()
+    suffix = json.loads(tokenizer(path).to_str())["model"]["end_of_word_suffix"]
+    ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+    ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+    return ends
+
+
 def word_mark(path: str) -> tuple[str, int] | None:
     """For a vocabulary with word ends: text to put between words, and the one id that it becomes; else None."""
     mark = "\0"
@@ -227,7 +245,14 @@ def id_cache(path: str, dtype: str) -> PieceCache:
         starts = (np.flatnonzero(leads[ids]) * size).tolist()
         return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
 
-    return cache(kind, path, lambda e: np.array(e.ids, dtype=dtype).tobytes(), b"".join, split, glue)
+    last = _word_ends(path) if glue else leads
+
+    def split_words(encoding):
+        ids = np.array(encoding.ids, dtype=dtype)
+        raw, ends = ids.tobytes(), ((np.flatnonzero(last[ids]) + 1) * size).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    return cache(kind, path, lambda e: np.array(e.ids, dtype=dtype).tobytes(), b"".join, split, glue, split_words if glue else None)
 
 
 def count_cache(path: str) -> PieceCache:
@@ -241,4 +266,9 @@ def count_cache(path: str) -> PieceCache:
         ends = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]])
         return (np.diff(ends) - 1).tolist()
 
-    return cache("count", path, len, sum, split if glue else None, glue)
+    last = _word_ends(path) if glue else None
+
+    def split_words(encoding):
+        return np.diff(np.flatnonzero(last[np.array(encoding.ids)]) + 1, prepend=0).tolist()
+
+    return cache("count", path, len, sum, *((split, glue, split_words) if glue else ()))
