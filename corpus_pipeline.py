@@ -1,7 +1,8 @@
 """From raw documents to sampled token ids, in five stages.
 
 Every stage reads what the one before it wrote, drops or repeats rows of ``documents``, and returns its columns;
-the last one returns the segmentations of every remaining document.
+the last one returns the segmentations of every remaining document. Other columns are carried whatever their names, and
+an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ def _row_key(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language the evidence settles."""
+    """Keeps documents whose language the evidence settles; null, empty and blank texts go, equal rows are judged alike."""
     settle(spark)
     return language.identify_documents(docs).filter("kept").select("row.*")
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the rule table."""
+    """Keeps documents that pass the rule table; null and empty texts go, long ones do not go for their length."""
     return quality.passing(docs)
 
 
@@ -48,7 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats every document as often as the mix takes it."""
+    """Repeats every document as often as the mix takes it whole; a null source is a source of its own, texts without
+    words go, and of equal rows one is repeated for all."""
     weights = mixing.quality_weights(table(spark, sf_dir, "labels")).withColumnRenamed("id", "w_id")
     keyed = _row_key(docs)
     key = keyed.columns[-1]
@@ -65,7 +67,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Distinct sampled segmentations of every document."""
+    """Distinct sampled segmentations of every document; a null or empty text has the empty one, repeated rows have
+    theirs each."""
     import public_tokenizers
 
     return sampling.sample(docs, public_tokenizers.path("piece_bpe_32k.model"))
