@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
 from itertools import product
 
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +11,7 @@ from tidemark.operators import features as ft
 from tidemark.operators import indicators as ind
 from tidemark.operators import models as md
 from tidemark.operators import news, rows
+from tidemark.operators import shared_fits as shared
 from tidemark.plans import sql
 from tidemark.plans import series as ser
 from tidemark.plans.ledger import SIGNALS, signals
@@ -247,16 +247,40 @@ def variant_tables(grid):
     return variants
 
 
-def made(name, columns):
-    return md.classifiers(columns)[name]()
+def variant_columns(grid):
+    return {name: columns for name, (_, columns) in variant_tables(grid).items()}
+
+
+@query("experiment_rows", sql.region(f"""
+SELECT 'a_' || CAST(alpha AS VARCHAR) || CASE WHEN indicators THEN '_ind' ELSE '' END || CASE WHEN with_sentiment THEN '_sent' ELSE '' END AS variant,
+  count(*) FILTER (train) AS train_rows, count(*) FILTER (NOT train) AS test_rows FROM (
+  SELECT alpha, rn, ahead, {uniform_sql('symbol', 'CAST(trade_date AS VARCHAR)', 'CAST(horizon AS VARCHAR)')} < 0.7 AS train FROM (""" + " UNION ALL ".join(
+    f"SELECT symbol, alpha, rn, {h}::INTEGER AS horizon, lead(p, {h}) OVER (PARTITION BY symbol, alpha ORDER BY rn) AS ahead FROM series" for h in HORIZONS)
+    + """) JOIN (SELECT symbol, rn, trade_date FROM base) USING (symbol, rn)
+) , (VALUES (true), (false)) AS i(indicators), (VALUES (true), (false)) AS m(with_sentiment)
+WHERE ahead IS NOT NULL AND (NOT indicators OR rn >= 200) GROUP BY ALL""", VARIANT_BASE, sql.scan(VARIANT_STATES), VARIANT_PRICES, recursive=True))
+def experiment_rows(spark, sf):
+    """Training and held-out rows that the shared fits of every variant add up over."""
+    grid = written_variants(spark, sf)
+    columns = variant_columns(grid)
+    counts = shared.row_counts(shared.blocks_of(spark, grid, columns), list(columns))
+    return spark.createDataFrame([(v, *n) for v, n in counts.items()], "variant string, train_rows long, test_rows long")
+
+
+@query("experiment_machines")
+def experiment_machines(spark, sf):
+    """All classifiers but the forest on every variant, in shared passes."""
+    grid = written_variants(spark, sf)
+    return shared.held_out_accuracies(spark, grid, variant_columns(grid), shared.machines())
 
 
 @query("experiment_grid")
 def experiment_grid(spark, sf):
-    variants = variant_tables(written_variants(spark, sf))
-    pipelines = {name: partial(made, name) for name in md.classifiers(PLAIN)}
+    grid = written_variants(spark, sf)
     results = shared_dir(spark)
-    start = next(iter(variants))
-    first = md.experiment_grid(spark, {start: variants[start]}, pipelines, results)
-    done = written(spark, first.select("variant", "classifier"))
-    return md.experiment_grid(spark, variants, pipelines, results, done)
+    machines = shared.held_out_accuracies(spark, grid, variant_columns(grid), shared.machines())
+    machines.write.parquet(results)
+    done = written(spark, machines.select("variant", "classifier"))
+    # forests grow their trees level by level and are fitted one by one
+    pipelines = {name: lambda columns, name=name: md.classifiers(columns)[name]() for name in md.classifiers(PLAIN)}
+    return md.experiment_grid(spark, variant_tables(grid), pipelines, results, done)
