@@ -102,6 +102,8 @@ def test_experiments_cover_all_variants_and_classifiers(spark, monkeypatch):
 
     grid = plans.written_variants(spark, "/root/testdata/sf0.001").filter("symbol = 'ASIA'").cache()
     monkeypatch.setattr(plans, "written_variants", lambda *_: grid)
+    machines = plans.shared.machines
+    monkeypatch.setattr(plans.shared, "machines", lambda: machines(epochs=2))
     fitted = {}
 
     def accuracy(pipeline, rows):

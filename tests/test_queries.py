@@ -8,7 +8,7 @@ from tidemark.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # Trained elsewhere on small rows; here they would only repeat minutes of fitting.
-FITTED = {"rf_per_symbol", "rf_multi", "predict_direction", "clf_random_forest", "clf_mlp", "clf_svm", "experiment_grid"}
+FITTED = {"rf_per_symbol", "rf_multi", "predict_direction", "clf_random_forest", "clf_mlp", "clf_svm", "experiment_machines", "experiment_grid"}
 
 
 @pytest.fixture(scope="module")

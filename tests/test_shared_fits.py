@@ -37,7 +37,7 @@ def test_linear_machines_score_as_single_fits(spark, grid):
     assert len(got) == 8
     for variant, columns in COLUMNS.items():
         rows = grid.filter(F.col("variant") == variant)
-        for name in ("logistic", "svm_linear", "svm_normalised"):
+        for name in ("logistic", "svm_linear", "svm_normalised") if variant == "w" else ("logistic",):
             assert got[variant, name] == pytest.approx(md.held_out_accuracy(md.classifiers(columns)[name](), rows), abs=0.02), (variant, name)
 
 
