@@ -111,3 +111,60 @@ def test_late_rows_of_the_table_are_dropped_and_state_is_evicted(spark, tmp_path
     assert sum(p["numInputRows"] > 0 for p in progress) >= 3
     assert progress[-1]["stateOperators"][0]["numRowsTotal"] < total / 2
     assert all(s["numRowsDroppedByWatermark"] == 0 for p in progress for s in p["stateOperators"])
+
+
+def test_predictions_over_batches_equal_one_run(spark):
+    from tidemark.operators import forests as fo
+    from tidemark.operators import resume
+    from tidemark.plans import streams as plans
+
+    sf, key = "/root/testdata/sf0.001", ["symbol", "trade_date", "horizon"]
+    path, forests = plans.refreshed_predictions(spark, sf, numTrees=3, maxDepth=4)
+    log = spark.read.parquet(f"{path}/predictions")
+    assert log.select("batch_id").distinct().count() == 3
+    assert {d for d in os.listdir(f"{path}/state") if d.startswith("slot")} == {"slot=0", "slot=1"}
+
+    bars = plans.daily_bars(spark, sf, "region")
+    whole = resume.advance(resume.empty_state(spark), bars).drop("state").join(bars.select("symbol", "trade_date", "close"), ["symbol", "trade_date"])
+    span = F.lit(0)
+    for date in plans.REFRESH_DATES[:3]:
+        span = span + (F.col("trade_date") > F.lit(date).cast("date")).cast("int")
+    numbered = whole.withColumn("span", span).filter("span > 0")
+    newest = numbered.groupBy("symbol", "span").agg(F.max("trade_date").alias("trade_date"))
+    asked = numbered.join(newest, ["symbol", "span", "trade_date"]).withColumn("horizon", F.explode(F.array(*map(F.lit, plans.HORIZONS))))
+    want = fo.predict(forests, asked, plans.REFRESH_COLUMNS, key).collect()
+    columns = [*key, "trees", "votes", "prediction"]
+    assert sorted(log.select(columns).collect()) == sorted(want) and len(want) > 0
+    assert {r.prediction for r in want} <= {0, 1}
+
+
+def test_a_repeated_batch_goes_on_from_the_same_state(spark, make_bars, tmp_path):
+    from tidemark.operators import forests as fo
+    from tidemark.operators import resume
+    from tidemark.session import written
+
+    bars = make_bars({"A": [10 + i % 7 for i in range(60)], "B": [30 - i % 5 for i in range(50)]})
+    spec, columns = resume.Spec(sma=(3,), ema=(4,), rsi=5), ["horizon", "close", "sma3", "rsi"]
+    filled = resume.advance(resume.empty_state(spark), bars, spec).join(bars.select("symbol", "trade_date", "close"), ["symbol", "trade_date"])
+    training = filled.withColumn("horizon", F.lit(1)).withColumn("label", (F.col("close") > 12).cast("int")).drop("state").dropna()
+    forests = fo.store_forests(written(spark, training, ("symbol",)), columns, ["A", "B"], f"{tmp_path}/forests", numTrees=2, maxDepth=3)
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+
+    def run():
+        stream = st.read_stream(spark, folder, bars.schema)
+        st.predicted_refresh(stream, out, f"{tmp_path}/checkpoint", resume.empty_state(spark), forests, columns, (1,), spec, None).awaitTermination()
+
+    for low, high in ((0, 20), (20, 41), (41, 60)):
+        part = bars.filter((F.datediff("trade_date", F.lit("2000-01-01")) >= low) & (F.datediff("trade_date", F.lit("2000-01-01")) < high))
+        part.write.mode("append").parquet(folder)
+        run()
+    read = lambda: sorted(spark.read.parquet(f"{out}/predictions").collect(), key=str)
+    want, state = read(), sorted(spark.read.schema(resume.STATE).parquet(f"{out}/state/slot=0").collect())
+    # as if the driver had been lost after the last batch's tables were written and before its commit
+    os.remove(f"{tmp_path}/checkpoint/commits/2")
+    crc = f"{tmp_path}/checkpoint/commits/.2.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    run()
+    assert read() == want and len(want) == 6
+    assert sorted(spark.read.schema(resume.STATE).parquet(f"{out}/state/slot=0").collect()) == state

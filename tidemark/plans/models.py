@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
+from tidemark.operators import forests as fo
 from tidemark.operators import indicators as ind
 from tidemark.operators import models as md
 from tidemark.operators import news, rows
@@ -193,6 +194,19 @@ def rf_per_symbol(spark, sf):
     return scores(spark, {symbol: score for symbol, (score, _) in fitted.items()})
 
 
+@query("symbol_forest_votes", sql.region(f"""
+SELECT symbol, max(trade_date) AS trade_date, horizon, 100::INTEGER AS trees, 100.0::DOUBLE AS votes FROM bars,
+  (VALUES {", ".join(f"({h}::INTEGER)" for h in HORIZONS)}) AS h(horizon) GROUP BY symbol, horizon HAVING count(*) > 200"""))
+def symbol_forest_votes(spark, sf):
+    """How each symbol's own forest votes on its latest row, over each horizon: trees asked and shares cast."""
+    training = training_table(spark, sf, ("symbol",))
+    forests = fo.store_forests(training, FULL, symbols(spark, sf), shared_dir(spark))
+    latest = rows.latest_features(ft.features(daily_bars(spark, sf, "region")), list(ind.INDICATORS))
+    asked = latest.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
+    found = fo.predict(forests, asked, FULL, [*KEY, "horizon"])
+    return found.select(*KEY, "horizon", "trees", F.round(F.aggregate("votes", F.lit(0.0), lambda a, b: a + b), 6).alias("votes"))
+
+
 @query("rf_multi")
 def rf_multi(spark, sf):
     names = symbols(spark, sf)

@@ -259,13 +259,16 @@ def incremental_fill(spark, sf):
 RESUME_DATE = "1998-06-30"
 
 
-@query("resumed_indicators", sql.brand(f"""
-SELECT symbol, scan.trade_date, sma20, round(ema20 + 1e-8, 4) + 0.0 AS ema20, {RSI_OUT}, obv
-FROM scan JOIN windows USING (symbol, rn) WHERE scan.trade_date > DATE '{RESUME_DATE}'""", EMA_BASE.replace("base AS", "ema_base AS"), RSI_BASE, """
+RESUME_WINDOWS = (EMA_BASE.replace("base AS", "ema_base AS"), RSI_BASE, """
 base AS (SELECT e.*, r.* EXCLUDE (symbol, trade_date, rn) FROM ema_base e JOIN rsi_base r USING (symbol, rn))""", f"""
 windows AS (SELECT symbol, rn, CASE WHEN rn >= 20 THEN avg(close) OVER {over(20)} END AS sma20,
   sum(CASE WHEN p IS NULL OR close > p THEN volume WHEN close < p THEN -volume ELSE 0 END) OVER {RUNNING} AS obv
-  FROM (SELECT *, row_number() OVER {ORD} AS rn, lag(close) OVER {ORD} AS p FROM bars))""",
+  FROM (SELECT *, row_number() OVER {ORD} AS rn, lag(close) OVER {ORD} AS p FROM bars))""")
+
+
+@query("resumed_indicators", sql.brand(f"""
+SELECT symbol, scan.trade_date, sma20, round(ema20 + 1e-8, 4) + 0.0 AS ema20, {RSI_OUT}, obv
+FROM scan JOIN windows USING (symbol, rn) WHERE scan.trade_date > DATE '{RESUME_DATE}'""", *RESUME_WINDOWS,
     sql.scan({"ema20": EMA_STATES["ema20"], **RSI_STATES}), recursive=True))
 def resumed_indicators(spark, sf):
     """The stored state of the older bars, then the newer ones in two steps from it."""

@@ -6,12 +6,15 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import forests as fo
 from tidemark.operators import indicators as ind
+from tidemark.operators import resume
 from tidemark.plans import sql
 from tidemark.plans.news import TO_SCORES, TO_SENTENCES, TO_STATS, text_sql
+from tidemark.plans.portfolio import symbols
 from tidemark.plans.registry import query
-from tidemark.plans.series import settle
-from tidemark.plans.views import as_articles, as_ticks, daily_bars, minute_bars, naive, table
+from tidemark.plans.series import EMA_BASE, EMA_STATES, RESUME_DATE, RESUME_WINDOWS, RSI_BASE, RSI_OUT, RSI_STATES, settle
+from tidemark.plans.views import HORIZONS, as_articles, as_ticks, daily_bars, minute_bars, naive, table
 from tidemark.session import shared_dir, written
 from tidemark.streaming import streams as st
 
@@ -133,6 +136,47 @@ def stream_minute_refresh(spark, sf):
     return st.current_rows(log, ("symbol", "ts")).select("symbol", naive("ts"), F.round("sma20", 4).alias("sma20"))
 
 
+REFRESH_DATES = (RESUME_DATE, "1998-09-15", "1998-10-15", "9999-12-31")
+REFRESH_COLUMNS = ["horizon", "close", *resume.Spec().columns]
+
+
+@query("stream_predictions", sql.region(f"""
+SELECT symbol, trade_date, horizon, sma20, ema20, rsi, obv, 100::INTEGER AS trees FROM (
+  SELECT symbol, scan.trade_date, sma20, round(ema20 + 1e-8, 4) + 0.0 AS ema20, {RSI_OUT}, obv,
+    row_number() OVER (PARTITION BY symbol, scan.trade_date > DATE '{REFRESH_DATES[1]}', scan.trade_date > DATE '{REFRESH_DATES[2]}'
+      ORDER BY scan.trade_date DESC) AS back
+  FROM scan JOIN windows USING (symbol, rn) WHERE scan.trade_date > DATE '{RESUME_DATE}'),
+  (VALUES {", ".join(f"({h}::INTEGER)" for h in HORIZONS)}) AS h(horizon) WHERE back = 1""", *RESUME_WINDOWS,
+    sql.scan({"ema20": EMA_STATES["ema20"], **RSI_STATES}), recursive=True))
+def stream_predictions(spark, sf):
+    """Newest indicators of each symbol per batch of daily bars, with the trees of its forest that voted on it."""
+    path, _ = refreshed_predictions(spark, sf)
+    days = st.read_log(spark, f"{path}/indicators", resume.advance(resume.empty_state(spark), daily_bars(spark, sf, "region")).schema)
+    predicted = spark.read.parquet(f"{path}/predictions").drop("batch_id")
+    rows = days.drop("state", "batch_id").join(predicted, ["symbol", "trade_date"])
+    return rows.select("symbol", "trade_date", "horizon", "sma20", settle("ema20", 4), settle("rsi", 4), "obv", "trees")
+
+
+def refreshed_predictions(spark, sf, **settings):
+    """The regions' daily bars after the resume date arrive in three batches; the state and the forests are those of the older ones."""
+    path = shared_dir(spark)
+    bars = written(spark, daily_bars(spark, sf, "region"))
+    between = lambda start, end: bars.filter(
+        (F.col("trade_date") > F.lit(start).cast("date")) & (F.col("trade_date") <= F.lit(end).cast("date")))
+    older = between("0001-01-01", RESUME_DATE)
+    filled = written(spark, resume.advance(resume.empty_state(spark), older))
+    state = written(spark, resume.next_state(filled, resume.empty_state(spark)))
+    labelled = ind.direction_labels(older, HORIZONS).select("symbol", "trade_date", "close", "horizon", "label").dropna()
+    training = written(spark, filled.drop("state").join(labelled, ["symbol", "trade_date"]), ("symbol",))
+    forests = fo.store_forests(training, REFRESH_COLUMNS, symbols(spark, sf), f"{path}/forests", **settings)
+    for start, end in zip(REFRESH_DATES, REFRESH_DATES[1:]):
+        between(start, end).write.mode("append").parquet(f"{path}/bars")
+        # a run takes what has arrived since the one before it, and goes on from its checkpoint
+        stream = st.read_stream(spark, f"{path}/bars", bars.schema)
+        st.predicted_refresh(stream, path, f"{path}/checkpoint", state, forests, REFRESH_COLUMNS, HORIZONS, every=None).awaitTermination()
+    return path, forests
+
+
 def refreshed_news(spark, sf):
     path = shared_dir(spark)
     schema = table(spark, sf, "documents").schema

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators import news
+from tidemark.operators import forests as fo
+from tidemark.operators import news, resume
 from tidemark.operators.bars import bars_from_ticks
 
 
@@ -130,6 +131,34 @@ def minute_refresh(
     return log_changes(bars, f"{path}/bars", checkpoint, every, "update", refresh)
 
 
+def predicted_refresh(
+    bars: DataFrame, path: str, checkpoint: str, state: DataFrame, forests: DataFrame, columns: Sequence[str],
+    horizons: Sequence[int], spec: resume.Spec = resume.Spec(), every: str | None = "1 minute",
+) -> StreamingQuery:
+    """Indicators of new daily bars, and each refreshed symbol's prediction by its own forest, per trigger.
+
+    Older bars are not read: a batch goes on from the state that the batch before it stored, the first one from
+    ``state``. States take turns in two folders, so a repeated batch starts from the same state as the first time and
+    the folders do not grow with the batches. ``columns`` may name the horizon, the close and the columns of ``spec``.
+    """
+
+    def slot(batch_id: int) -> str:
+        return f"{path}/state/slot={batch_id % 2}"
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = state if batch_id == 0 else spark.read.schema(resume.STATE).parquet(slot(batch_id - 1))
+        advanced = resume.advance(known, batch, spec)
+        write_batch(advanced, f"{path}/indicators", batch_id)
+        filled = spark.read.schema(advanced.schema).parquet(f"{path}/indicators/batch_id={batch_id}")
+        resume.next_state(filled, known).write.mode("overwrite").parquet(slot(batch_id))
+        newest = filled.filter("state is not null").withColumn("close", F.element_at("state.closes", -1)).drop("state")
+        asked = newest.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+        write_batch(fo.predict(forests, asked, columns, ("symbol", "trade_date", "horizon")), f"{path}/predictions", batch_id)
+
+    return _start(bars.writeStream.outputMode("append").foreachBatch(refresh), checkpoint, every)
+
+
 def news_refresh(
     articles: DataFrame, bars: DataFrame, path: str, checkpoint: str, every: str | None = "1 hour", n: int = 2
 ) -> StreamingQuery:
