@@ -46,8 +46,11 @@ def test_bars_over_batches_equal_batch(spark, landed, tmp_path):
 
 def test_average_carries_over_batches(spark, landed, tmp_path):
     stream = st.read_stream(spark, landed, ticks(spark).schema, max_files=1)
-    st.append_to(st.stream_ema(stream, 0.2, "price"), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    got = {(r.symbol, r.ts): r.ema for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    st.stream_ema(stream, 0.2, f"{tmp_path}/out", f"{tmp_path}/state", "price", "minute").awaitTermination()
+    log = spark.read.parquet(f"{tmp_path}/out/averages")
+    assert log.select("batch_id").distinct().count() >= 3
+    got = {(r.symbol, r.ts): r.ema for r in log.collect()}
+    assert len(got) == log.count() == ticks(spark).count()
     state = {}
     for r in ticks(spark).orderBy("seq").collect():
         y = state.get(r.symbol, r.price)
@@ -80,6 +83,13 @@ def test_news_counts_add_up_and_replay_changes_nothing(spark, make_bars, tmp_pat
     columns = ["sentence", "documents", "occurrences", "blacklisted"]
     want = sorted(news.sentence_counts(news.with_sentences(articles)).select(columns).collect())
     assert sorted(st.sentence_totals(spark, f"{tmp_path}/out").select(columns).collect()) == want
+    # the merged total of the last batch is the sum of what all batches added
+    merged = spark.read.parquet(st.slot(f"{tmp_path}/out/totals/sentences", 2))
+    assert sorted(merged.select(columns).collect()) == want
+    grams = ["gram", "n", "documents", "occurrences", "increase", "decrease"]
+    total = spark.read.parquet(st.slot(f"{tmp_path}/out/totals/ngrams", 2))
+    assert sorted(total.select(grams).collect()) == sorted(st.ngram_totals(spark, f"{tmp_path}/out").select(grams).collect())
+    assert {d for d in os.listdir(f"{tmp_path}/out/totals/ngrams") if "=" in d} == {"slot=0", "slot=1"}
     moods = spark.read.parquet(f"{tmp_path}/out/moods")
     assert sorted(r.id for r in moods.collect()) == list(range(9))
     last = max(int(d.split("=")[1]) for d in os.listdir(f"{tmp_path}/out/sentence_counts") if "=" in d)

@@ -110,10 +110,13 @@ def chunk_of(ts: str, span: str) -> Column:
 
 
 def chunked_ema(
-    df: DataFrame, value: str, out: str, alpha: float, chunk: str, order: str = "seq", by: str = "symbol"
+    df: DataFrame, value: str, out: str, alpha: float, chunk: str, order: str = "seq", by: str = "symbol",
+    entering: DataFrame | None = None,
 ) -> DataFrame:
     """Exponential average started at the first value, parallel within a symbol.
 
+    With ``entering``, a table of (``by``, ``entered``), a series found there goes on from that value instead.
+
     A chunk maps the value carried in, ``y``, to ``keep * y + gain``. Those
     pairs compose, so the value entering each chunk comes from the pairs
     alone, and every chunk then runs independently from its own start.
@@ -132,9 +135,14 @@ def chunked_ema(
             F.min_by(value, order).alias("first_value"),
         )
         .withColumn("keep", F.pow(decay, F.col("n")))
-        # The very first row carries itself in: y = v + alpha * (v - v).
-        .withColumn("start", F.when(is_first, F.col("first_value")))
+        .withColumn("is_first", is_first)
     )
+    # The very first row carries itself in: y = v + alpha * (v - v).
+    first = F.col("first_value")
+    if entering is not None:
+        pairs = pairs.join(entering.select(by, "entered"), by, "left")
+        first = F.coalesce("entered", "first_value")
+    pairs = pairs.withColumn("start", F.when(F.col("is_first"), first))
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(chunk, kind="stable")

@@ -7,18 +7,17 @@ take the newest version of each key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import forests as fo
 from tidemark.operators import news, resume
 from tidemark.operators.bars import bars_from_ticks
+from tidemark.operators.series import chunk_of, chunked_ema
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -80,27 +79,42 @@ def late_cutoff(rows: DataFrame, key: Sequence[str], delay: str) -> DataFrame:
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def stream_ema(bars: DataFrame, alpha: float, price: str = "close") -> DataFrame:
-    """Exponential average that carries one value per symbol between micro-batches.
+def slot(path: str, batch_id: int) -> str:
+    """Folder of the state after a batch. Two take turns, so a repeated batch starts from the same state as the first
+    time, a broken write hurts only the state after it, and the folders do not grow with the batches."""
+    return f"{path}/slot={batch_id % 2}"
 
-    Input is bars in order of arrival; within a batch they are put in order
-    of time. A symbol adds at most one bar per interval.
+
+def state_before(first: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """What the batch before stored, or ``first`` for the first batch."""
+    return first if batch_id == 0 else first.sparkSession.read.schema(first.schema).parquet(slot(path, batch_id - 1))
+
+
+def write_state(state: DataFrame, path: str, batch_id: int) -> None:
+    state.write.mode("overwrite").parquet(slot(path, batch_id))
+
+
+def stream_ema(
+    bars: DataFrame, alpha: float, path: str, checkpoint: str, price: str = "close", span: str = "day", every: str | None = None
+) -> StreamingQuery:
+    """Exponential average that carries one value per symbol between micro-batches, written to ``path``/averages.
+
+    Input is bars in order of arrival, at most one per symbol and time; within a batch they are put in order of time. A
+    batch is cut into chunks of one symbol and ``span``, which run side by side: only a pair of numbers per chunk is put
+    in order per symbol.
     """
-    out = "symbol string, ts timestamp, ema double"
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        path = pdf[price].to_numpy(float)
-        if state.exists:
-            values = pd.Series([state.get[0], *path]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-        else:
-            values = pd.Series(path).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-        state.update((float(values[-1]),))
-        yield pd.DataFrame({"symbol": key[0], "ts": pdf["ts"].to_numpy(), "ema": values})
-
-    return bars.groupBy("symbol").applyInPandasWithState(
-        advance, out, "ema double", "append", GroupStateTimeout.NoTimeout
-    )
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = state_before(spark.createDataFrame([], "symbol string, entered double"), f"{path}/carried", batch_id)
+        chunked = batch.select("symbol", "ts", price).withColumn("chunk", chunk_of("ts", span))
+        averaged = chunked_ema(chunked, price, "ema", alpha, "chunk", "ts", entering=known).select("symbol", "ts", "ema")
+        write_batch(averaged, f"{path}/averages", batch_id)
+        done = spark.read.schema(averaged.schema).parquet(f"{path}/averages/batch_id={batch_id}")
+        last = done.groupBy("symbol").agg(F.max_by("ema", "ts").alias("entered"))
+        write_state(last.unionByName(known.join(last, "symbol", "left_anti")), f"{path}/carried", batch_id)
+
+    return _start(bars.writeStream.outputMode("append").foreachBatch(refresh), checkpoint, every)
 
 
 def alerts(quotes: DataFrame, held: DataFrame, loss: float, profit: float) -> DataFrame:
@@ -138,20 +152,16 @@ def predicted_refresh(
     """Indicators of new daily bars, and each refreshed symbol's prediction by its own forest, per trigger.
 
     Older bars are not read: a batch goes on from the state that the batch before it stored, the first one from
-    ``state``. States take turns in two folders, so a repeated batch starts from the same state as the first time and
-    the folders do not grow with the batches. ``columns`` may name the horizon, the close and the columns of ``spec``.
+    ``state``. ``columns`` may name the horizon, the close and the columns of ``spec``.
     """
 
-    def slot(batch_id: int) -> str:
-        return f"{path}/state/slot={batch_id % 2}"
-
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = state if batch_id == 0 else spark.read.schema(resume.STATE).parquet(slot(batch_id - 1))
+        known = state_before(state, f"{path}/state", batch_id)
         advanced = resume.advance(known, batch, spec)
         write_batch(advanced, f"{path}/indicators", batch_id)
         filled = spark.read.schema(advanced.schema).parquet(f"{path}/indicators/batch_id={batch_id}")
-        resume.next_state(filled, known).write.mode("overwrite").parquet(slot(batch_id))
+        write_state(resume.next_state(filled, known), f"{path}/state", batch_id)
         newest = filled.filter("state is not null").withColumn("close", F.element_at("state.closes", -1)).drop("state")
         asked = newest.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
         write_batch(fo.predict(forests, asked, columns, ("symbol", "trade_date", "horizon")), f"{path}/predictions", batch_id)
@@ -164,34 +174,49 @@ def news_refresh(
 ) -> StreamingQuery:
     """Sentence counts, gram statistics and moods of new articles, per trigger.
 
-    Every stage stores what the batch adds under its batch id; totals are sums
-    over the batches, so running a batch again changes nothing.
+    Every stage stores what the batch adds under its batch id, so running a
+    batch again changes nothing. A batch reads one total, the one merged by
+    the batch before it, and none of the earlier batches.
     """
 
+    def merged(added: DataFrame, name: str, batch_id: int, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        known = state_before(added.limit(0), f"{path}/totals/{name}", batch_id)
+        write_state(add(known.unionByName(added)), f"{path}/totals/{name}", batch_id)
+        return added.sparkSession.read.schema(added.schema).parquet(slot(f"{path}/totals/{name}", batch_id))
+
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_batch(news.with_sentences(batch), f"{path}/sentences", batch_id)
         sentenced = spark.read.parquet(f"{path}/sentences/batch_id={batch_id}")
         write_batch(news.sentence_counts(sentenced), f"{path}/sentence_counts", batch_id)
-        totals = sentence_totals(spark, path)
+        counted = spark.read.parquet(f"{path}/sentence_counts/batch_id={batch_id}")
+        totals = merged(counted, "sentences", batch_id, add_sentences)
         write_batch(news.strip_boilerplate(sentenced, totals), f"{path}/stripped", batch_id)
         stripped = spark.read.parquet(f"{path}/stripped/batch_id={batch_id}")
         moves = news.price_moves(stripped, bars)
         write_batch(news.ngram_stats(stripped, moves, n), f"{path}/ngrams", batch_id)
-        write_batch(news.article_sentiment(stripped, ngram_totals(spark, path), n), f"{path}/moods", batch_id)
+        stats = merged(spark.read.parquet(f"{path}/ngrams/batch_id={batch_id}"), "ngrams", batch_id, add_ngrams)
+        write_batch(news.article_sentiment(stripped, stats, n), f"{path}/moods", batch_id)
 
     return _start(articles.writeStream.outputMode("append").foreachBatch(refresh), checkpoint, every)
 
 
-def sentence_totals(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(f"{path}/sentence_counts")
-    return stored.groupBy("sentence", "hash").agg(
+def add_sentences(counts: DataFrame) -> DataFrame:
+    """Counts of sentences from several batches as one."""
+    return counts.groupBy("sentence", "hash").agg(
         F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences")
     ).withColumn("blacklisted", F.col("occurrences") >= news.BOILERPLATE_OCCURRENCES)
 
 
-def ngram_totals(spark: SparkSession, path: str) -> DataFrame:
+def add_ngrams(stats: DataFrame) -> DataFrame:
+    """Gram statistics from several batches as one."""
     counts = ("documents", "occurrences", "increase", "decrease")
-    return spark.read.parquet(f"{path}/ngrams").groupBy("gram", "n", "hash").agg(
-        *[F.sum(c).alias(c) for c in counts]
-    )
+    return stats.groupBy("gram", "n", "hash").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def sentence_totals(spark: SparkSession, path: str) -> DataFrame:
+    return add_sentences(spark.read.parquet(f"{path}/sentence_counts"))
+
+
+def ngram_totals(spark: SparkSession, path: str) -> DataFrame:
+    return add_ngrams(spark.read.parquet(f"{path}/ngrams"))
