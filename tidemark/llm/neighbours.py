@@ -7,15 +7,16 @@ that distance finds every code within the radius. What is found is checked on th
 inner product of the original vectors in double precision. R is fitted on the sample so that a wanted share
 of true neighbours lies within it.
 
-Vectors are dealt by a hash of their id into index blocks of bounded size, queries into query blocks. Every pair
-of blocks is one group: it builds the substring tables of its vectors once, answers its queries and returns the
-best k of each, so rows between tasks are k per query and index block. Nothing is broadcast but the code's
-parameters, whose size depends on the dimension alone.
+Vectors are dealt by a hash of their id into index blocks of bounded size; each travels to its block once, and
+every query to every block. Within a partition a block's vectors come first and its queries behind them: the block
+builds its substring tables once, answers the queries batch by batch as they arrive and returns the best k of each,
+so a task holds one block and one batch, and rows between tasks are k per query and index block. Nothing is
+broadcast but the code's parameters, whose size depends on the dimension alone.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than
 most vectors take no part. Ties go to smaller ids; a query skips every row with its own id; rows that repeat an
-id are reported once, with their best score. With fewer candidates than k all are returned: a query block
-that finds fewer than k ids within the radius doubles its radius until it has k or all. An empty table gives no rows.
+id are reported once, with their best score. With fewer candidates than k all are returned: an index
+block that finds fewer than k ids within the radius doubles its radius until it has k or all. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ SAMPLE_QUERIES = 256
 WANTED = 0.985
 ROTATIONS = 30
 BLOCK_VECTORS = 8192
-BLOCK_QUERIES = 1024
 SEED = 7
 
 
@@ -118,49 +118,66 @@ class Index:
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    values = column.combine_chunks()
-    return np.asarray(values.flatten(), dtype=np.float64).reshape(len(values), width)
+class Block:
+    """The vectors of an index block, rows of an id together, with their substring tables."""
 
+    def __init__(self, ids: np.ndarray, x: np.ndarray, model: dict):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.x, self.model = ids[order], x[order], model
+        self.distinct, self.group = np.unique(self.ids, return_inverse=True)
+        self.index = Index(encode(self.x, model, False))
 
-def search_block(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, model: dict, k: int):
-    """(query id, id, score) lists of the best k rows of the block per query."""
-    # rows of an id stand together
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    distinct, group = np.unique(ids, return_inverse=True)
-    index, codes = Index(encode(x, model, False)), encode(q, model, True)
-    out: tuple[list, list, list] = ([], [], [])
-    for row, code in enumerate(codes):
-        radius = model["radius"]
-        others = None
+    def firsts(self, rows: np.ndarray) -> np.ndarray:
+        """Places in ``rows`` where another id begins."""
+        return np.flatnonzero(np.diff(self.ids[rows], prepend=self.ids[rows[:1]] - 1))
+
+    def within(self, own: int, code: np.ndarray, k: int) -> np.ndarray:
+        """Rows of other ids within the radius, widened until it holds ``k`` ids or all of them."""
+        radius, others = self.model["radius"], None
         while True:
-            rows = index.within(code, radius)
-            rows = rows[ids[rows] != asked[row]]
-            first = np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[:1]] - 1))
-            if len(first) >= k or radius >= model["bits"]:
-                break
+            rows = self.index.within(code, radius)
+            rows = rows[self.ids[rows] != own]
+            found = len(self.firsts(rows))
+            if found >= k or radius >= self.model["bits"]:
+                return rows
             if others is None:
-                others = len(distinct) - int(asked[row] in distinct)
-            if len(first) == others:
-                break
-            radius = min(model["bits"], 2 * radius + 1)
-        # the best score of every id found, over all of its rows
-        if len(distinct) < len(ids):
-            some = np.zeros(len(distinct), bool)
-            some[group[rows]] = True
-            rows = np.flatnonzero(some[group])
-            first = np.flatnonzero(np.diff(ids[rows], prepend=ids[rows[:1]] - 1))
-        found, scores = ids[rows][first], x[rows] @ q[row]
-        scores = np.maximum.reduceat(scores, first) if len(first) else scores
-        if len(found) > 4 * k:
-            bar = np.partition(scores, len(found) - k)[len(found) - k]
-            found, scores = found[scores >= bar], scores[scores >= bar]
-        best = np.lexsort([found, -scores])[:k]
-        out[0].extend([asked[row]] * len(best))
-        out[1].extend(found[best])
-        out[2].extend(scores[best])
-    return out
+                others = len(self.distinct) - int(own in self.distinct)
+            if found == others:
+                return rows
+            radius = min(self.model["bits"], 2 * radius + 1)
+
+    def best(self, asked: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
+        """(query id, id, score) lists of the best ``k`` ids per query."""
+        out: tuple[list, list, list] = ([], [], [])
+        for own, vector, code in zip(asked, q, encode(q, self.model, True)):
+            rows = self.within(own, code, k)
+            # the best score of every id found, over all of its rows
+            if len(self.distinct) < len(self.ids):
+                some = np.zeros(len(self.distinct), bool)
+                some[self.group[rows]] = True
+                rows = np.flatnonzero(some[self.group])
+            first = self.firsts(rows)
+            found, scores = self.ids[rows][first], self.x[rows] @ vector
+            scores = np.maximum.reduceat(scores, first) if len(first) else scores
+            if len(found) > 4 * k:
+                bar = np.partition(scores, len(found) - k)[len(found) - k]
+                found, scores = found[scores >= bar], scores[scores >= bar]
+            top = np.lexsort([found, -scores])[:k]
+            out[0].extend([own] * len(top))
+            out[1].extend(found[top])
+            out[2].extend(scores[top])
+        return out
+
+
+def runs(batch: pa.RecordBatch, width: int):
+    """(block, queries or not, ids, vectors) of the stretches of a batch that stand in one block and kind."""
+    block, asks = batch.column("b").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+    ids = batch.column("vec_id").to_numpy()
+    x = np.asarray(batch.column("x").flatten(), dtype=np.float64).reshape(len(ids), width)
+    edges = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1), len(ids)]
+    for first, last in zip(edges, edges[1:]):
+        if last > first:
+            yield int(block[first]), bool(asks[first]), ids[first:last], x[first:last]
 
 
 def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
@@ -182,33 +199,29 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector:
     model = learn(np.array(list({r["vec_id"]: r["x"] for r in sample}.values())), top, k)
 
     n_blocks = math.ceil(n / BLOCK_VECTORS)
-    n_asked = rows.filter("asked").count()
-    asked_blocks = max(1, math.ceil(n_asked / BLOCK_QUERIES))
     block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")
-    asked_block = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(asked_blocks)).cast("int")
-
-    def every(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    indexed = rows.select("vec_id", "x", block.alias("b"), every(asked_blocks).alias("a"))
-    questions = rows.filter("asked").select("vec_id", "x", asked_block.alias("a"), every(n_blocks).alias("b"))
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found: tuple[list, list, list] = ([], [], [])
-        if len(left) and len(right):
-            found = search_block(
-                left.column("vec_id").to_numpy(),
-                _matrix(left.column("x"), width),
-                right.column("vec_id").to_numpy(),
-                _matrix(right.column("x"), width),
-                model,
-                k,
-            )
-        return pa.table(
-            {"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())}
-        )
-
-    near = indexed.groupBy("a", "b").cogroup(questions.groupBy("a", "b")).applyInArrow(run, schema)
+    indexed = rows.select(block.alias("b"), F.lit(False).alias("asks"), "vec_id", "x")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    questions = rows.filter("asked").select(every.alias("b"), F.lit(True).alias("asks"), "vec_id", "x")
+
+    def run(batches):
+        current, held, ready = None, [], None
+        for batch in batches:
+            for b, asks, ids, x in runs(batch, width):
+                if b != current:
+                    current, held, ready = b, [], None
+                if not asks:
+                    held.append((ids.copy(), x.copy()))
+                elif held or ready is not None:
+                    if ready is None:
+                        ready, held = Block(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), model), []
+                    found = ready.best(ids, x, k)
+                    yield pa.record_batch(
+                        {"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())}
+                    )
+
+    placed = indexed.unionByName(questions).repartition("b").sortWithinPartitions("b", "asks")
+    near = placed.mapInArrow(run, schema)
     # rows that repeat a query's id ask alike; a neighbour counts once
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
