@@ -92,6 +92,23 @@ def test_recall_on_the_table(spark):
     assert np.mean([len(got[q] & set(v)) / 20 for q, v in want.items()]) > 0.95
 
 
+def test_blocks_and_queries_cut_by_batches(spark, monkeypatch):
+    """Several index blocks in a partition, whose rows come in small Arrow batches."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK_VECTORS", 60)
+    monkeypatch.setattr(neighbours, "WANTED", 1.0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = neighbours.search(rows, F.col("vec_id") % 10 == 0, k=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = neighbours_by_hand(np.arange(700), x, np.arange(700) % 10 == 0, 5)
+    assert len(found) == 5 * 70 == len({(r.query_id, r.rank) for r in found})
+    assert sum(r.vec_id in want[r.query_id] for r in found) > 0.95 * 5 * 70
+
+
 def test_lengths_of_vectors_count(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)) * rng.uniform(0.2, 3, size=(600, 1))
@@ -106,11 +123,15 @@ def test_lengths_of_vectors_count(spark):
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 256, size=(3000, 4), dtype=np.uint8)
-    index = neighbours.Index(codes)
-    for radius in (0, 3, 9, 14, 32):
-        for code in codes[:20]:
-            want = np.flatnonzero(np.bitwise_count(codes ^ code).sum(axis=1) <= radius)
-            assert index.within(code, radius).tolist() == want.tolist()
+    for index in (neighbours.Index(codes), neighbours.Index(codes, 9)):
+        for radius in (0, 3, 9, 14, 32):
+            for code in [*codes[:20], *codes[:20]]:
+                want = np.flatnonzero(np.bitwise_count(codes ^ code).sum(axis=1) <= radius)
+                assert index.within(code, radius).tolist() == want.tolist()
+    wide = rng.integers(0, 256, size=(500, 11), dtype=np.uint8)
+    index = neighbours.Index(wide, 36)
+    for code in wide[:20]:
+        assert index.within(code, 36).tolist() == np.flatnonzero(np.bitwise_count(wide ^ code).sum(axis=1) <= 36).tolist()
 
 
 def test_odd_vectors(spark):

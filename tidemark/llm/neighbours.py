@@ -92,30 +92,57 @@ def encode(x: np.ndarray, model: dict, query: bool) -> np.ndarray:
     return np.packbits((lifted(x, model["top"], query) - model["centre"]) @ model["turn"] > 0, axis=1)
 
 
+def words(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words, filled up with zeros."""
+    padded = np.zeros((len(codes), -(-codes.shape[1] // 8) * 8), np.uint8)
+    padded[:, : codes.shape[1]] = codes
+    return padded.view(np.uint64)
+
+
 class Index:
-    """Substring tables of one block: for each substring, the rows sorted by its value."""
+    """Substring tables of one block: for each substring, the rows sorted by its value.
+
+    The rows that a substring value finds are kept as bits for the probes of ``radius``, which all queries share: at
+    most 256 bytes per row and substring of eight bits, in all substrings together those of a few vectors.
+    """
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, radius: int = 0):
+        self.codes, self.words = codes, words(codes)
         self.order = np.argsort(codes, axis=0, kind="stable").T.copy()
         self.starts = np.stack([np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)])
         values = np.arange(256, dtype=np.uint8)
         self.ball = np.argsort(np.bitwise_count(values), kind="stable").astype(np.uint8)
         self.ball_ends = np.cumsum([math.comb(SUBSTRING_BITS, r) for r in range(SUBSTRING_BITS + 1)])
+        self.kept_step = self.step(radius)
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
+
+    def step(self, radius: int) -> int:
+        """Bits in which some substring of a code within ``radius`` differs at most."""
+        return min(radius // self.codes.shape[1], SUBSTRING_BITS)
+
+    def probe(self, j: int, part: int, step: int) -> np.ndarray:
+        """Bits of the rows whose substring ``j`` differs from ``part`` in at most ``step`` bits."""
+        known = self.kept.get((j, part)) if step == self.kept_step else None
+        if known is not None:
+            return known
+        values = self.ball[: self.ball_ends[step]] ^ np.uint8(part)
+        first, last = self.starts[j, values], self.starts[j, values.astype(np.int64) + 1]
+        size = last - first
+        # rows of all probed values at once: runs first..last laid end to end
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        found = np.zeros(len(self.codes), bool)
+        found[self.order[j, at]] = True
+        bits = np.packbits(found)
+        if step == self.kept_step:
+            self.kept[j, part] = bits
+        return bits
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code differs from ``code`` in at most ``radius`` bits."""
-        near = self.ball[: self.ball_ends[min(radius // len(code), SUBSTRING_BITS)]]
-        found = np.zeros(len(self.codes), bool)
-        for j, part in enumerate(code):
-            values = near ^ part
-            first, last = self.starts[j, values], self.starts[j, values.astype(np.int64) + 1]
-            size = last - first
-            # rows of all probed values at once: runs first..last laid end to end
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            found[self.order[j, at]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+        step = self.step(radius)
+        found = np.bitwise_or.reduce([self.probe(j, part, step) for j, part in enumerate(code.tolist())])
+        rows = np.flatnonzero(np.unpackbits(found, count=len(self.codes)))
+        return rows[np.bitwise_count(self.words[rows] ^ words(code[None])).sum(axis=1) <= radius]
 
 
 class Block:
@@ -125,7 +152,7 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.model = ids[order], x[order], model
         self.distinct, self.group = np.unique(self.ids, return_inverse=True)
-        self.index = Index(encode(self.x, model, False))
+        self.index = Index(encode(self.x, model, False), model["radius"])
 
     def firsts(self, rows: np.ndarray) -> np.ndarray:
         """Places in ``rows`` where another id begins."""
