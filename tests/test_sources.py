@@ -100,3 +100,16 @@ def test_unreadable_rows_do_not_end_the_job(spark):
     kept, rejected = bars.parse_vendor_history(history)
     assert kept.filter("ts is not null").count() == kept.count() == 1
     assert sorted(r.line_no for r in rejected.collect()) == [1, 2, 4]
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def together(values: pd.Series) -> pd.Series:
+        return pd.Series([len(values)] * len(values))
+
+    pages = spark.range(5000).coalesce(1).select(F.repeat(F.lit("<p>text "), 1000).alias("html"))
+    rows = pages.select(together("html").alias("rows")).agg(F.max("rows"), F.count("rows")).head()
+    # 8,000 bytes each; a batch had 5,000 of them before
+    assert rows[0] <= 600 and rows[1] == 5000

@@ -13,6 +13,11 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Joins whose partitions fit into memory look rows up instead of sorting both sides.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Texts and pages travel to Python in batches of few rows and bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     # A provisional row replaces only the date partitions it touches.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
