@@ -88,3 +88,39 @@ def test_grams_meet_their_statistics(spark, hot):
     got = Counter((r.id, r.share) for r in met.collect())
     assert got == Counter([(i, 0.5) for i in range(40)] + [(i, 0.25) for i in range(40) if i % 7 < 5])
     assert len({r.salt for r in met.filter("share = 0.5").collect()}) == (4 if hot == 2 else 1)
+
+
+def test_counted_grams_are_those_of_the_columns(spark):
+    rows = [(["ONE", "I AM !GOOD", "I AM I AM", "", "A  B "],), ([],), (None,), ([""],), (["I AM", "CAN!DO IT\tNOW SO"],)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, s array<string>").coalesce(1)
+    for n in (1, 2, 3):
+        for keep in (False, True):
+            plain = df.select("id", F.explode(t.ngrams(t.sentence_words(F.col("s"), keep), n)).alias("gram"))
+            want = Counter((r.id, r.gram) for r in plain.collect())
+            got = t.add_gram_counts(df, "s", n, keep).select("id", F.inline("grams")).collect()
+            assert {(r.id, r.gram): r.times for r in got} == want and len(got) == len(want), (n, keep)
+
+
+def test_articles_that_share_an_id_are_counted_together(spark):
+    df = spark.createDataFrame([(1, ["A B", "A B"]), (1, ["A C"]), (2, ["A B"]), (None, ["X Y"]), (None, ["X Z"])], "id long, sentences array<string>")
+    got = [tuple(r) for r in news.article_grams(df).collect()]
+    want = {(1, "A"): 3, (1, "B"): 2, (1, "A B"): 2, (1, "C"): 1, (1, "A C"): 1, (2, "A"): 1, (2, "B"): 1, (2, "A B"): 1,
+            (None, "X"): 2, (None, "Y"): 1, (None, "X Y"): 1, (None, "Z"): 1, (None, "X Z"): 1}
+    assert {r[:2]: r[2] for r in got} == want and len(got) == len(want)
+
+
+def test_keyed_statistics_score_as_those_with_texts(spark, make_bars):
+    bars = make_bars({"A": [10, 10, 5, 20, 1]}, spread=0)
+    df = news.with_sentences(frame(spark, "good day", "bad day", "good bad good", "x"))
+    moves = news.price_moves(df, bars)
+    plain, keyed = news.ngram_stats(df, moves), news.ngram_stats(df, moves, keyed=True)
+    assert "gram" not in keyed.columns and keyed.count() == plain.count()
+    assert sorted(news.article_sentiment(df, keyed).collect()) == sorted(news.article_sentiment(df, plain).collect())
+
+
+def test_grams_of_articles_need_no_grouping_by_text(spark):
+    """Only ids that rows share meet in an exchange; grouping all grams sent every text through one."""
+    from tidemark.plans import news as plans
+
+    plan = plans.ngrams(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [id") == 1 and "LeftAnti" in plan and "LeftSemi" in plan

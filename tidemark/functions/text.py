@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BREAK = "\u0001"
+# Rows whose grams a worker counts before it hands them on.
+GRAM_ROWS = 512
 _SPACE = r"[ \t\n\x0B\r\f]"
 # Everything but letters, white space and the sentence break. Spelt out as ranges: the
 # negated form of the class takes several times as long.
@@ -69,6 +76,64 @@ def ngrams(word_lists: Column, n: int) -> Column:
     )
 
 
+def add_gram_counts(df: DataFrame, sentences: str, n: int, keep_negation: bool = False, name: str = "grams") -> DataFrame:
+    """Adds the distinct grams of 1..n words of each row with their number, as by ``ngrams`` over ``sentence_words``.
+
+    The rows of an Arrow batch are counted a few at a time, so a worker holds the grams of those only.
+    """
+    place = df.columns.index(sentences)
+    names = [*df.columns, name]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} array<struct<gram:string,times:bigint>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GRAM_ROWS):
+                part = batch.slice(start, GRAM_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, counted_grams(part.column(place), n, keep_negation)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def counted_grams(sentences: pa.ListArray, n: int, keep_negation: bool = False) -> pa.ListArray:
+    """Distinct grams of each row's clean sentences with their number, in no order; none for null."""
+    flat = pc.list_flatten(sentences)
+    split = pc.split_pattern(flat if keep_negation else pc.replace_substring(flat, "!", ""), " ")
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(split).dictionary_encode()
+    codes, words_ = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    row = np.repeat(pc.list_parent_indices(sentences).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    enough = np.repeat(lengths >= n, lengths)
+    # grams are a shorter gram's number and a last word's code; ``before`` has the numbers by first word
+    before, shorter = np.zeros(len(codes), np.int64), None
+    rows, grams, times = [], [], []
+    for k in range(1, n + 1):
+        starts = np.flatnonzero(enough & (left >= k))
+        pairs = before[starts] * len(words_) + codes[starts + k - 1]
+        span = (1 if shorter is None else len(shorter)) * max(len(words_), 1)
+        found, number = np.unique(row[starts] * span + pairs, return_counts=True)
+        rows.append(found // span)
+        grams.append(_gram_texts(shorter, words_, found % span))
+        times.append(number)
+        if k < n:
+            distinct, before[starts] = np.unique(pairs, return_inverse=True)
+            shorter = _gram_texts(shorter, words_, distinct)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    items = pa.StructArray.from_arrays(
+        [pa.concat_arrays(grams).take(pa.array(order)), pa.array(np.concatenate(times)[order])], names=["gram", "times"]
+    )
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(sentences)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
+def _gram_texts(shorter: pa.Array | None, words_: pa.Array, pairs: np.ndarray) -> pa.Array:
+    last = words_.take(pa.array(pairs % max(len(words_), 1)))
+    if shorter is None:
+        return last
+    return pc.binary_join_element_wise(shorter.take(pa.array(pairs // max(len(words_), 1))), last, " ")
+
+
 def first_of_each(sorted_items: Column) -> Column:
     """Pairs (item, is its first occurrence) of an already sorted array.
 
