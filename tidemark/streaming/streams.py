@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import text as t
 from tidemark.operators import forests as fo
 from tidemark.operators import news, resume
 from tidemark.operators.bars import bars_from_ticks
 from tidemark.operators.series import chunk_of, chunked_ema
+from tidemark.session import written
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -180,8 +182,9 @@ def news_refresh(
     """
 
     def merged(added: DataFrame, name: str, batch_id: int, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        # what the first batch adds is a total already
         known = state_before(added.limit(0), f"{path}/totals/{name}", batch_id)
-        write_state(add(known.unionByName(added)), f"{path}/totals/{name}", batch_id)
+        write_state(add(known.unionByName(added)) if batch_id else added, f"{path}/totals/{name}", batch_id)
         return added.sparkSession.read.schema(added.schema).parquet(slot(f"{path}/totals/{name}", batch_id))
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
@@ -191,9 +194,10 @@ def news_refresh(
         write_batch(news.sentence_counts(sentenced), f"{path}/sentence_counts", batch_id)
         counted = spark.read.parquet(f"{path}/sentence_counts/batch_id={batch_id}")
         totals = merged(counted, "sentences", batch_id, add_sentences)
-        write_batch(news.strip_boilerplate(sentenced, totals), f"{path}/stripped", batch_id)
+        # with their grams, for statistics and moods
+        write_batch(news.with_grams(news.strip_boilerplate(sentenced, totals), n), f"{path}/stripped", batch_id)
         stripped = spark.read.parquet(f"{path}/stripped/batch_id={batch_id}")
-        moves = news.price_moves(stripped, bars)
+        moves = written(spark, news.price_moves(stripped, bars))
         write_batch(news.ngram_stats(stripped, moves, n), f"{path}/ngrams", batch_id)
         stats = merged(spark.read.parquet(f"{path}/ngrams/batch_id={batch_id}"), "ngrams", batch_id, add_ngrams)
         write_batch(news.article_sentiment(stripped, stats, n), f"{path}/moods", batch_id)
@@ -203,15 +207,16 @@ def news_refresh(
 
 def add_sentences(counts: DataFrame) -> DataFrame:
     """Counts of sentences from several batches as one."""
-    return counts.groupBy("sentence", "hash").agg(
+    return counts.groupBy("sentence").agg(
         F.sum("documents").alias("documents"), F.sum("occurrences").alias("occurrences")
-    ).withColumn("blacklisted", F.col("occurrences") >= news.BOILERPLATE_OCCURRENCES)
+    ).withColumn("hash", t.text_hash(F.col("sentence"))).withColumn("blacklisted", F.col("occurrences") >= news.BOILERPLATE_OCCURRENCES)
 
 
 def add_ngrams(stats: DataFrame) -> DataFrame:
     """Gram statistics from several batches as one."""
     counts = ("documents", "occurrences", "increase", "decrease")
-    return stats.groupBy("gram", "n", "hash").agg(*[F.sum(c).alias(c) for c in counts])
+    added = stats.groupBy("gram").agg(*[F.sum(c).alias(c) for c in counts])
+    return added.withColumn("n", F.size(F.split("gram", " "))).withColumn("hash", t.text_hash(F.col("gram")))
 
 
 def sentence_totals(spark: SparkSession, path: str) -> DataFrame:
