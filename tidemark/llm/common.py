@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ def settle(spark: SparkSession) -> SparkSession:
     # operators write tables between jobs; the shuffles before them need not outlive their job
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     # whole texts travel in batches: fewer rows and bytes each keep the workers small
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return spark
 
 
@@ -56,11 +58,29 @@ def keeps(operator: str, drop: Callable[[], None]) -> None:
     _KEPT[operator] = drop
 
 
+# The operator whose tasks a worker ran last.
+_RUNNING: list[str] = []
+
+
 def drop_others(operator: str) -> None:
-    """Lets go of what other operators keep: a worker goes on to the tasks of the next stage."""
+    """Lets go of what other operators keep: a worker goes on to the tasks of the next stage.
+
+    What they freed goes back to the system first, or the next operator's memory would come on top of it.
+    """
     for name, drop in _KEPT.items():
         if name != operator:
             drop()
+    if _RUNNING != [operator]:
+        _RUNNING[:] = [operator]
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

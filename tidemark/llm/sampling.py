@@ -33,7 +33,7 @@ from tidemark.llm.wordcache import by_size
 # Production parameters.
 K = 2
 SEED = 99
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 # Nodes of a path that get a key of their own; all later ones share one until it is opened.
 OWN_KEYS = 64
 _ODD = np.uint64(0xA0761D6478BD642F)
