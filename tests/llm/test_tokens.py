@@ -270,3 +270,15 @@ def test_rare_characters_next_to_ordinary_texts(vocabulary):
         alone = sampling.sample_texts(model, [text], keys[t : t + 1], 3)
         assert alone[4].tolist() == logs[mine].tolist() and alone[6].tolist() == inclusion[mine].tolist()
         assert alone[2].tolist() == [i for m in mine for i in ids[ends[m] : ends[m + 1]].tolist()]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marks_behind_words_are_pieces_of_their_own(name, vocabulary):
+    path = vocabulary(name)
+    wordcache._CACHES.clear()
+    cache = wordcache.id_cache(path, "<u2")
+    texts = ["Alpha, beta. Alpha$$$\nbeta, it's, it',' a.b, ü, (c) [d].", None, "", "beta*** x1, ,,", "beta"]
+    expected = [wordcache.tokenizer(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(r, "<u2").tolist() for r in cache.run(texts)] == expected
+    assert {"beta", "\r,", "\r.", "\r$$$", "\r***"} <= cache.known.keys()
+    assert not {"beta,", "beta.", "beta***", "\nbeta,"} & cache.known.keys()
