@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
 from tidemark.operators import models as md
+from tidemark.operators import shared_forests as forests
 from tidemark.operators import shared_fits as shared
 
 PLAIN = ft.feature_columns(indicators=False)
@@ -103,3 +104,29 @@ def test_odd_rows(spark):
     assert [r.accuracy for r in none] == [None] * 3
     counts = shared.row_counts(shared.blocks_of(spark, rows, columns), list(columns))
     assert sum(counts["v"]) == 60 and sum(counts.get("lonely", (0, 0))) == 0
+
+
+def test_forest_learns_what_single_fits_learn(spark, grid, monkeypatch):
+    found = {}
+    for task_rows in (forests.TASK_ROWS, 1):
+        monkeypatch.setattr(forests, "TASK_ROWS", task_rows)
+        found = {r.variant: r for r in forests.held_out_accuracies(spark, grid, {**COLUMNS, "none": PLAIN}, trees=20, depth=8).collect()}
+        assert found["none"].accuracy is None and found["v"].classifier == "random_forest"
+        for variant, columns in COLUMNS.items():
+            single = md.held_out_accuracy(md.deep_forest(columns, trees=20, depth=8), grid.filter(F.col("variant") == variant))
+            assert found[variant].accuracy == pytest.approx(single, abs=0.06), variant
+            grown = md.held_out_accuracy(md.GrownForest(columns, trees=20, depth=8), grid.filter(F.col("variant") == variant))
+            assert grown == pytest.approx(single, abs=0.06), variant
+
+
+def test_trees_of_a_forest_follow_the_labels():
+    draw = np.random.default_rng(1)
+    x = draw.integers(0, forests.BINS, (4000, 9)).astype(np.uint8)
+    y = ((x[:, 0] > 15) ^ (x[:, 1] > 15)).astype(float)
+    rise = forests.votes(x[:3000], y[:3000], x[3000:], range(20))
+    assert ((rise > 10) == (y[3000:] > 0.5)).mean() > 0.9
+    assert (forests.votes(x[:3000], y[:3000], x[3000:], range(20)) == rise).all()
+    # leaves of full trees are pure, stumps at depth 0 vote by the drawn rows alone
+    assert np.allclose(rise, rise.round())
+    assert len(set(forests.votes(x[:3000], y[:3000], x[3000:], range(20), depth=0))) == 1
+    assert forests.votes(x[:0], y[:0], x[3000:], range(4)).tolist() == [2.0] * 1000

@@ -18,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import shared_forests
 from tidemark.operators.features import split_rows
 
 # Fixed values of the two forests and of the training share.
@@ -107,6 +108,19 @@ def deep_forest(columns: Sequence[str], trees: int = 100, depth: int = 30) -> Pi
     return Pipeline(stages=[_assembler(columns), _forest(numTrees=trees, maxDepth=depth)])
 
 
+class GrownForest(Pipeline):
+    """The deep forest, measured by trees that tasks grow by themselves and not by a fit; ``fit`` is that of its stages."""
+
+    def __init__(self, columns: Sequence[str], trees: int = 100, depth: int = 30):
+        super().__init__(stages=deep_forest(columns, trees, depth).getStages())
+        self.columns, self.trees, self.depth = list(columns), trees, depth
+
+    def held_out_accuracy(self, rows: DataFrame) -> float | None:
+        one = rows.withColumn("variant", F.lit("all"))
+        found = shared_forests.held_out_accuracies(rows.sparkSession, one, {"all": self.columns}, trees=self.trees, depth=self.depth)
+        return found.first().accuracy
+
+
 def perceptron(columns: Sequence[str], rate: float, hidden: int, epochs: int = 500) -> Pipeline:
     layers = [len(columns), hidden, 2]
     return _scaled(
@@ -147,7 +161,9 @@ def classifiers(columns: Sequence[str]) -> dict[str, Callable[[], Pipeline]]:
     return grid
 
 
-def held_out_accuracy(pipeline: Pipeline, rows: DataFrame) -> float:
+def held_out_accuracy(pipeline: Pipeline, rows: DataFrame) -> float | None:
+    if isinstance(pipeline, GrownForest):
+        return pipeline.held_out_accuracy(rows)
     split = split_rows(rows, TRAIN_SHARE, "symbol", "trade_date", "horizon")
     model = pipeline.fit(split.filter("part = 'train'"))
     return accuracy(model.transform(split.filter("part = 'test'")))

@@ -295,6 +295,7 @@ def experiment_grid(spark, sf):
     machines = shared.held_out_accuracies(spark, grid, variant_columns(grid), shared.machines())
     machines.write.parquet(results)
     done = written(spark, machines.select("variant", "classifier"))
-    # forests grow their trees level by level and are fitted one by one
+    # the forests' trees grow in tasks of their own, a few variants side by side
     pipelines = {name: lambda columns, name=name: md.classifiers(columns)[name]() for name in md.classifiers(PLAIN)}
+    pipelines["random_forest"] = md.GrownForest
     return md.experiment_grid(spark, variant_tables(grid), pipelines, results, done)
