@@ -136,3 +136,66 @@ def test_scores_read_stored_keys_and_no_texts(spark):
     texts, text_stats = plans.gram_table(spark, sf, keyed=False)
     rows = lambda df: sorted(df.select("id", F.round("score", 9)).collect())
     assert rows(news.article_sentiment(stored, stats)) == rows(news.article_sentiment(texts, text_stats))
+
+
+def test_sentences_cleaned_over_arrow_are_those_of_the_columns(spark):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b.{c} {c}" for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+    texts += [None, "", "  ", "?! ", "I do NOT NOT agree.\n\nNot so!  \t x\x01\x01y \x0b", "Straße. ﬁne? ok", "not\tnow. not ! a.b . c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, x string").repartition(8)
+    got = {r.id: r.s for r in t.add_clean_sentences(df, "x", "s").collect()}
+    want = {r.id: r.s for r in df.select("id", t.clean_sentences(F.col("x")).alias("s")).collect()}
+    assert got == want
+
+
+def test_boilerplate_keys_are_the_blacklist(spark):
+    df = news.with_sentences(frame(spark, "Five of it. a b. five of it. ", *["x %s. five of it. a b" % "abc"[i] for i in range(3)], None))
+    flagged = news.sentence_counts(df).filter("blacklisted")
+    keys = sorted(news.boilerplate(df).collect())
+    assert keys == sorted(flagged.select(*news.gram_key(F.col("sentence"))).collect()) and len(keys) == 1
+    removed = lambda counts: sorted(news.strip_boilerplate(df, counts).collect())
+    assert removed(news.boilerplate(df)) == removed(news.sentence_counts(df))
+
+
+def test_gram_keys_stand_for_texts(spark):
+    long = "L" * 40
+    rows = [(["A A", "A", "AB A", "A BA", "B A", f"{long} {long}M", ""],), (["A A", "!A B", "ÄÖ A"],), ([],), (None,)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, sentences array<string>").coalesce(1)
+    for n in (1, 2, 3):
+        named = [(r.id, r.gram, r.times) for r in t.add_gram_counts(df, "sentences", n).select("id", F.inline("grams")).collect()]
+        keyed = [(r.id, (r.k1, r.k2), r.times) for r in t.add_gram_keys(df, "sentences", n).select("id", F.inline("grams")).collect()]
+        assert [(i, c) for i, _, c in keyed] == [(i, c) for i, _, c in named]
+        pairs = {(g, k) for (_, g, _), (_, k, _) in zip(named, keyed)}
+        assert len(pairs) == len({g for g, _ in pairs}) == len({k for _, k in pairs})
+        numbers = {r.id: r.count_ for r in t.add_gram_numbers(df, "sentences", n).collect()}
+        assert numbers == {i: sum(r[0] == i for r in named) for i in range(4)}
+        assert {tuple(r) for r in t.gram_keys(df, "sentences", n).collect()} == {k for _, k in pairs}
+
+
+def test_known_grams_look_up_only_what_articles_without_a_move_ask(spark):
+    data = [
+        (0, "A", dt.date(2000, 1, 1), ["good day", "a b c"]), (1, "A", dt.date(2000, 1, 2), ["good good", "b c d"]),
+        (2, "B", dt.date(2000, 1, 1), ["good day", "c d e", "x y"]), (3, None, None, ["b c", "d"]), (4, "B", dt.date(2000, 1, 2), ["q r"]),
+        (5, "B", dt.date(2000, 1, 3), []), (6, "A", dt.date(2000, 1, 2), []),
+    ]
+    df = spark.createDataFrame(data, "id long, symbol string, published_date date, sentences array<string>")
+    moved = [("A", dt.date(2000, 1, 1), 1.0), ("A", dt.date(2000, 1, 2), -1.0), ("B", dt.date(2000, 1, 1), None)]
+    moves = spark.createDataFrame(moved, "symbol string, published_date date, move double")
+    got = {r.id: (r.count_, r.known) for r in news.known_grams(written(spark, news.with_gram_numbers(df)), moves).collect()}
+    stats = {r.gram for r in news.ngram_stats(df, moves).collect()}
+    grams = {r.id: {g.gram for g in r.grams} for r in news.with_grams(df).collect()}
+    assert got == {i: (len(g), len(g & stats)) for i, g in grams.items()}
+
+
+def test_scored_articles_send_no_grams_of_counted_articles_through_an_exchange(spark):
+    from tidemark.plans import news as plans
+
+    df = plans.score_articles(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # The grams of articles without a move are the only ones that are exploded.
+    assert plan.count("Generate inline(grams") == 1
+    grams, known, n = df.agg(F.sum("grams"), F.sum("known"), F.count("*")).head()
+    stored, stats = plans.gram_table(spark, "/root/testdata/sf0.001")
+    rows = stored.select(F.inline("grams"))
+    assert (grams, known) == (rows.count(), rows.join(stats, ["k1", "k2"]).count())
+    assert n == stored.filter(F.size("grams") > 0).count()
