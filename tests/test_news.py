@@ -169,7 +169,12 @@ def test_gram_keys_stand_for_texts(spark):
         assert len(pairs) == len({g for g, _ in pairs}) == len({k for _, k in pairs})
         numbers = {r.id: r.count_ for r in t.add_gram_numbers(df, "sentences", n).collect()}
         assert numbers == {i: sum(r[0] == i for r in named) for i in range(4)}
-        assert {tuple(r) for r in t.gram_keys(df, "sentences", n).collect()} == {k for _, k in pairs}
+        all_keys = spark.createDataFrame([k for _, k in pairs], "k1 long, k2 long")
+        assert {tuple(r) for r in t.gram_keys(df, "sentences", n, t.key_bits(all_keys)).collect()} == {k for _, k in pairs}
+        few = sorted(k for _, k in pairs)[::5]
+        kept = {tuple(r) for r in t.gram_keys(df, "sentences", n, t.key_bits(spark.createDataFrame(few, "k1 long, k2 long"))).collect()}
+        assert kept == set(few)
+    assert not t.key_bits(all_keys.limit(0)).any()
 
 
 def test_known_grams_look_up_only_what_articles_without_a_move_ask(spark):

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 _BREAK = "\u0001"
 # Rows whose grams a worker counts before it hands them on.
 GRAM_ROWS = 512
+# Bits by which grams are told apart before an exchange: 4 MB.
+KEY_BITS = 1 << 25
 # Longer words are hashed one by one.
 TABLE_BYTES = 32
 _SPACE = r"[ \t\n\x0B\r\f]"
@@ -122,14 +124,29 @@ def add_gram_numbers(df: DataFrame, sentences: str, n: int, name: str = "count_"
     return _made(df, sentences, name, "bigint", lambda part: gram_numbers(part, n), kept=True)
 
 
-def gram_keys(df: DataFrame, sentences: str, n: int) -> DataFrame:
-    """Keys of the grams of all rows. A batch names each of its grams once; grams that batches share come repeatedly."""
+def key_bits(keys: DataFrame) -> np.ndarray:
+    """Bits that are set where a key of ``keys`` falls. However many keys there are, the driver gets ``KEY_BITS`` bits."""
+    place, bit = F.expr(f"shiftright(k1 & {KEY_BITS - 1}L, 6)"), F.expr("shiftleft(1L, cast(k1 & 63L as int))")
+    rows = keys.groupBy(place.alias("place")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(KEY_BITS // 64, np.int64)
+    bits[rows.column("place").to_numpy()] = rows.column("bits").to_numpy()
+    return bits
+
+
+def gram_keys(df: DataFrame, sentences: str, n: int, asked: np.ndarray) -> DataFrame:
+    """Keys of the grams of all rows that fall on a bit of ``asked``: all keys it was made of, and a few others.
+
+    A batch names each of its grams once; grams that batches share come repeatedly.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = pc.list_flatten(batch.column(0))
             whole = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
             for _, keys, _ in _distinct(whole, n, False, _keys):
+                bit = keys[:, 0] & (KEY_BITS - 1)
+                keys = keys[shared.value[bit >> 6] >> (bit & 63) & 1 == 1]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["k1", "k2"])
 
     return df.select(sentences).mapInArrow(run, "k1 bigint, k2 bigint")
