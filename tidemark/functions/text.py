@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,32 @@ def cleaned_sentences(texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pc.ascii_trim(pieces.filter(full), " \t\n\x0B\r\f"), mask=pc.is_null(texts))
 
 
+def drop_sentences(df: DataFrame, sentences: str, key: Callable[[Column], list[Column]], dropped: pa.Table) -> DataFrame:
+    """``df`` without the sentences whose ``key``, two numbers, ``dropped`` has; the others stay in order, and null becomes empty."""
+    first, second = (dropped.column(c).combine_chunks().to_numpy() for c in ("k1", "k2"))
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    most = int(np.unique(first, return_counts=True)[1].max(initial=0))
+    shared = df.sparkSession.sparkContext.broadcast((first, second))
+    place, names = df.columns.index(sentences), df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = shared.value
+        for batch in batches:
+            column = batch.column(place)
+            k1, k2 = (pc.list_flatten(batch.column(len(names) + i)).to_numpy() for i in range(2))
+            at, kept = np.searchsorted(first, k1), np.ones(len(k1), bool)
+            for i in range(most):
+                near = np.minimum(at + i, len(first) - 1)
+                kept &= (first[near] != k1) | (second[near] != k2)
+            row = pc.list_parent_indices(column).to_numpy()
+            left = pa.ListArray.from_arrays(_ends(row[kept], len(column)), pc.list_flatten(column).filter(pa.array(kept)))
+            yield pa.RecordBatch.from_arrays([left if i == place else batch.column(i) for i in range(len(names))], names=names)
+
+    k1, k2 = F.transform(sentences, lambda s: key(s)[0]), F.transform(sentences, lambda s: key(s)[1])
+    return df.select("*", k1.alias("k1_"), k2.alias("k2_")).mapInArrow(run, df.schema)
+
+
 def add_gram_counts(df: DataFrame, sentences: str, n: int, keep_negation: bool = False, name: str = "grams") -> DataFrame:
     """Adds the distinct grams of 1..n words of each row with their number, as by ``ngrams`` over ``sentence_words``."""
     kind = "array<struct<gram:string,times:bigint>>"
@@ -197,17 +223,28 @@ def _ends(row: np.ndarray, rows: int) -> pa.Array:
 
 
 def _distinct(sentences: pa.ListArray, n: int, keep_negation: bool, naming: Callable) -> Iterator[tuple]:
-    """For 1..n words, the row, name and number of the distinct grams of each row.
+    """For 1..n words, the row, name and number of the distinct grams of each row."""
+    for row, named, codes, number in _coded(sentences, n, keep_negation, naming):
+        yield row, named(codes), number
+
+
+def _coded(sentences: pa.ListArray, n: int, keep_negation: bool, naming: Callable, ordered: bool = False) -> Iterator[tuple]:
+    """For 1..n words, the row of the distinct grams of each row, a function that names grams by their codes, the codes and the number.
 
     ``naming`` takes the distinct words and gives a function that names grams by their length, the names of the grams
-    without their last word, and pairs: number of such a shorter gram * number of words + number of the last word.
+    without their last word, and codes: number of such a shorter gram * number of words + number of the last word. The
+    words are numbered in their order if ``ordered``.
     """
     flat = pc.list_flatten(sentences)
     split = pc.split_pattern(flat if keep_negation else pc.replace_substring(flat, "!", ""), " ")
     lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.list_flatten(split).dictionary_encode()
-    codes, size = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
-    name = naming(coded.dictionary, n)
+    words_, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if ordered:
+        order = pc.sort_indices(words_)
+        words_, codes = words_.take(order), np.argsort(order.to_numpy())[codes]
+    size = max(len(words_), 1)
+    name = naming(words_, n)
     row = np.repeat(pc.list_parent_indices(sentences).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
     enough = np.repeat(lengths >= n, lengths)
@@ -217,10 +254,10 @@ def _distinct(sentences: pa.ListArray, n: int, keep_negation: bool, naming: Call
         starts = np.flatnonzero(enough & (left >= k))
         pairs = before[starts] * size + codes[starts + k - 1]
         found, number = np.unique(row[starts] * span + pairs, return_counts=True)
-        yield found // span, name(k, shorter, found % span), number
+        yield found // span, partial(name, k, shorter), found % span, number
         if k < n:
             # The codes of the words number the grams of one word already.
-            distinct, before[starts] = (np.arange(len(coded.dictionary)), pairs) if k == 1 else np.unique(pairs, return_inverse=True)
+            distinct, before[starts] = (np.arange(len(words_)), pairs) if k == 1 else np.unique(pairs, return_inverse=True)
             shorter, span = name(k, shorter, distinct), max(len(distinct), 1) * size
 
 

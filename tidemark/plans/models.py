@@ -16,7 +16,7 @@ from tidemark.operators import shared_fits as shared
 from tidemark.plans import sql
 from tidemark.plans import series as ser
 from tidemark.plans.ledger import SIGNALS, signals
-from tidemark.plans.news import TO_SCORES, gram_table, scored_articles
+from tidemark.plans.news import TO_SCORES, scored_articles
 from tidemark.plans.portfolio import symbols, uniform_sql
 from tidemark.plans.registry import query
 from tidemark.plans.views import HORIZONS, daily_bars
@@ -72,7 +72,7 @@ VARIANT_PRICES = "series AS (SELECT symbol, rn, 1.0::DOUBLE AS alpha, close AS p
 
 def region_scores(spark, sf):
     """Articles scored on the prices of the regions, to which they are dealt by id."""
-    return news.article_sentiment(*gram_table(spark, sf, symbols(spark, sf)))
+    return scored_articles(spark, sf, symbols(spark, sf))
 
 
 def region_mood(scored):

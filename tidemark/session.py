@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +24,8 @@ _RUNTIME_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; cluster sizing stays with the cluster."""
@@ -45,8 +49,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, df, partition_by: tuple[str, ...] = ()):
+def written(spark: SparkSession, df, partition_by: tuple[str, ...] = (), compression: str = "snappy"):
     """Cut lineage through a table in the shared folder and read it back."""
     path = shared_dir(spark)
-    df.write.partitionBy(*partition_by).parquet(path)
+    with shuffles_removed(spark):
+        df.write.partitionBy(*partition_by).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files, which otherwise stay until the driver's memory is collected.
+
+    A write plans its input anew, so no later step could use its shuffles.
+    """
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
