@@ -32,10 +32,10 @@ def test_packed_scores_are_those_of_the_keyed_statistics(spark):
     want = rows(news.article_sentiment(articles(spark), news.ngram_stats(articles(spark), moves(spark), keyed=True)))
     for parts, buckets in ((1, 2), (5, 64)):
         df = articles(spark).repartition(parts)
-        got = rows(news.article_sentiment(df, news.ngram_stats(df, moves(spark), buckets=buckets)))
+        got = rows(news.article_sentiment(df, news.ngram_stats(df, moves(spark), keyed=True, buckets=buckets)))
         assert got == want and len(got) == len(ROWS), (parts, buckets)
     none = articles(spark).limit(0)
-    assert news.article_sentiment(none, news.ngram_stats(none, moves(spark), buckets=2)).count() == 0
+    assert news.article_sentiment(none, news.ngram_stats(none, moves(spark), keyed=True, buckets=2)).count() == 0
 
 
 def test_packed_statistics_are_those_of_the_grams(spark):
@@ -43,7 +43,7 @@ def test_packed_statistics_are_those_of_the_grams(spark):
     for n in (1, 3):
         want = {r.gram: (r.documents, r.increase) for r in news.ngram_stats(df, moves(spark), n).collect()}
         got, pairs = {}, 0
-        for r in news.ngram_stats(df, moves(spark), n, buckets=4).collect():
+        for r in news.ngram_stats(df, moves(spark), n, keyed=True, buckets=4).collect():
             pairs += r.pairs
             if r.heads is None:
                 lengths = packed._restored(bytes(r.lengths), "u4", r.entries)
@@ -62,7 +62,7 @@ def test_scores_send_packed_grams_through_one_exchange(spark):
 
     sf = "/root/testdata/sf0.001"
     sentenced, moved = plans.dealt_articles(spark, sf, ())
-    stats = news.ngram_stats(plans.stripped_of(spark, sentenced), moved, buckets=packed.buckets_of(sentenced))
+    stats = news.ngram_stats(plans.stripped_of(spark, sentenced), moved, keyed=True, buckets=packed.buckets_of(sentenced))
     plan = stats._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(bucket") == plan.count("Exchange hashpartitioning") == 1
     sent = sum(len(r.grams) + len(r.places) + len(r.counts) + len(r.lengths) for r in stats.filter("heads is null").collect())
@@ -72,7 +72,7 @@ def test_scores_send_packed_grams_through_one_exchange(spark):
 
 
 def test_a_lost_pack_is_an_error(spark):
-    stats = news.ngram_stats(articles(spark).coalesce(1), moves(spark), buckets=4)
+    stats = news.ngram_stats(articles(spark).coalesce(1), moves(spark), keyed=True, buckets=4)
     whole = packed.article_totals(stats, articles(spark).select(*news.ARTICLE)).count()
     assert whole == len(ROWS)
     most = stats.agg(F.max("entries")).head()[0]
@@ -109,3 +109,35 @@ def test_sentences_are_dropped_by_both_parts_of_their_keys(spark):
         assert got.schema == df.schema and sorted(str(r.sentences) for r in got.collect()) == want
     none = pa.table({"k1": pa.array([], pa.int64()), "k2": pa.array([], pa.int64())})
     assert [len(r.sentences) for r in t.drop_sentences(df, "sentences", news.gram_key, none).collect()] == [len(r[3] or []) for r in ROWS]
+
+
+def test_packed_rows_are_the_statistics(spark):
+    df = articles(spark).repartition(3)
+    for n in (1, 3):
+        got = news.ngram_stats(df, moves(spark), n, buckets=4)
+        want = news.ngram_stats(df, moves(spark), n)
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_known_statistics_add_to_those_of_the_articles(spark):
+    from tidemark.streaming import streams as st
+
+    first, then = articles(spark).filter("id < 2").coalesce(1), articles(spark).filter("id >= 2 or id is null").repartition(2)
+    before = news.ngram_stats(first, moves(spark))
+    totals = st.add_ngrams(before.unionByName(news.ngram_stats(then, moves(spark))))
+    rows = lambda df: sorted(map(str, df.select("id", "symbol", "published_date", F.round("score", 9)).collect()))
+    want = rows(news.article_sentiment(then, totals))
+    got = rows(news.article_sentiment(then, news.ngram_stats(then, moves(spark), keyed=True, buckets=8, known=before)))
+    assert got == want != rows(news.article_sentiment(then, news.ngram_stats(then, moves(spark), keyed=True, buckets=8)))
+
+
+def test_the_stream_stores_each_text_once(spark):
+    import os
+
+    from tidemark.plans import streams as plans
+
+    path = plans.refreshed_news(spark, "/root/testdata/sf0.001")
+    # the first batch is a total itself, and grams of articles are not stored
+    assert not os.path.exists(f"{path}/totals") and not os.path.exists(f"{path}/stripped")
+    log = spark.read.parquet(f"{path}/ngrams")
+    assert "hash" not in log.columns and log.count() == log.select("gram").distinct().count()

@@ -55,11 +55,13 @@ def buckets_of(sentenced: DataFrame, sentences: str = "sentences") -> int:
     return min(MOST_BUCKETS, 1 << max(1, (size // BUCKET_BYTES).bit_length()))
 
 
-def deal(articles: DataFrame, n: int, buckets: int, sentences: str = "sentences", rose: str = "rose") -> DataFrame:
+def deal(
+    articles: DataFrame, n: int, buckets: int, sentences: str = "sentences", rose: str = "rose", placed: bool = True
+) -> DataFrame:
     """Distinct grams of 1..n words of chunks of rows, in ``buckets`` (a power of 2), with the places of the rows that have them.
 
     ``rose`` is 1, 0, or null where a row does not count for the statistics; all rows get sums. A chunk's other columns and
-    numbers of grams go along in one more row, as ``heads``.
+    numbers of grams go along in one more row, as ``heads``. Places and heads are left out unless ``placed``.
     """
     place, mark = articles.columns.index(sentences), articles.columns.index(rose)
     others = [i for i in range(len(articles.columns)) if i not in (place, mark)]
@@ -72,11 +74,11 @@ def deal(articles: DataFrame, n: int, buckets: int, sentences: str = "sentences"
             marks = table.column(mark).cast(pa.int8()).fill_null(-1).to_numpy()
             one = table.column(place).combine_chunks()
             one = one if isinstance(one, pa.Array) else pa.concat_arrays(one.chunks)
-            packs, numbers, pairs = _packed(one, marks, n, bits)
+            packs, numbers, pairs = _packed(one, marks, n, bits, placed)
             heads = pa.table([*(table.column(i) for i in others), pa.array(numbers)], names=names)
             own = {"bucket": chunk % 1_000_003 % buckets, "entries": 0, "pairs": -pairs, "heads": _written(heads)}
             del one, table
-            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "articles": count, **p} for p in (own, *packs)], _arrow(_DEALT))
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "articles": count, **p} for p in ([own] * placed + packs)], _arrow(_DEALT))
             del packs, heads, own
             pa.default_memory_pool().release_unused()
 
@@ -95,30 +97,58 @@ def _written(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.Table]:
+def _chunks(batches: Iterator[pa.RecordBatch], place: int, most: int = CHUNK_ROWS) -> Iterator[pa.Table]:
     held, size, count = [], 0, 0
     for batch in batches:
         held.append(batch)
         size, count = size + batch.column(place).nbytes, count + batch.num_rows
-        if size >= CHUNK_BYTES or count + batch.num_rows > CHUNK_ROWS:
+        if size >= CHUNK_BYTES or count + batch.num_rows > most:
             yield pa.Table.from_batches(held)
             held, size, count = [], 0, 0
     if count:
         yield pa.Table.from_batches(held)
 
 
-def _packed(sentences: pa.ListArray, marks: np.ndarray, n: int, bits: int) -> tuple[list[dict], np.ndarray, int]:
+def known(stats: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Rows of ``stats`` (gram, documents, occurrences, increase) packed as by ``deal``, for no articles."""
+    bits = buckets.bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches, 0, CHUNK_BYTES):
+            gram = pa.concat_arrays(table.column(0).chunks)
+            split = pc.split_pattern(gram, " ")
+            lengths = pc.list_value_length(split).to_numpy().astype(np.int64)
+            coded = pc.list_flatten(split).dictionary_encode()
+            start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            place = np.arange(len(coded)) - np.repeat(start, lengths)
+            hashed = t._hashed_words(coded.dictionary, n)[coded.indices.to_numpy(), place, 0]
+            bucket = _bucket(np.add.reduceat(hashed, start), bits)
+            order = np.argsort(bucket, kind="stable")
+            counts = np.stack([np.zeros(len(gram)), *(table.column(i).to_numpy() for i in (1, 3, 2))]).astype(np.uint32)[:, order]
+            text = gram.cast(pa.large_binary()).take(pa.array(order))
+            packs = _packs(bucket[order], text, counts)
+            yield pa.RecordBatch.from_pylist([{"chunk": -1, "articles": 0, **p} for p in packs], _arrow(_DEALT))
+
+    return stats.select("gram", "documents", "occurrences", "increase").mapInArrow(run, _DEALT)
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint16)
+
+
+def _packed(sentences: pa.ListArray, marks: np.ndarray, n: int, bits: int, placed: bool) -> tuple[list[dict], np.ndarray, int]:
     """One pack per bucket, the number of distinct grams of each row, and their sum."""
-    texts, hashed, rows, entries, first = [], [], [], [], 0
-    for row, named, codes, _ in t._coded(sentences, n, False, _texts_and_keys, ordered=True):
+    texts, hashed, rows, entries, times, first = [], [], [], [], [], 0
+    for row, named, codes, number in t._coded(sentences, n, False, _texts_and_keys, ordered=True):
         distinct, inverse = np.unique(codes, return_inverse=True)
         text, keys = named(distinct)
         texts.append(text)
         hashed.append(keys[:, 0])
         rows.append(row.astype(np.uint16))
         entries.append(inverse + first)
+        times.append(np.bincount(inverse, weights=number * (marks[row] >= 0), minlength=len(distinct)))
         first += len(distinct)
-    bucket = (np.concatenate(hashed).view(np.uint64) >> np.uint64(64 - bits)).astype(np.uint16)
+    bucket = _bucket(np.concatenate(hashed), bits)
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -132,19 +162,26 @@ def _packed(sentences: pa.ListArray, marks: np.ndarray, n: int, bits: int) -> tu
     marked = marks[row]
     documents = np.bincount(entry, weights=marked >= 0, minlength=first)
     increase = np.bincount(entry, weights=marked == 1, minlength=first)
-    counts = np.stack([sizes, documents, increase]).astype(np.uint32)
+    counts = np.stack([sizes, documents, increase, np.concatenate(times)[order]]).astype(np.uint32)
     text = pa.concat_arrays(texts).cast(pa.large_binary()).take(pa.array(order))
-    ends, content = np.frombuffer(text.buffers()[1], np.int64)[: first + 1], text.buffers()[2]
-    found, start = np.unique(bucket[order], return_index=True)
+    packs = _packs(bucket[order], text, counts, (edge, steps) if placed else None)
+    return packs, np.bincount(row, minlength=len(sentences)), len(row)
+
+
+def _packs(bucket: np.ndarray, text: pa.Array, counts: np.ndarray, places: tuple | None = None) -> list[dict]:
+    """One row per bucket of entries in order of their buckets."""
+    ends, content = np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1], text.buffers()[2]
+    found, start = np.unique(bucket, return_index=True)
     packs = []
-    for b, low, high in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), first]):
+    for b, low, high in zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(text)]):
+        edge, steps = places or (np.zeros(len(text) + 1, np.int64), np.zeros(0, np.uint16))
         packs.append({
             "bucket": b, "entries": high - low, "pairs": int(edge[high] - edge[low]),
             "lengths": _squeezed(np.diff(ends[low : high + 1]).astype(np.uint32)),
             "grams": _codec().compress(content[int(ends[low]) : int(ends[high])], asbytes=True) if ends[high] > ends[low] else b"",
             "counts": _squeezed(counts[:, low:high].ravel()), "places": _squeezed(steps[edge[low] : edge[high]]),
         })
-    return packs, np.bincount(row, minlength=len(sentences)), len(row)
+    return packs
 
 
 def _texts_and_keys(words: pa.Array, n: int):
@@ -164,28 +201,47 @@ def statistics(dealt: DataFrame) -> DataFrame:
         rows = bucket.drop_columns("bucket").to_pylist()
         packs = [r for r in rows if r["heads"] is None]
         if packs:
-            content, lengths, counts = [], [], []
-            for r in packs:
-                length = _restored(r["lengths"], np.uint32, r["entries"])
-                total = int(length.sum())
-                content.append(_codec().decompress(r["grams"], total, asbytes=True) if total else b"")
-                lengths.append(length)
-                counts.append(_restored(r["counts"], np.uint32, 3 * r["entries"]).reshape(3, -1))
-            ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
-            texts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(content))])
-            gram = texts.dictionary_encode().indices.to_numpy()
-            counts = np.concatenate(counts, axis=1)
+            _, gram, counts = _grams(packs)
             documents = np.bincount(gram, weights=counts[1]).astype(np.int64)[gram]
             increase = np.bincount(gram, weights=counts[2]).astype(np.int64)[gram]
             start = 0
             for r in packs:
                 own = slice(start, start := start + r["entries"])
                 r["documents"], r["increase"] = documents[own].tobytes(), increase[own].tobytes()
-        return pa.Table.from_pylist(rows, _arrow(_STATED))
+        return pa.Table.from_pylist([r for r in rows if r["articles"]], _arrow(_STATED))
 
     return dealt.groupBy("bucket").applyInArrow(run, _STATED)
 
 
+def _grams(packs: list[dict]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct grams of a bucket, and of all entries the number of their gram and their counts."""
+    content, lengths, counts = [], [], []
+    for r in packs:
+        length = _restored(r["lengths"], np.uint32, r["entries"])
+        total = int(length.sum())
+        content.append(_codec().decompress(r["grams"], total, asbytes=True) if total else b"")
+        lengths.append(length)
+        counts.append(_restored(r["counts"], np.uint32, 4 * r["entries"]).reshape(4, -1))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths), dtype=np.int64)])
+    texts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(content))])
+    coded = texts.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.concatenate(counts, axis=1)
+
+
+def gram_rows(dealt: DataFrame) -> DataFrame:
+    """Grams of the rows that ``deal`` counted, in order of their texts in each bucket, with their statistics."""
+    schema = "gram string, documents bigint, occurrences bigint, increase bigint, decrease bigint"
+
+    def run(bucket: pa.Table) -> pa.Table:
+        texts, gram, counts = _grams(bucket.to_pylist())
+        documents, increase, times = (np.bincount(gram, weights=c).astype(np.int64) for c in counts[1:])
+        table = pa.table([texts.cast(pa.large_string()).cast(pa.string()), documents, times, increase, documents - increase],
+                         names=["gram", "documents", "occurrences", "increase", "decrease"])
+        return table.filter(pc.greater(table["documents"], 0)).sort_by("gram")
+
+    return dealt.groupBy("bucket").applyInArrow(run, schema)
+
+
 def share_sums(stated: DataFrame) -> DataFrame:
     """Rows of ``deal`` by their own columns, with ``count_``, the number of their grams, and ``total``, the sum of the rising shares.
 
@@ -221,7 +277,7 @@ def share_sums(stated: DataFrame) -> DataFrame:
 def _sums(pack: dict) -> np.ndarray:
     documents, increase = np.frombuffer(pack["documents"], np.int64), np.frombuffer(pack["increase"], np.int64)
     share = np.divide(increase, documents, out=np.zeros(len(documents)), where=documents > 0)
-    sizes = _restored(pack["counts"], np.uint32, 3 * pack["entries"])[: pack["entries"]].astype(np.int64)
+    sizes = _restored(pack["counts"], np.uint32, 4 * pack["entries"])[: pack["entries"]].astype(np.int64)
     row = np.cumsum(_restored(pack["places"], np.uint16, pack["pairs"]), dtype=np.int64)
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     # steps count from 0 again at each gram

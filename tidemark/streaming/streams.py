@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import packed
 from tidemark.functions import text as t
 from tidemark.operators import forests as fo
 from tidemark.operators import news, resume
 from tidemark.operators.bars import bars_from_ticks
 from tidemark.operators.series import chunk_of, chunked_ema
-from tidemark.session import written
+from tidemark.session import shuffles_removed, written
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -40,8 +41,9 @@ def append_to(df: DataFrame, path: str, checkpoint: str, every: str | None = Non
     return _start(df.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, every)
 
 
-def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch(batch: DataFrame, path: str, batch_id: int, compression: str = "snappy") -> None:
+    with shuffles_removed(batch.sparkSession):
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}", compression=compression)
 
 
 def log_changes(
@@ -92,8 +94,9 @@ def state_before(first: DataFrame, path: str, batch_id: int) -> DataFrame:
     return first if batch_id == 0 else first.sparkSession.read.schema(first.schema).parquet(slot(path, batch_id - 1))
 
 
-def write_state(state: DataFrame, path: str, batch_id: int) -> None:
-    state.write.mode("overwrite").parquet(slot(path, batch_id))
+def write_state(state: DataFrame, path: str, batch_id: int, compression: str = "snappy") -> None:
+    with shuffles_removed(state.sparkSession):
+        state.write.mode("overwrite").parquet(slot(path, batch_id), compression=compression)
 
 
 def stream_ema(
@@ -176,30 +179,37 @@ def news_refresh(
 ) -> StreamingQuery:
     """Sentence counts, gram statistics and moods of new articles, per trigger.
 
-    Every stage stores what the batch adds under its batch id, so running a
-    batch again changes nothing. A batch reads one total, the one merged by
-    the batch before it, and none of the earlier batches.
+    Sentences, counts, statistics and moods that a batch adds are stored under its batch id, so running a
+    batch again changes nothing. A batch reads one total, the one merged by the batch before it, and none of
+    the earlier batches; what the first batch adds is a total already. Hashes are made from texts where totals are read.
     """
 
+    totals_of = {"sentence_counts": f"{path}/totals/sentences", "ngrams": f"{path}/totals/ngrams"}
+
+    def known(spark: SparkSession, name: str, batch_id: int) -> DataFrame:
+        before = f"{path}/{name}/batch_id=0" if batch_id == 1 else slot(totals_of[name], batch_id - 1)
+        return spark.read.parquet(before)
+
     def merged(added: DataFrame, name: str, batch_id: int, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        # what the first batch adds is a total already
-        known = state_before(added.limit(0), f"{path}/totals/{name}", batch_id)
-        write_state(add(known.unionByName(added)) if batch_id else added, f"{path}/totals/{name}", batch_id)
-        return added.sparkSession.read.schema(added.schema).parquet(slot(f"{path}/totals/{name}", batch_id))
+        if batch_id == 0:
+            return added
+        spark, totals = added.sparkSession, totals_of[name]
+        write_state(add(known(spark, name, batch_id).unionByName(added)).drop("hash"), totals, batch_id, "zstd")
+        return spark.read.schema(added.schema).parquet(slot(totals, batch_id))
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(news.with_sentences(batch), f"{path}/sentences", batch_id)
+        write_batch(news.with_sentences(batch), f"{path}/sentences", batch_id, "zstd")
         sentenced = spark.read.parquet(f"{path}/sentences/batch_id={batch_id}")
-        write_batch(news.sentence_counts(sentenced), f"{path}/sentence_counts", batch_id)
+        write_batch(news.sentence_counts(sentenced).drop("hash"), f"{path}/sentence_counts", batch_id, "zstd")
         counted = spark.read.parquet(f"{path}/sentence_counts/batch_id={batch_id}")
-        totals = merged(counted, "sentences", batch_id, add_sentences)
-        # with their grams, for statistics and moods
-        write_batch(news.with_grams(news.strip_boilerplate(sentenced, totals), n), f"{path}/stripped", batch_id)
-        stripped = spark.read.parquet(f"{path}/stripped/batch_id={batch_id}")
-        moves = written(spark, news.price_moves(stripped, bars))
-        write_batch(news.ngram_stats(stripped, moves, n), f"{path}/ngrams", batch_id)
-        stats = merged(spark.read.parquet(f"{path}/ngrams/batch_id={batch_id}"), "ngrams", batch_id, add_ngrams)
+        totals = merged(counted, "sentence_counts", batch_id, add_sentences)
+        stripped, buckets = news.strip_boilerplate(sentenced, totals), packed.buckets_of(sentenced)
+        moves = written(spark, news.price_moves(sentenced, bars))
+        write_batch(news.ngram_stats(stripped, moves, n, buckets=buckets).drop("hash"), f"{path}/ngrams", batch_id, "zstd")
+        merged(spark.read.parquet(f"{path}/ngrams/batch_id={batch_id}"), "ngrams", batch_id, add_ngrams)
+        before = known(spark, "ngrams", batch_id) if batch_id else None
+        stats = news.ngram_stats(stripped, moves, n, keyed=True, buckets=buckets, known=before)
         write_batch(news.article_sentiment(stripped, stats, n), f"{path}/moods", batch_id)
 
     return _start(articles.writeStream.outputMode("append").foreachBatch(refresh), checkpoint, every)
@@ -220,8 +230,16 @@ def add_ngrams(stats: DataFrame) -> DataFrame:
 
 
 def sentence_totals(spark: SparkSession, path: str) -> DataFrame:
-    return add_sentences(spark.read.parquet(f"{path}/sentence_counts"))
+    return _total(spark, f"{path}/sentence_counts", "sentence", add_sentences)
 
 
 def ngram_totals(spark: SparkSession, path: str) -> DataFrame:
-    return add_ngrams(spark.read.parquet(f"{path}/ngrams"))
+    return _total(spark, f"{path}/ngrams", "gram", add_ngrams)
+
+
+def _total(spark: SparkSession, path: str, key: str, add: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Sum of what all batches added. The first batch alone is a sum already."""
+    log = spark.read.parquet(path)
+    if log.filter("batch_id > 0").isEmpty():
+        return log.drop("batch_id").withColumn("hash", t.text_hash(F.col(key)))
+    return add(log)
