@@ -230,13 +230,15 @@ def _grams(packs: list[dict]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def gram_rows(dealt: DataFrame) -> DataFrame:
     """Grams of the rows that ``deal`` counted, in order of their texts in each bucket, with their statistics."""
-    schema = "gram string, documents bigint, occurrences bigint, increase bigint, decrease bigint"
+    schema = "gram string, documents bigint, occurrences bigint, increase bigint, decrease bigint, n int"
 
     def run(bucket: pa.Table) -> pa.Table:
         texts, gram, counts = _grams(bucket.to_pylist())
         documents, increase, times = (np.bincount(gram, weights=c).astype(np.int64) for c in counts[1:])
-        table = pa.table([texts.cast(pa.large_string()).cast(pa.string()), documents, times, increase, documents - increase],
-                         names=["gram", "documents", "occurrences", "increase", "decrease"])
+        texts = texts.cast(pa.large_string()).cast(pa.string())
+        words = pc.add(pc.count_substring(texts, " "), pa.scalar(1, pa.int32()))
+        table = pa.table([texts, documents, times, increase, documents - increase, words],
+                         names=["gram", "documents", "occurrences", "increase", "decrease", "n"])
         return table.filter(pc.greater(table["documents"], 0)).sort_by("gram")
 
     return dealt.groupBy("bucket").applyInArrow(run, schema)
